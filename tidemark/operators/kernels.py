@@ -23,7 +23,7 @@ __all__ = [
     "trailing_distinct_multi", "trailing_distinct_approx", "trailing_count_where", "rolling_cv", "rolling_entropy",
     "run_length", "novelty", "running_distinct", "last_true_ts", "first_seen_ts", "modal_value",
     "shared_entity_count", "running_herfindahl", "pct_rank", "pct_rank_or_sentinel", "group_entropy",
-    "prepare", "shrunk_prior", "group_median", "velocity_panel",
+    "prepare", "keyed", "shrunk_prior", "group_median", "velocity_panel",
 ]
 
 
@@ -206,22 +206,29 @@ def group_entropy(df: DataFrame, by: Sequence[str], value: str, out: str) -> Dat
     return counts.groupBy(*by).agg(F.when(kinds > 1, h / F.ln(kinds)).otherwise(0.0).alias(out))
 
 
-def prepare(df: DataFrame) -> DataFrame:
-    """Derived columns every feature needs: integer time, peer cohort, primary key, inter-arrival gap."""
+def keyed(df: DataFrame) -> DataFrame:
+    """Integer time, peer cohort and primary key; expressions only, no shuffle."""
     cohort = F.concat_ws("|", "issuer_id", S.credit_band(F.col("credit_limit_inr")))
     primary = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("cardholder_id", "pan_canonical", "vpa")], F.lit(""))
-    base = df.withColumns({
+    return df.withColumns({
         "ts_us": F.round(F.col("ts") * 1_000_000).cast("long"), "_cohort": cohort, "_primary_key": primary,
     })
-    return with_gap(base)
+
+
+def prepare(df: DataFrame) -> DataFrame:
+    """Derived columns features start from: integer time, peer cohort, primary key, inter-arrival gap."""
+    return with_gap(keyed(df))
+
+
+def gap_of(previous: str) -> Column:
+    """Seconds since the previous row's ``ts_us``, -1 without one."""
+    return F.coalesce((F.col("ts_us") - F.col(previous)) / 1_000_000.0, F.lit(-1.0))
 
 
 def with_gap(df: DataFrame) -> DataFrame:
     """Seconds since the primary key's previous row and its log1p, -1 on the first."""
     built = Timeline(df, "_primary_key").prev("__pt", F.col("ts_us")).build()
-    gap = F.when(F.col("__pt").isNotNull(), (F.col("ts_us") - F.col("__pt")) / 1_000_000.0).otherwise(-1.0)
-    gap = F.when(blank(df, ["_primary_key"]), -1.0).otherwise(gap)
-    return built.withColumn("_inter_arrival", gap).withColumn(
+    return built.withColumn("_inter_arrival", gap_of("__pt")).withColumn(
         "_inter_arrival_log", S.log1p_where(F.col("_inter_arrival"), F.col("_inter_arrival") >= 0)
     ).drop("__pt")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 MIN_BYTES_CONF = "spark.tidemark.blocks.minBytes"
 TARGET_ROWS_CONF = "spark.tidemark.blocks.targetRows"
 
-#: Inputs the optimizer estimates below this size are never cut: a single task can sort them.
+#: Frames whose sources are smaller than this are never cut: a single task can sort them.
 DEFAULT_MIN_BYTES = 64 * 1024 * 1024
 #: A group smaller than this many rows is never hot, whatever its share of the table.
 DEFAULT_TARGET_ROWS = 2_000_000
@@ -36,9 +36,9 @@ def _conf_int(spark: SparkSession, key: str, default: int) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate, which needs no job."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+    """Size of the sources behind the frame, by the catalog's statistics; needs no job."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame) -> bool:

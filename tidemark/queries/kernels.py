@@ -206,8 +206,8 @@ def _guarded(spark, sf):
 
 JACCARD_SQL = r"""WITH d AS (SELECT doc_id, source, lang,
       list_distinct(list_filter(string_split_regex(upper(source || ' ' || lang), '\s+'), lambda x: x <> '')) AS a,
-      list_distinct(list_filter(string_split_regex(upper(substr(text, 1, strpos(text || chr(10), chr(10)) - 1)), '\s+'), lambda x: x <> '')) AS b,
-      list_distinct(list_filter(string_split_regex(upper(text), '\s+'), lambda x: x <> '')) AS c FROM documents)
+      list_distinct(list_filter(string_split_regex(upper(replace(substr(text, 1, strpos(text || chr(10), chr(10)) - 1), 'ß', 'SS')), '\s+'), lambda x: x <> '')) AS b,
+      list_distinct(list_filter(string_split_regex(upper(replace(text, 'ß', 'SS')), '\s+'), lambda x: x <> '')) AS c FROM documents)
     SELECT doc_id, round(CASE WHEN len(b) > 0 AND len(c) > 0 THEN len(list_intersect(b, c)) / len(list_distinct(b || c)) ELSE 0 END, 9) AS sim
     FROM d"""
 

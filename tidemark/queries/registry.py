@@ -39,7 +39,7 @@ STREAM_COLUMNS = """
     event_id, us - us % 3600000000 AS ts_us, user_id,
     CASE WHEN event_id % 17 = 0 THEN '' ELSE CONCAT('u', CAST(user_id % 40 AS STRING)) END AS k1,
     CASE WHEN event_id % 11 = 0 THEN '' ELSE CONCAT(event_type, CAST(user_id % 3 AS STRING)) END AS cp,
-    event_type AS cohort, value / 7 AS amt, event_id % 3 = 0 AS hit
+    event_type AS cohort, value * 0.731058578630 AS amt, event_id % 3 = 0 AS hit
 """
 STREAM_SQL = f"ev AS (SELECT {STREAM_COLUMNS} FROM (SELECT *, epoch_us(ts) AS us FROM events))"
 # Every (row, earlier row of the same non-blank key) pair; the brute-force basis of the SQL twins.
@@ -72,7 +72,6 @@ def split_columns(text: str) -> list[str]:
 
 def rounded(df: DataFrame, places: int = 6, **override: int) -> DataFrame:
     """Round every double column, as the SQL twins do, so that summation order cannot show."""
-    return df.select(*[
-        (F.round(F.col(n), override.get(n, places)) + 0.0).alias(n) if t in ("double", "float") else F.col(n)
-        for n, t in df.dtypes
+    return df.selectExpr(*[
+        f"round({n}, {override.get(n, places)}) + 0D AS {n}" if t in ("double", "float") else n for n, t in df.dtypes
     ])

@@ -182,14 +182,21 @@ def complete(df: DataFrame) -> DataFrame:
     lacking = [n for n in REQUIRED if n not in df.columns]
     if lacking:
         raise ValueError(f"events lack required columns {lacking}")
-    cols = []
-    for f in EVENT_SCHEMA:
-        if f.name in df.columns:
-            c = F.col(f.name).cast(f.dataType)
-            cols.append((F.coalesce(c, F.lit(DEFAULTS[f.name])) if f.name in DEFAULTS else c).alias(f.name))
-        else:
-            cols.append(F.lit(DEFAULTS[f.name]).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    have = set(df.columns)
+
+    def filled(f: T.StructField) -> str:
+        kind = f.dataType.simpleString()
+        default = f"CAST({_literal(DEFAULTS[f.name])} AS {kind})" if f.name in DEFAULTS else None
+        if f.name not in have:
+            return f"{default} AS {f.name}"
+        value = f"CAST({f.name} AS {kind})"
+        return f"{value} AS {f.name}" if default is None else f"coalesce({value}, {default}) AS {f.name}"
+
+    return df.selectExpr(*[filled(f) for f in EVENT_SCHEMA])
+
+
+def _literal(value: object) -> str:
+    return f"'{value}'" if isinstance(value, str) else str(value).lower()
 
 
 def nullify(df: DataFrame) -> DataFrame:
@@ -206,11 +213,13 @@ def nullify(df: DataFrame) -> DataFrame:
 
 def apply_sentinel(df: DataFrame, columns: list[str], as_float: bool = False) -> DataFrame:
     """The edge rule for feature columns: null and NaN become -1, infinities become +-1e12."""
-    def edge(n: str) -> Column:
-        c = F.col(n).cast("double")
-        c = F.when(c.isNull() | F.isnan(c), F.lit(-1.0)).otherwise(F.greatest(F.least(c, F.lit(1e12)), F.lit(-1e12)))
-        return c.cast("float") if as_float else c
-    return df.withColumns({n: edge(n) for n in columns})
+    kind = "float" if as_float else "double"
+    edge = {
+        n: f"CAST(CASE WHEN {n} IS NULL OR isnan({n}) THEN -1D "
+           f"ELSE greatest(least(CAST({n} AS double), 1e12D), -1e12D) END AS {kind}) AS {n}"
+        for n in columns
+    }
+    return df.selectExpr(*[edge.get(n, n) for n in df.columns])
 
 
 def strip_oracle(df: DataFrame) -> DataFrame:
