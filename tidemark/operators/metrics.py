@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.plans.values import exact_quantiles, score_curve
+from tidemark.plans.values import exact_quantiles, score_curve, sums_at_or_above
 
 c = F.col
 
@@ -238,18 +238,16 @@ def approval_delta(df: DataFrame, ours: str, incumbent: str, amount: str, y: str
     ref = base.agg(
         F.sum(amount).alias("total"), F.count(F.lit(1)).alias("n"),
         F.sum(F.when(c(incumbent) < c("t_inc"), fraud).otherwise(0.0)).alias("f"), F.avg(S.flag(c(incumbent) < c("t_inc"))).alias("incumbent_approval"),
-    ).select("n", "total", "incumbent_approval", (10_000.0 * c("f") / c("total")).alias("target_bps"))
+        F.sum(fraud).alias("fraud_total"),
+    ).select("n", "total", "fraud_total", "incumbent_approval", (10_000.0 * c("f") / c("total")).alias("target_bps"))
     cands = exact_quantiles(rows, c(ours), grid).select(c("q_idx"), c("value").alias("t"))
-    # What lies below each candidate comes from the score curve: one pass, no rows x candidates.
-    table = score_curve(rows, c(ours), (), fraud=fraud, n=F.lit(1))
-    at = table.join(F.broadcast(cands), c("score") >= c("t"), "inner").groupBy("q_idx").agg(
-        F.max("t").alias("t"), F.max("total_fraud").alias("tf"), F.max("total_n").alias("tn"), F.sum("fraud").alias("af"), F.sum("n").alias("an"))
-    scored = at.crossJoin(F.broadcast(ref)).withColumn("bps", 10_000.0 * (c("tf") - c("af")) / c("total")).withColumn(
+    at = sums_at_or_above(rows, c(ours), cands, af=fraud, an=F.lit(1))
+    scored = at.crossJoin(F.broadcast(ref)).withColumn("bps", 10_000.0 * (c("fraud_total") - c("af")) / c("total")).withColumn(
         "gap", F.abs(c("bps") - c("target_bps")))
     # Equal gaps (runs of tied candidates) go to the first candidate; rounding keeps float noise out of the choice.
     best = scored.orderBy(F.round("gap", 9), "q_idx").limit(1)
-    return best.select("target_bps", c("bps").alias("realised_bps"), "incumbent_approval", ((c("tn") - c("an")) / c("tn")).alias("our_approval"),
-                       (100.0 * ((c("tn") - c("an")) / c("tn") - c("incumbent_approval"))).alias("approval_delta_pp"))
+    return best.select("target_bps", c("bps").alias("realised_bps"), "incumbent_approval", ((c("n") - c("an")) / c("n")).alias("our_approval"),
+                       (100.0 * ((c("n") - c("an")) / c("n") - c("incumbent_approval"))).alias("approval_delta_pp"))
 
 
 def sibling_recall(df: DataFrame, threshold: Column | float, score: str = "score", y: str = "y") -> DataFrame:

@@ -82,12 +82,13 @@ def pct_rank(df: DataFrame, value: Column, out: str, by: Sequence[str] = (), tie
 
 def rank_against(
     rows: DataFrame, ref: DataFrame, value: Column, ref_value: Column,
-    by: Sequence[str] = (), ref_by: Sequence[str] | None = None, tie: str = "event_id",
+    by: Sequence[str] = (), ref_by: Sequence[str] | None = None, tie: str = "event_id", neighbours: bool = False,
 ) -> DataFrame:
     """Position of each row's value in a stored sample of the same group.
 
     Adds ``n_less`` and ``n_equal`` (sample values below / equal) and ``n_ref`` (sample size, 0 for a
-    group the sample lacks).
+    group the sample lacks).  With ``neighbours`` also ``ref_prev`` and ``ref_next``, the closest sample
+    values below and at-or-above.
     """
     ref_by = by if ref_by is None else ref_by
     stored = value_table(ref, ref_by, ref_value, __n=F.lit(1)).withColumn(
@@ -96,6 +97,11 @@ def rank_against(
     asked = value_table(rows, by, value, __n=F.lit(0))
     table = stored.unionByName(asked).groupBy("__grp", "__val").agg(F.sum("__n").alias("n_equal"))
     table = with_total(below(table, n_less="n_equal"), n_ref="n_equal")
+    if neighbours:
+        held = F.when(F.col("n_equal") > 0, F.col("__val"))
+        table = ordered(table, ["__grp"], ["__val"], {"ref_prev": Running("max", held)})
+        table = ordered(table.withColumn("__neg", -F.col("__val")), ["__grp"], ["__neg"],
+                        {"ref_next": Running("min", held, inclusive=True)}).drop("__neg")
     marked = rows.withColumn("__grp", _group(by)).withColumn("__val", value.cast("double"))
     return lookup(marked, table, ["__grp", "__val"], tie).drop("__grp", "__val")
 
@@ -135,3 +141,17 @@ def score_curve(df: DataFrame, score: Column, by: Sequence[str] = (), **sums: Co
         *[F.col(f"__grp.{b}").alias(b) for b in by], "score", *sums,
         *[f"above_{n}" for n in sums], *[f"total_{n}" for n in sums],
     )
+
+
+def sums_at_or_above(df: DataFrame, value: Column, points: DataFrame, **sums: Column) -> DataFrame:
+    """For each row (q_idx, t) of a bounded point table: the sums over rows with ``value >= t``.
+
+    Rows are bucketed by how many points they reach and summed per bucket, so one pass and a table of
+    at most points + 1 rows replace a rows-by-points product.
+    """
+    edges = points.agg(F.array_sort(F.collect_list("t")).alias("__pts"))
+    reach = lambda v: F.size(F.filter("__pts", lambda p: p <= v))
+    buckets = df.crossJoin(F.broadcast(edges)).groupBy(reach(value).alias("__b")).agg(*[F.sum(s).alias(n) for n, s in sums.items()])
+    asked = points.crossJoin(F.broadcast(edges)).withColumn("__r", reach(F.col("t"))).drop("__pts")
+    joined = asked.join(F.broadcast(buckets), F.col("__b") >= F.col("__r"), "left")
+    return joined.groupBy("q_idx", "t").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums])

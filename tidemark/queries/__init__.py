@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("labels", "rules")
+MODULES = ("metrics", "scores")
 _ALL = (
     "kernels", "features", "labels", "rules", "scores", "policy", "metrics", "drift", "composition", "loop", "streams",
     "sources",

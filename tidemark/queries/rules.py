@@ -60,7 +60,7 @@ STREAM_RULES_SQL = f"""WITH {DOUBLED}, s AS (SELECT *, row_number() OVER (ORDER
     """
 
 
-@query("invariants_stream", STREAM_RULES_SQL + " SELECT invariant_id, event_id, rail, message_kind FROM v WHERE invariant_id <> 'F1-PAIR-05'")
+@query("invariants_stream", STREAM_RULES_SQL.replace(DOUBLED, FULL, 1) + " SELECT invariant_id, event_id, rail, message_kind FROM v WHERE invariant_id <> 'F1-PAIR-05'")
 def _stream_rules(spark, sf):
     return R.check_stream_rules(payments(spark, sf)).filter("invariant_id <> 'F1-PAIR-05'")
 

@@ -86,7 +86,7 @@ COLUMNS: dict[str, str] = {
     "threeds_language": pick("e + u", "en-IN", "ru-RU", "hi-IN", ""),
     "threeds_ip_asn": pick("u", "AS64501", "AS13335", "", "AS64510"),
     "emv_cryptogram_present": "(e + k) % 12 IN (4, 5) OR e % 31 = 0",
-    "emv_cryptogram_atc": maybe("e % 37 <> 0", "CAST(e / 2 AS BIGINT) + k", "-1"),
+    "emv_cryptogram_atc": maybe("e % 37 <> 0", whole("e / 2.0") + " + k", "-1"),
     "emv_cryptogram_verified": "k % 6 <> 0",
     "emv_unpredictable_number": maybe("e % 41 <> 0", "'un'"),
     "issuer_application_data_consistent": "k % 8 <> 0",
