@@ -114,13 +114,11 @@ def exact_quantiles(df: DataFrame, value: Column, qs: Sequence[float], by: Seque
     table = value_table(df, by, value, __n=F.lit(1)).filter(F.col("__val").isNotNull())
     table = with_total(below(table, __less="__n"), __tot="__n")
     first, last = F.col("__less"), F.col("__less") + F.col("__n") - 1
-    at = lambda q: F.lit(float(q)) * (F.col("__tot") - 1)
-    picks = [
-        F.when((F.ceil(at(q)) >= first) & (F.floor(at(q)) <= last),
-               F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), at(q).alias("h")))
-        for i, q in enumerate(qs)
-    ]
-    hits = table.select("__grp", "__val", "__less", "__n", F.explode(F.array_compact(F.array(*picks))).alias("p"))
+    # Only the few values at a requested rank survive the filter over the (short, literal) grid.
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
+    ranked = F.transform(grid, lambda g: F.struct(g["i"].alias("i"), g["q"].alias("q"), (g["q"] * (F.col("__tot") - 1)).alias("h")))
+    picks = F.filter(ranked, lambda g: (F.ceil(g["h"]) >= first) & (F.floor(g["h"]) <= last))
+    hits = table.select("__grp", "__val", "__less", "__n", F.explode(picks).alias("p"))
     covers = lambda r: (r >= F.col("__less")) & (r < F.col("__less") + F.col("__n"))
     h = F.col("p.h")
     out = hits.groupBy("__grp", F.col("p.i").alias("q_idx"), F.col("p.q").alias("q")).agg(
