@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import catalogue as C
 from tidemark.operators.metrics import curve, curve_metrics, recall_at_fpr_from
+from tidemark.plans.cut import cut
 from tidemark.plans.values import below, exact_quantiles, rank_against, sums_at_or_above, value_table, with_total
 
 c = F.col
@@ -233,33 +234,27 @@ def fit_action_table(rows: DataFrame, score: str = "score", rail: str = "rail",
     point; review spends the alert budget on the band below decline; friction spends each rail's cap on
     the band below review.
     """
-    live = rows.select(score, rail, amount, y)
+    # Four columns are kept; each step below returns one row, so the lineage never nests.
+    live = cut(rows.select(score, rail, amount, y))
+    at = lambda df: F.when(c("above_max"), _next_up(c("threshold"))).otherwise(c("threshold"))
     first = capacity_threshold(live, score, friction_cap(c(rail)), [rail])
-    t1 = F.when(c("above_max"), _next_up(c("threshold"))).otherwise(c("threshold"))
-    # One number per rail: rails are a closed vocabulary.
-    mid = first.agg(F.percentile(t1, 0.5).alias("__t_fr"))
+    t_fr = first.agg(F.percentile(at(first), 0.5)).first()[0]
     step = (0.99999 - 0.90) / 39
-    cands = exact_quantiles(live, c(score), [0.90 + i * step for i in range(40)]).select("q_idx", c("value").alias("t"))
-    with_mid = live.crossJoin(F.broadcast(mid))
-    cost = total_cost_at(with_mid, cands, c("__t_fr"), costs, score, amount, y).crossJoin(F.broadcast(mid)).filter(c("t") >= c("__t_fr"))
+    cands = exact_quantiles(live, c(score), [*[0.90 + i * step for i in range(40)], 0.999]).select("q_idx", c("value").alias("t"))
+    cost = total_cost_at(live, cands, F.lit(t_fr), costs, score, amount, y)
     # Equal costs go to the lowest candidate, as in a sweep upwards; rounding hides summation order.
-    best = cost.groupBy().agg(F.min(F.struct(F.round("cost", 4).alias("cost"), c("t"))).alias("b"))
-    q999 = exact_quantiles(live, c(score), [0.999]).select(c("value").alias("__q"))
-    decline = best.crossJoin(F.broadcast(q999)).crossJoin(F.broadcast(mid)).select(
-        F.greatest(F.coalesce(c("b.t"), c("__q")), c("__t_fr")).alias("t_decline"), "__t_fr")
-    at = live.crossJoin(F.broadcast(decline))
-    share = at.agg(F.avg(S.flag(c(score) >= c("t_decline"))).alias("__declined"))
-    rev = capacity_threshold(live.crossJoin(F.broadcast(share)), score, F.least(F.lit(1.0), budget + c("__declined")), ["__declined"])
-    t2 = F.when(c("above_max"), _next_up(c("threshold"))).otherwise(c("threshold"))
-    bands = decline.crossJoin(F.broadcast(rev.select(t2.alias("__t")))).select(
-        "t_decline", F.least(F.greatest(c("__t"), c("__t_fr")), c("t_decline")).alias("t_review"))
-    over = live.crossJoin(F.broadcast(bands)).groupBy(rail).agg(F.avg(S.flag(c(score) >= c("t_review"))).alias("__over"))
+    swept = F.when((c("t") >= t_fr) & (c("q_idx") < 40), F.struct(F.round("cost", 4).alias("cost"), c("t")))
+    best = cost.agg(F.min(swept).alias("b"), F.max(F.when(c("q_idx") == 40, c("t"))).alias("q999")).first()
+    t_decline = max(best["q999"] if best["b"] is None else best["b"]["t"], t_fr)
+    declined = live.agg(F.avg(S.flag(c(score) >= t_decline))).first()[0]
+    review = capacity_threshold(live, score, F.lit(min(1.0, budget + declined)))
+    t_review = min(max(review.select(at(review)).first()[0], t_fr), t_decline)
+    over = live.groupBy(rail).agg(F.avg(S.flag(c(score) >= t_review)).alias("__over"))
+    # One row per rail, and rails are a closed vocabulary.
     second = capacity_threshold(live.join(F.broadcast(over), rail), score, F.least(F.lit(1.0), friction_cap(c(rail)) + c("__over")), [rail, "__over"])
-    t3 = F.when(c("above_max"), _next_up(c("threshold"))).otherwise(c("threshold"))
-    table = second.select(rail, t3.alias("__t3")).crossJoin(F.broadcast(bands))
-    fr = F.least(c("__t3"), c("t_review"))
-    ordered_review = F.greatest(c("t_review"), fr)
-    return table.select(rail, fr.alias("t_friction"), ordered_review.alias("t_review"), F.greatest(c("t_decline"), ordered_review).alias("t_decline"))
+    fr = F.least(at(second), F.lit(t_review))
+    table = second.select(rail, fr.alias("t_friction"), F.greatest(F.lit(t_review), fr).alias("t_review"))
+    return table.withColumn("t_decline", F.greatest(F.lit(t_decline), c("t_review")))
 
 
 def collapsed_bands(table: DataFrame, tolerance: float = 1e-12) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import beneficiary as B
 from tidemark.operators import policy as P
+from tidemark.plans.cut import cut
 from tidemark.queries.metrics import AP, AUC
 from tidemark.queries.registry import query, rounded
 from tidemark.queries.scored import SCORED_SQL, scored
@@ -140,6 +141,11 @@ def action_table(spark, sf):
     return P.fit_action_table(scored(spark, sf))
 
 
+def frozen_table(spark, sf):
+    """The fitted table as scoring would load it."""
+    return cut(action_table(spark, sf))
+
+
 @query("action_table", f"WITH {TABLE_SQL} SELECT rail, round(t_friction, 9) AS t_friction, round(t_review, 9) AS t_review, round(t_decline, 9) AS t_decline FROM tab")
 def _table(spark, sf):
     return rounded(action_table(spark, sf), 9)
@@ -158,7 +164,7 @@ _LADDER = "CASE band WHEN 'approve' THEN 'approve' " + " ".join(
 
 def banded(spark, sf):
     rows = scored(spark, sf).withColumns({"guard": c("event_id") % 101 == 0, "abstained": c("event_id") % 37 == 0})
-    return P.with_band(rows, action_table(spark, sf), guard=c("guard"), abstained=c("abstained"))
+    return P.with_band(rows, frozen_table(spark, sf), guard=c("guard"), abstained=c("abstained"))
 
 
 @query("band_and_action", f"WITH {BAND_SQL} SELECT event_id, band, {_LADDER} AS action FROM ba")
@@ -245,9 +251,10 @@ def _batch(spark, sf):
     """Everything together: ranks, calibration, abstention, bands and reason codes of the serving half."""
     rows = components(spark, sf).withColumn("conformal_p", 1.0 - c("g2_conformal") * 0.99)
     fit = rows.filter("half")
-    fitted = P.ecdf_ranks(fit, fit, P.COMPONENTS).withColumn("fused", P.fused(P.COMPONENTS)).join(fit.select("event_id", "y", "rail", "amount"), "event_id")
+    fitted = P.ecdf_ranks(fit, fit, P.COMPONENTS).withColumn("fused", P.fused(P.COMPONENTS))
+    fitted = cut(fitted.select("event_id", "fused").join(fit.select("event_id", "y", "rail", "amount"), "event_id"))
     model = P.fit_isotonic(fitted, "fused")
-    table = P.fit_action_table(P.calibrate(model, fitted, "fused", "score"))
+    table = cut(P.fit_action_table(P.calibrate(model, fitted, "fused", "score")))
     out = P.score_batch(rows.filter("not half").drop("score"), P.Bundle(fit.select(*P.COMPONENTS), table, model))
     return out.select("event_id", "score", "band", "action", F.concat_ws(",", "reason_codes").alias("codes"))
 
