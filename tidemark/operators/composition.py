@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.plans.cut import cut
 from tidemark.schema import RAILS
 
 c = F.col
@@ -176,7 +177,7 @@ def slot_marginals(df: DataFrame) -> DataFrame:
 
 def variants(df: DataFrame, slots: Sequence[str] = SLOT_ORDER) -> DataFrame:
     """Every one-slot change of each composition: adds ``slot``, ``value`` and replaces the slot's column."""
-    options = F.flatten(F.array(*[F.transform(F.array(*[F.lit(v) for v in SLOTS[s]]), lambda v, s=s: F.struct(F.lit(s).alias("slot"), v.alias("value"))) for s in slots]))
+    options = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(v).alias("value")) for s in slots for v in SLOTS[s]])
     out = df.withColumn("__o", F.explode(options)).select("*", "__o.slot", "__o.value").drop("__o")
     was = S.first_match([(c("slot") == s, c(s)) for s in SLOT_ORDER], F.lit(None))
     return out.withColumn("was", was).withColumns({s: F.when(c("slot") == s, c("value")).otherwise(c(s)) for s in SLOT_ORDER})
@@ -338,15 +339,15 @@ def js_merge(elites: DataFrame, key: str, attribution: str, threshold: float = 0
     # An empty attribution diverges by 0 from everything, so it links to the smallest key.
     hub = elites.agg(F.min(key).alias("a"))
     near = near.unionByName(empty.crossJoin(F.broadcast(hub)).filter(c("a") != c("e")).select("a", c("e").alias("b")))
-    edges = near.unionByName(near.select(c("b").alias("a"), c("a").alias("b"))).distinct().persist()
-    labels = elites.select(c(key).alias("n"), c(key).alias("l")).persist()
+    edges = cut(near.unionByName(near.select(c("b").alias("a"), c("a").alias("b"))).distinct())
+    labels = cut(elites.select(c(key).alias("n"), c(key).alias("l")))
     for _ in range(max_rounds):
-        low = edges.join(labels, edges["b"] == labels["n"]).groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(low, labels["n"] == low["a"], "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l"), c("l").alias("old"))
-        jump = step.alias("x").join(step.alias("y"), c("x.l") == c("y.n"), "left").select(c("x.n").alias("n"), F.least(c("x.l"), F.coalesce(c("y.l"), c("x.l"))).alias("l"), c("x.old").alias("old")).persist()
-        changed = jump.filter(c("l") != c("old")).limit(1).count()
-        labels = jump.select("n", "l")
-        if not changed:
+        low = edges.join(labels, c("b") == c("n")).groupBy("a").agg(F.min("l").alias("m"))
+        step = labels.join(low, c("n") == c("a"), "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l"), c("l").alias("old"))
+        own = step.select(c("n").alias("of"), c("l").alias("hop"))
+        moved = cut(step.join(own, c("l") == c("of"), "left").select("n", F.least("l", F.coalesce("hop", "l")).alias("l"), "old"))
+        labels = moved.select("n", "l")
+        if moved.filter(c("l") != c("old")).isEmpty():
             break
     return labels.select(c("n").alias(key), c("l").alias("component"))
 

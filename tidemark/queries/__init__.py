@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("composition", "drift")
+MODULES = ("composition", "loop", "policy")
 _ALL = (
     "kernels", "features", "labels", "rules", "scores", "policy", "metrics", "drift", "composition", "loop", "streams",
     "sources",

@@ -184,10 +184,10 @@ def _js(spark, sf):
     return rounded(out.withColumn("js", F.greatest(c("js"), F.lit(0.0))))
 
 
-@query("js_merge", f"""WITH RECURSIVE {JS}, ed AS (SELECT a, b FROM js WHERE js < 0.004 UNION ALL SELECT b, a FROM js WHERE js < 0.004),
+@query("js_merge", f"""WITH RECURSIVE {JS}, ed AS (SELECT a, b FROM js WHERE js < 0.0004 UNION ALL SELECT b, a FROM js WHERE js < 0.0004),
     w(n, l) AS (SELECT cell_id, cell_id FROM pr UNION SELECT ed.b, w.l FROM w JOIN ed ON ed.a = w.n) SELECT n AS cell_id, min(l) AS component FROM w GROUP BY n""")
 def _merge(spark, sf):
-    return X.js_merge(attributed(spark, sf), "cell_id", "attribution", threshold=0.004)
+    return X.js_merge(attributed(spark, sf), "cell_id", "attribution", threshold=0.0004)
 
 
 @query("observable_delta", f"WITH {ELITES}, v AS (" + " UNION ALL ".join(f"SELECT '{s}' AS slot, {s} AS value, avg(abs(CAST(id % 11 AS DOUBLE) - 5)) AS m FROM ee GROUP BY 2" for s in X.SLOT_ORDER) + """)
