@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("composition", "loop", "policy")
-_ALL = (
+MODULES = (
     "kernels", "features", "labels", "rules", "scores", "policy", "metrics", "drift", "composition", "loop", "streams",
     "sources",
 )
