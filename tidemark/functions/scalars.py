@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 Z95 = 1.959963984540054
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, for array work that is not compiled into the stage."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def flag(cond: Column) -> Column:
     return F.when(cond, 1.0).otherwise(0.0)
 
@@ -48,23 +53,30 @@ def tokens(text: Column) -> Column:
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
-    ta, tb = tokens(F.coalesce(a, F.lit(""))), tokens(F.coalesce(b, F.lit("")))
-    either = F.size(F.array_union(ta, tb))
-    return F.when((F.size(ta) > 0) & (F.size(tb) > 0), F.size(F.array_intersect(ta, tb)) / either).otherwise(0.0)
+    pair = F.struct(tokens(F.coalesce(a, F.lit(""))).alias("a"), tokens(F.coalesce(b, F.lit(""))).alias("b"))
+
+    def overlap(p: Column) -> Column:
+        # The words of each side are distinct, so the union's size follows from the intersection's.
+        common = F.size(F.array_intersect(p["a"], p["b"]))
+        return let(common, lambda n: F.when((F.size(p["a"]) > 0) & (F.size(p["b"]) > 0), n / (F.size(p["a"]) + F.size(p["b"]) - n)).otherwise(0.0))
+    return let(pair, overlap)
 
 
 def entropy_of(values: Column) -> Column:
     """Shannon entropy (nats) of an array's values."""
-    n = F.size(values).cast("double")
-    share = lambda x: F.size(F.filter(values, lambda y: y == x)) / n
-    parts = F.transform(F.array_distinct(values), lambda x: -share(x) * F.ln(share(x)))
-    return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p)
+    def total(v: Column) -> Column:
+        n = F.size(v).cast("double")
+        counts = F.transform(F.array_distinct(v), lambda x: F.size(F.filter(v, lambda y: y == x)).cast("double"))
+        return F.ln(n) - F.aggregate(counts, F.lit(0.0), lambda acc, k: acc + k * F.ln(k)) / n
+    return let(values, total)
 
 
 def rolling_entropy(values: Column) -> Column:
     """Entropy over log of the distinct values (at least 2), -1 below three values."""
-    kinds = F.greatest(F.size(F.array_distinct(values)), F.lit(2)).cast("double")
-    return F.when(F.size(values) >= 3, entropy_of(values) / F.ln(kinds)).otherwise(-1.0)
+    def scaled(v: Column) -> Column:
+        kinds = F.greatest(F.size(F.array_distinct(v)), F.lit(2)).cast("double")
+        return F.when(F.size(v) >= 3, entropy_of(v) / F.ln(kinds)).otherwise(-1.0)
+    return let(values, scaled)
 
 
 def array_mean(values: Column) -> Column:
@@ -73,18 +85,21 @@ def array_mean(values: Column) -> Column:
 
 def array_cv(values: Column) -> Column:
     """Population coefficient of variation, -1 below three values or for a mean near zero."""
-    mean = array_mean(values)
-    var = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.nullif(F.size(values), F.lit(0))
-    return F.when((F.size(values) >= 3) & (F.abs(mean) > 1e-12), F.sqrt(var) / F.nullif(mean, F.lit(0.0))).otherwise(-1.0)
+    def spread(p: Column) -> Column:
+        mean = p["m"]
+        var = F.aggregate(p["v"], F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(p["v"])
+        return F.when(F.abs(mean) > 1e-12, F.sqrt(var) / F.nullif(mean, F.lit(0.0))).otherwise(-1.0)
+    pair = let(values, lambda v: F.struct(v.alias("v"), array_mean(v).alias("m")))
+    return F.when(F.size(values) >= 3, let(pair, spread)).otherwise(-1.0)
 
 
 def array_median(values: Column) -> Column:
     """Median of an array, null when empty."""
-    s = F.array_sort(values)
-    n = F.size(s)
-    lo = F.floor((n - 1) / 2).cast("int")
-    hi = F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(s, lo) + F.get(s, hi)) / 2.0)
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        lo, hi = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+        return F.when(n > 0, (F.get(s, lo) + F.get(s, hi)) / 2.0)
+    return let(F.sort_array(values), middle)
 
 
 def circular_gap(a: Column, b: Column, period: float) -> Column:

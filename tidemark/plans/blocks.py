@@ -45,6 +45,15 @@ def is_small(df: DataFrame) -> bool:
     return estimated_bytes(df) < _conf_int(df.sparkSession, MIN_BYTES_CONF, DEFAULT_MIN_BYTES)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before heavy per-row work.
+
+    A small file is one scan task however much work each row takes; a large input has many splits
+    already and is left as it is.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if not df.isStreaming and is_small(df) else df
+
+
 def group_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
