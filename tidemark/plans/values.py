@@ -45,9 +45,10 @@ def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], tie: str) -> Da
     if not hot:
         return rows.join(table, on, "left")
     is_hot = group_hash(on).isin(hot)
-    salted = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(tie), F.lit(SALTS))).otherwise(F.lit(0)))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = table.withColumn("__salt", F.explode(copies).cast("bigint"))
+    salted = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(tie), F.lit(SALTS))).otherwise(F.lit(0)).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    copies = F.when(is_hot, F.sequence(zero, F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(zero))
+    spread = table.withColumn("__salt", F.explode(copies))
     return salted.join(spread, [*on, "__salt"], "left").drop("__salt")
 
 

@@ -508,6 +508,6 @@ def _view(spark, sf):
 
 @query("feature_matrix")
 def _matrix(spark, sf):
-    """Every model feature of the issuer's view."""
+    """Every model feature the payee PSP can construct."""
     prep = prepared(spark, sf)
-    return FE.build_features(prep, stats_for(prep), C.features_for_view("issuer"), as_float=True)
+    return FE.build_features(prep, stats_for(prep), C.features_for_view("payee_psp"), as_float=True)
