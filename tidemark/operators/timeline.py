@@ -130,17 +130,17 @@ class Timeline:
         )
 
 
-def novelty(df: DataFrame, keys: Sequence[str], value: Sequence[str], out: str, **kw) -> DataFrame:
-    """1.0 on the first sight of ``value`` for the key over all history; 0.0 for a blank key."""
-    first = Timeline(df, [*keys, *value], **kw)
-    probe = F.lit(1)
-    built = ordered(
-        df.withColumns({f"__n{i}": F.coalesce(F.col(c).cast("string"), F.lit("\0")) for i, c in enumerate(value)})
-        .withColumn("__nv", F.concat_ws("\1", *[F.concat(F.lit("v"), F.col(f"__n{i}")) for i in range(len(value))])),
-        [*keys, "__nv"], first.order, {"__seen": Prev(probe)}, first.plan,
-    )
+def novelty(
+    df: DataFrame, keys: Sequence[str], value: Sequence[str], out: str, ts: str = "ts_us", tie: str = "event_id",
+) -> DataFrame:
+    """1.0 on the first sight of ``value`` for the key over all history; 0.0 for a blank key.
+
+    A blank value is a value, so it is wrapped before it becomes part of the group.
+    """
+    marked = df.withColumn("__nv", F.struct(*[F.coalesce(F.col(v).cast("string"), F.lit("")) for v in value]))
+    built = ordered(marked, [*keys, "__nv"], [ts, tie], {"__seen": Prev(F.lit(1))})
     flag = F.when(blank(df, keys), 0.0).otherwise(F.when(F.col("__seen").isNull(), 1.0).otherwise(0.0))
-    return built.withColumn(out, flag).drop("__seen", "__nv", *[f"__n{i}" for i in range(len(value))])
+    return built.withColumn(out, flag).drop("__seen", "__nv")
 
 
 def trailing_distinct(
