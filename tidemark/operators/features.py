@@ -21,7 +21,7 @@ from tidemark.operators import catalogue as C
 from tidemark.operators import kernels as K
 from tidemark.operators.timeline import DAY, HOUR, WINDOWS, Timeline, novelty, trailing_distinct
 from tidemark.plans.blocks import blank
-from tidemark.plans.values import exact_quantiles, lookup, pct_rank
+from tidemark.plans.values import exact_quantiles, lookup
 from tidemark.schema import RAILS, UPI_RAILS, apply_sentinel
 
 c = F.col

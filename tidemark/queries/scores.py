@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import catalogue as C
 from tidemark.operators import features as FE
 from tidemark.operators import metrics as M
 from tidemark.operators import scores as SC
-from tidemark.queries.features import family_sql, prepared
+from tidemark.queries.features import prepared
 from tidemark.queries.registry import query, rounded, table
 from tidemark.queries.scored import SCORED_SQL, scored
 from tidemark.queries.standin import payments, payments_sql
