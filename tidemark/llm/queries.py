@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from tidemark.llm import langid, simhash, toxicity
+from tidemark.llm import decontaminate, embeddings, html, langid, mixing, simhash, suffix_lm, tokens, toxicity, urls
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(fn):
+def query(fn=None, *, sql: str | None = None):
+    """Register a (spark, folder) -> DataFrame function under its name, with its SQL where there is one."""
+    if fn is None:
+        return lambda f: query(f, sql=sql)
     QUERIES[fn.__name__] = fn
+    if sql is not None:
+        SQL[fn.__name__] = sql
     return fn
 
 
@@ -22,6 +25,23 @@ def op1_simhash_pivots(spark, folder):
     return marked.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query
+def op2_embedding_lsh(spark, folder):
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op3_token_counts(spark, folder):
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(sql=urls.SQL)
+def op4_url_rules(spark, folder):
+    return urls.judge(table(spark, folder, "pages"))
+
+
 @query
 def op5_toxicity(spark, folder):
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -30,3 +50,23 @@ def op5_toxicity(spark, folder):
 @query
 def op6_language(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
+
+
+@query(sql=decontaminate.SQL)
+def op7_benchmark_windows(spark, folder):
+    return decontaminate.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op8_main_text(spark, folder):
+    return html.extract(table(spark, folder, "pages"))
+
+
+@query(sql=mixing.SQL)
+def op9_source_mix(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query
+def op10_suffix_tree(spark, folder):
+    return suffix_lm.score_documents(table(spark, folder, "documents"))

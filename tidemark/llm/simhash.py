@@ -127,28 +127,31 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted batches, cut between groups (the first two columns) at about ``rows`` rows."""
-    held: list[list[np.ndarray]] = []
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Tables of batches that are sorted by the columns ``by``, cut between groups at about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
     count = 0
-
-    def merged() -> list[np.ndarray]:
-        return [np.concatenate([h[k] for h in held]) for k in range(len(names))]
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+        held.append(batch)
         count += batch.num_rows
         if count >= rows:
-            cols = merged()
-            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-            if not last.all():
-                yield [c[~last] for c in cols]
-                cols = [c[last] for c in cols]
-            held, count = [cols], len(cols[0])
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = [table.column(n).to_numpy() for n in by]
+            begin = int(np.argmax(np.logical_and.reduce([k == k[-1] for k in keys])))  # of the last group, which may go on
+            if begin:
+                yield table.slice(0, begin)
+                table = table.slice(begin)
+            held, count = table.to_batches(), table.num_rows
     if held:
-        yield merged()
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_numbers(table: pa.Table, by: list[str]) -> np.ndarray:
+    """0, 1, 2 ... by the group of each row of a sorted table."""
+    keys = [table.column(n).to_numpy() for n in by]
+    return np.cumsum(np.logical_or.reduce([np.r_[True, k[1:] != k[:-1]] for k in keys])) - 1
 
 
 def chunked(rows: DataFrame, bucket: str, order: str, chunk: int) -> DataFrame:
@@ -174,9 +177,9 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pivots: in
     points = pivot_points(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, item, fp in whole_groups(batches, ["bucket", "item", "fp"]):
-            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (item[1:] != item[:-1])]
-            a, b = near_pairs(fp.view(np.uint64), np.cumsum(new) - 1, points, radius)
+        for rows in whole_groups(batches, ["bucket", "item"]):
+            fp = rows.column("fp").to_numpy()
+            a, b = near_pairs(fp.view(np.uint64), group_numbers(rows, ["bucket", "item"]), points, radius)
             value, row = np.unique(fp, return_inverse=True)
             root = forest(len(value), row[a], row[b])
             low = np.flatnonzero(root != np.arange(len(value)))
