@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, written
+from tidemark.llm.common import ascii_lower, fresh, written
 
 WINDOW, BROADCAST = 10, 200_000
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # digits, a-z and all that is not ASCII
@@ -103,9 +103,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: in
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of any item."""
     hits, _ = found(docs, benchmark, window)
-    bad = hits.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    marked = docs.withColumn("__own", F.xxhash64("text"))
-    return marked.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h")), "left_anti").select(*docs.columns)
+    own, id_, h = (fresh(docs, n) for n in ("own", "bad_id", "bad_h"))
+    bad = hits.select(F.col("doc_id").alias(id_), F.col("h").alias(h)).distinct()
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    return marked.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(h)), "left_anti").select(*docs.columns)
 
 
 SQL = r"""

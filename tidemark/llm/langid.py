@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, code_points, held_out, letters, slices
+from tidemark.llm.common import bounded_batches, code_points, fresh, held_out, letters, slices
 
 BUCKETS, SMOOTH, PER_LANG, MAX_LANGS = 1 << 15, 0.5, 3000, 500
 # N-grams of one text are far from independent: evidence counts as that of at most so many of them.
@@ -32,12 +33,11 @@ _MIX = np.uint32(2654435761)
 def grams(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order, the owners (positions in ``texts``) and cells of all n-grams that hold a letter in their middle."""
     low = [(t or "").lower() for t in texts]
-    codes = code_points(" " + "".join(f"{t} " for t in low))
+    codes = code_points(" " + "".join(f"{t} " for t in low) + " ")
     owner = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
     known = letters()[codes]
     c = np.where(known, codes, np.uint32(32))
     before, here, after, is_letter = c[:-2], c[1:-1], c[2:], known[1:-1]
-    owner = owner[:-1]
     shift = np.uint32(32 - (buckets.bit_length() - 1))
 
     def cells(key: np.ndarray) -> np.ndarray:
@@ -74,12 +74,12 @@ class Model:
                 [0.0 if blank[i] else float(post[b, i]) for i, b in enumerate(best)])
 
 
-def training_sample(docs: DataFrame, per_lang: int) -> DataFrame:
+def training_sample(docs: DataFrame, sizes: dict[str, int], per_lang: int) -> DataFrame:
     """About ``per_lang`` rows of each language: those whose hash falls below the language's share."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rate = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", F.least(F.lit(1.0), per_lang / F.col("n")).alias("rate"))
+    rates = [(k, min(1.0, per_lang / n)) for k, n in sizes.items()]  # at most MAX_LANGS
+    rate = docs.sparkSession.createDataFrame(rates, "lang string, rate double")
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(rate, "lang").filter(draw < F.col("rate")).select("lang", "text")
+    return docs.filter("text is not null").join(F.broadcast(rate), "lang").filter(draw < F.col("rate")).select("lang", "text")
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(sizes)
-    summed = training_sample(docs, per_lang).mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    summed = training_sample(docs, sizes, per_lang).mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(langs), BUCKETS))
     got = summed.toPandas()  # at most languages x BUCKETS rows
     at = {name: k for k, name in enumerate(langs)}
@@ -116,19 +116,18 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     return Model(langs, log_p, np.log(share / share.sum()) if langs else share)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of every row with lang_pred and score; ``docs`` has text."""
+def predict(docs: DataFrame, model: Model, keep: list[str], lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The ``keep`` columns of every row with the language predicted and its score; ``docs`` has text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [*keep, lang_pred, score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            lang, score = shared.value.predict(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*keep, "lang_pred", "score"])
+            lang, p = shared.value.predict(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=names)
 
     bounded_batches(docs.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keep], "lang_pred string", "score double"])
+    schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -143,4 +142,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose language can be told: null texts and texts without a letter go."""
     model = fit(docs.filter(~held_out("doc_id", 4, 2)).select("doc_id", "text", "lang"))
-    return predict(docs, model, docs.columns).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    told = fresh(docs, "lang_pred")
+    return predict(docs, model, docs.columns, told, fresh(docs, "score")).filter(F.col(told) != UNKNOWN).select(*docs.columns)

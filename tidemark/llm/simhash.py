@@ -213,7 +213,7 @@ def keep_first(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, **ho
     others, taken from its text, so it stays only where its group has no id.
     """
     beyond = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), beyond))
-    marked = near_duplicates(named.select(F.col("__id").alias("doc_id"), "text"), words, radius, **how)
-    keep = marked.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return named.join(keep, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), beyond).alias("id"), F.col("text").alias("own"), F.struct(*docs.columns).alias("row"))
+    marked = near_duplicates(named.select(F.col("id").alias("doc_id"), F.col("own").alias("text")), words, radius, **how)
+    keep = marked.filter("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    return named.select("id", "row").join(keep, "id", "left_semi").dropDuplicates(["id"]).select("row.*")

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, code_points, held_out, letters, slices, written
+from tidemark.llm.common import bounded_batches, code_points, fresh, held_out, letters, slices, written
 
 SAMPLE, CELLS, ORDERS, SMOOTH, TOP, LEAST = 40_000, 1 << 19, (4, 5), 2.0, 3, 1.0
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t"}
@@ -284,27 +285,28 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
     """The ``keep`` columns of every row and its score; ``docs`` has text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             got = shared.value.score(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(got)], names=[*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], pa.array(got)], names=[*keep, name])
 
     bounded_batches(docs.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keep], "__score double"]))
+    schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField(name, T.DoubleType())])
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels), ["doc_id"])
-    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("__score").alias("score"),
-                         (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not predicted toxic."""
-    return score(docs, fit(docs, labels), docs.columns).filter("__score < 0.5").select(*docs.columns)
+    name = fresh(docs, "score")
+    return score(docs, fit(docs, labels), docs.columns, name).filter(F.col(name) < 0.5).select(*docs.columns)
