@@ -108,9 +108,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     langs = sorted(sizes)
     summed = training_sample(docs, sizes, per_lang).mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(langs), BUCKETS))
-    got = summed.toPandas()  # at most languages x BUCKETS rows
+    got = summed.toArrow()  # at most languages x BUCKETS rows
     at = {name: k for k, name in enumerate(langs)}
-    counts[[at[x] for x in got["lang"]], got["cell"].to_numpy(int)] = got["n"].to_numpy(float)
+    counts[[at[x] for x in got["lang"].to_pylist()], got["cell"].to_numpy()] = got["n"].to_numpy()
     log_p = np.log(counts + SMOOTH) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
     share = np.array([sizes[x] for x in langs], float)
     return Model(langs, log_p, np.log(share / share.sum()) if langs else share)

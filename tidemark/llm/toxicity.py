@@ -239,9 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    got = sample.select("text").mapInArrow(letters_of, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = sample.select("text").mapInArrow(letters_of, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SYMBOLS ** 3)
-    counts[got["cell"].to_numpy(int)] = got["n"].to_numpy(float)
+    counts[got["cell"].to_numpy()] = got["n"].to_numpy()
     model = Model(trigram_costs(counts), np.zeros(CELLS))
     restore_with = spark.sparkContext.broadcast(model.costs)
 
@@ -260,9 +260,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     if len(sizes) < 2:
         return model
     summed = sample.mapInArrow(shares, "cell long, clean long, toxic long").groupBy("cell").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic > 0").toPandas()  # at most CELLS rows
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic > 0").toArrow()  # at most CELLS rows
     clean, toxic = np.zeros(CELLS), np.zeros(CELLS)
-    clean[summed["cell"].to_numpy(int)], toxic[summed["cell"].to_numpy(int)] = summed["clean"].to_numpy(float), summed["toxic"].to_numpy(float)
+    clean[summed["cell"].to_numpy()], toxic[summed["cell"].to_numpy()] = summed["clean"].to_numpy(), summed["toxic"].to_numpy()
 
     def weights(less_clean: int, less_toxic: int) -> np.ndarray:
         t, c = np.maximum(toxic - less_toxic, 0), np.maximum(clean - less_clean, 0)
@@ -280,8 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
             x = np.where(label, evidence(texts, by_label[1]), evidence(texts, by_label[0]))
             yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(x)], names=["toxic", "x"])
 
-    seen = sample.mapInArrow(measure, "toxic int, x double").toPandas()  # at most ``size`` rows
-    model.slope, model.offset = logistic(seen["x"].to_numpy(float), seen["toxic"].to_numpy(float))
+    seen = sample.mapInArrow(measure, "toxic int, x double").toArrow()  # at most ``size`` rows
+    model.slope, model.offset = logistic(seen["x"].to_numpy(), seen["toxic"].to_numpy())
     return model
 
 
