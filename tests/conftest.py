@@ -20,8 +20,6 @@ def spark(tmp_path_factory):
 def mode(request, spark):
     """Run a test on the plain plan and with every busy group cut into blocks."""
     if request.param == "cut":
-        spark.conf.set("spark.tidemark.blocks.minBytes", "0")
         spark.conf.set("spark.tidemark.blocks.targetRows", "12")
     yield request.param
-    spark.conf.unset("spark.tidemark.blocks.minBytes")
     spark.conf.unset("spark.tidemark.blocks.targetRows")

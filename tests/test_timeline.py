@@ -110,3 +110,37 @@ def test_later_rows_change_nothing(spark, df, rows):
     full = build(df)
     for e, s in build(early).items():
         assert s == pytest.approx(full[e])
+
+
+def test_trailing_sums_do_not_depend_on_the_plan(spark):
+    """Large values leave no residue, and cutting the key changes no bit."""
+    rnd = random.Random(5)
+    rows = [(f"e{i:04d}", "hub", i * HOUR // 4, 1e9 if i in (40, 41, 200) else rnd.choice([2.5, 0.1, 3.7])) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id string, k string, ts_us long, v double")
+    whole = got(T.Timeline(df, "k").trailing_sum("s", F.col("v"), W).build(), "s")
+    spark.conf.set("spark.tidemark.blocks.targetRows", "12")
+    cut = got(T.Timeline(df, "k").trailing_sum("s", F.col("v"), W).build(), "s")
+    spark.conf.unset("spark.tidemark.blocks.targetRows")
+    assert whole == cut
+    for i, r in enumerate(rows):
+        want = sum(p[3] for p in rows[max(0, i - 8):i])
+        assert whole[r[0]] == pytest.approx(want, rel=1e-12)
+
+
+def test_one_plan_serves_derived_frames(spark, rows, df):
+    from tidemark.plans import blocks
+
+    spark.conf.set("spark.tidemark.blocks.targetRows", "12")
+    plain = got(T.trailing_distinct(df, ["k"], "cp", {"d": W}), "d")
+    counted = []
+    real = blocks.count_and_cut
+    blocks.count_and_cut = lambda *a: counted.append(a[1]) or real(*a)
+    try:
+        with blocks.planning(df):
+            shared = got(T.trailing_distinct(df, ["k"], "cp", {"d": W}), "d")
+            again = got(T.Timeline(df, "k").trailing_count("n", W).prev("p", F.col("v")).build(), "n")
+    finally:
+        blocks.count_and_cut = real
+        spark.conf.unset("spark.tidemark.blocks.targetRows")
+    assert shared == plain and len(again) == len(rows)
+    assert sorted(counted) == [("k",), ("k", "cp")]

@@ -20,7 +20,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import catalogue as C
 from tidemark.operators import kernels as K
 from tidemark.operators.timeline import DAY, HOUR, WINDOWS, Timeline, novelty, trailing_distinct
-from tidemark.plans.blocks import blank
+from tidemark.plans.blocks import blank, planning
 from tidemark.plans.values import exact_quantiles, lookup
 from tidemark.schema import RAILS, UPI_RAILS, apply_sentinel
 
@@ -771,13 +771,14 @@ def build_features(
     if clash:
         raise ValueError(f"carried columns {clash} are features too")
     out = prepared.select("event_id", *carry, *[col.cast("double").alias(n) for n, col in own.items()])
-    for frame in FRAMES:
-        give = [n for n in frame.provides if n in wanted]
-        if not give:
-            continue
-        if frame.needs_stats and stats is None:
-            raise ValueError(f"{give} need fitted reference statistics")
-        out = out.join(frame.build(prepared, cfg, stats).select("event_id", *give), "event_id", "left")
+    with planning(prepared):  # all frames share one count per key
+        for frame in FRAMES:
+            give = [n for n in frame.provides if n in wanted]
+            if not give:
+                continue
+            if frame.needs_stats and stats is None:
+                raise ValueError(f"{give} need fitted reference statistics")
+            out = out.join(frame.build(prepared, cfg, stats).select("event_id", *give), "event_id", "left")
     out = out.withColumns({n: DERIVED[n][1]() for n in names if n in DERIVED})
     return apply_sentinel(out.select("event_id", *carry, *names), names, as_float)
 

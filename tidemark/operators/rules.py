@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark import schema as V
 from tidemark.functions import scalars as S
 from tidemark.operators.timeline import novelty
-from tidemark.plans.blocks import spread_small
+from tidemark.plans.blocks import over_cores
 from tidemark.plans.ordered import Running, ordered
 from tidemark.plans.values import lookup
 
@@ -199,7 +199,7 @@ def check_event_rules(events: DataFrame, rules: Sequence[Rule] | None = None) ->
     """(invariant_id, event_id, rail, message_kind) per broken per-event rule."""
     rules = event_rules() if rules is None else rules
     broken = ", ".join(f"CASE WHEN {r.broken()} THEN '{r.id}' END" for r in rules)
-    return spread_small(events).select(F.explode(F.expr(f"array_compact(array({broken}))")).alias("invariant_id"),
+    return over_cores(events).select(F.explode(F.expr(f"array_compact(array({broken}))")).alias("invariant_id"),
                          "event_id", "rail", "message_kind")
 
 
@@ -395,7 +395,7 @@ def scan_text(df: DataFrame, key: str, columns: Sequence[str], rules=TEXT_RULES)
         return F.when(found != "", F.struct(F.lit(rule[0]).alias("rule_id"), F.lit(rule[2]).alias("rationale"), F.lit(col).alias("field"),
                                             F.substring(found, 1, 80).alias("matched_text")))
     hits = F.explode(F.array_compact(F.array(*[hit(col, r) for col in columns for r in rules])))
-    return spread_small(df.select(key, *columns)).select(key, hits.alias("h")).select(key, "h.rule_id", "h.rationale", "h.field", "h.matched_text")
+    return over_cores(df.select(key, *columns)).select(key, hits.alias("h")).select(key, "h.rule_id", "h.rationale", "h.field", "h.matched_text")
 
 
 def text_rule_summary(hits: DataFrame) -> DataFrame:

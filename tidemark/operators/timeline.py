@@ -6,7 +6,9 @@ the columns wanted for one key so that they share one shuffle and one sort.
 
 Ordinary keys: trailing sum = (sum before me) - (sum with time < ts_i - w), two incremental frames
 over the same sort.  Hot keys: every row also enters the stream a second time at ``ts + w`` with its
-value negated, so the trailing sum is one running sum, which can be cut into blocks.
+value negated, so the trailing sum is one running sum, which can be cut into blocks.  Sums are exact
+(decimals with twelve places), so both ways give the same value and no large value leaves a residue once
+it has left the frame; a value beyond 10^26 or not finite counts as missing.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from tidemark.plans.ordered import (
     UNB, LastN, LastWhere, Next, Prev, Running, Spec, group_window, ordered, spread,
 )
 
+EXACT = "decimal(38,12)"
 HOUR, DAY = 3600, 86_400
 WINDOWS = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY, "30d": 30 * DAY}
 
@@ -68,11 +71,12 @@ class Timeline:
         return self.add(name, Running(how, value, inclusive))
 
     def trailing_sum(self, name: str, value: Column, seconds: float) -> "Timeline":
-        self._trailing[name] = (value.cast("double"), micros(seconds))
+        self._trailing[name] = (value.cast("double").try_cast(EXACT), micros(seconds))
         return self
 
     def trailing_count(self, name: str, seconds: float) -> "Timeline":
-        return self.trailing_sum(name, F.lit(1.0), seconds)
+        self._trailing[name] = (F.lit(1).cast("long"), micros(seconds))
+        return self
 
     def build(self) -> DataFrame:
         df = self.df
@@ -81,8 +85,8 @@ class Timeline:
         plan = plan_blocks(df, self.keys, self.ts) if self.plan is None else self.plan
         if not plan.cuts:
             return self._whole(df)
-        hot = ~blank(df, self.keys) & plan.is_hot()
-        return self._whole(df.filter(~hot)).unionByName(self._hot(df.filter(hot), plan))
+        hot, rest = plan.split(df, ~blank(df, self.keys))
+        return self._whole(rest).unionByName(self._hot(hot, plan))
 
     def _whole(self, df: DataFrame) -> DataFrame:
         rows = group_window(self.keys, self.order)
@@ -91,7 +95,7 @@ class Timeline:
         for name, (value, width) in self._trailing.items():
             so_far = F.sum(value).over(rows.rowsBetween(UNB, -1))
             expired = F.sum(value).over(times.rangeBetween(UNB, -(width + 1)))
-            cols.append((F.coalesce(so_far, F.lit(0.0)) - F.coalesce(expired, F.lit(0.0))).alias(name))
+            cols.append((F.coalesce(so_far, F.lit(0)) - F.coalesce(expired, F.lit(0))).cast("double").alias(name))
         return df.withColumn("__sp", spread(df, self.keys, self.tie)).select("*", *cols).drop("__sp")
 
     def _hot(self, df: DataFrame, plan: BlockPlan) -> DataFrame:
@@ -116,18 +120,10 @@ class Timeline:
         specs: dict[str, Spec] = {}
         for n, (_, width) in self._trailing.items():
             v = F.col(f"__v_{n}")
-            sign = F.when(F.col("__kind") == 0, 1.0).when(F.col("__w") == width, -1.0).otherwise(0.0)
-            specs[f"__s_{n}"] = Running("sum", sign * v)
-            specs[f"__z_{n}"] = Running("sum", sign * F.when(v != 0, 1.0).otherwise(0.0))
+            signed = F.when(F.col("__kind") == 0, v).when(F.col("__w") == width, -v)
+            specs[f"__s_{n}"] = Running("sum", signed)
         swept = ordered(both, self.keys, [self.ts, "__id"], specs, plan).filter(F.col("__kind") == 0)
-        # With no non-zero value inside the frame the sum is exactly zero, not the rounding residue.
-        return swept.select(
-            *[F.col(c) for c in df.columns],
-            *[
-                F.when(F.col(f"__z_{n}") == 0, F.lit(0.0)).otherwise(F.col(f"__s_{n}")).alias(n)
-                for n in self._trailing
-            ],
-        )
+        return swept.select(*[F.col(c) for c in df.columns], *[F.col(f"__s_{n}").cast("double").alias(n) for n in self._trailing])
 
 
 def novelty(

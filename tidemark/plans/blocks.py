@@ -1,57 +1,47 @@
 """Decide which groups are too large for one task, and where to cut them.
 
-A group (an entity key, a cohort, the whole table) that holds more than about 1/1024 of the rows is
-*hot*.  A hot group is cut along its order column into blocks of roughly equal size; ordered
-operators then work block by block and add what earlier blocks carried in.  Only balance depends on
-the cut points, never a result.
+A group (an entity key, a cohort, the whole table) of more rows than one task should sort is *hot*.  A
+hot group is cut along its order column into blocks of about half that many rows; ordered operators
+then work block by block and add what earlier blocks carried in.  Only balance depends on the cut
+points, never a result, so a plan made from the source's key columns serves every frame derived from it.
 
-Everything collected here is bounded: at most 1024 hot groups, at most 1024 cuts each, and the cuts
-over all groups sum to at most twice the number of thresholds that fit into the table.
+``planning(source)`` sets the source whose keys are counted, once per key set, for all operators built
+inside; without it each operator counts the keys of the frame it is given.  No table of at most the
+target's rows can hold a hot group, so such a table costs one count.
+
+What is collected: the hot groups (fewer than rows / target) and their cuts (at most four times as many).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MIN_BYTES_CONF = "spark.tidemark.blocks.minBytes"
 TARGET_ROWS_CONF = "spark.tidemark.blocks.targetRows"
 
-#: Frames whose sources are smaller than this are never cut: a single task can sort them.
-DEFAULT_MIN_BYTES = 64 * 1024 * 1024
-#: A group smaller than this many rows is never hot, whatever its share of the table.
+#: Rows one task may sort; a group of more is cut.
 DEFAULT_TARGET_ROWS = 2_000_000
-
-MAX_HOT_GROUPS = 1024
-MAX_CUTS = 1024
+#: Cuts of one group come from one quantile sketch, which resolves this many.
+MAX_CUTS = 1 << 16
+#: Up to this many hot groups are a literal list, more are a broadcast table.
+MAX_LISTED = 1024
 _FAN = 32
 
 
-def _conf_int(spark: SparkSession, key: str, default: int) -> int:
-    value = spark.conf.get(key, None)
-    return default if value is None else int(value)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of the sources behind the frame, by the catalog's statistics; needs no job."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    return estimated_bytes(df) < _conf_int(df.sparkSession, MIN_BYTES_CONF, DEFAULT_MIN_BYTES)
-
+def target_rows(spark: SparkSession) -> int:
+    value = spark.conf.get(TARGET_ROWS_CONF, None)
+    return DEFAULT_TARGET_ROWS if value is None else int(value)
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before heavy per-row work.
 
-    A small file is one scan task however much work each row takes; a large input has many splits
-    already and is left as it is.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if not df.isStreaming and is_small(df) else df
+def over_cores(df: DataFrame) -> DataFrame:
+    """Before heavy per-row work, deal out a scan that has fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
 
 
 def group_hash(keys: Sequence[str]) -> Column:
@@ -76,24 +66,32 @@ class BlockPlan:
     keys: tuple[str, ...]
     cuts: dict[int, tuple[float, ...]] = field(default_factory=dict)
 
-    @property
-    def hot(self) -> list[int]:
-        return list(self.cuts)
+    def split(self, df: DataFrame, live: Column) -> tuple[DataFrame, DataFrame]:
+        """The frame's rows of hot groups and all others; ``live`` marks rows that have a key."""
+        if len(self.cuts) <= MAX_LISTED:
+            hot = live & group_hash(self.keys).isin(list(self.cuts))
+            return df.filter(hot), df.filter(~hot)
+        listed = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in self.cuts], "__h bigint"))
+        marked = df.withColumn("__gh", F.when(live, group_hash(self.keys)))
+        on = F.col("__gh") == F.col("__h")
+        return marked.join(listed, on, "left_semi").drop("__gh"), marked.join(listed, on, "left_anti").drop("__gh")
 
-    def is_hot(self) -> Column:
-        return group_hash(self.keys).isin(self.hot)
+    def mirrored(self) -> BlockPlan:
+        """The same groups cut along the negated order column."""
+        return BlockPlan(self.keys, {h: tuple(sorted(-c for c in cuts)) for h, cuts in self.cuts.items()})
 
     def with_block(self, df: DataFrame, order: str, out: str = "__blk") -> DataFrame:
         """Block number of each row of a hot group; equal order values always share a block.
 
-        The cuts travel as a two-level array so that a row compares with 32 + 32 cut points.
+        The cuts travel as a two-level array so that a row compares with few of them.
         """
         rows = []
         for h, cuts in self.cuts.items():
-            fine = [list(cuts[i:i + _FAN]) for i in range(0, len(cuts), _FAN)]
-            rows.append((h, [chunk[-1] for chunk in fine], fine + [[]]))
+            fan = max(_FAN, int(len(cuts) ** 0.5) + 1)
+            fine = [list(cuts[i:i + fan]) for i in range(0, len(cuts), fan)]
+            rows.append((h, fan, [chunk[-1] for chunk in fine], fine + [[]]))
         table = df.sparkSession.createDataFrame(
-            rows, "__gh bigint, __coarse array<double>, __fine array<array<double>>"
+            rows, "__gh bigint, __fan int, __coarse array<double>, __fine array<array<double>>"
         )
         v = F.col(order).cast("double")
         joined = df.withColumn("__gh", group_hash(self.keys)).join(F.broadcast(table), "__gh")
@@ -101,41 +99,98 @@ class BlockPlan:
         inner = F.size(F.filter(F.col("__fine")[F.col("__step")], lambda c: c <= v))
         return (
             joined.withColumn("__step", step)
-            .withColumn(out, (F.col("__step") * F.lit(_FAN + 1) + inner).cast("int"))
-            .drop("__gh", "__coarse", "__fine", "__step")
+            .withColumn(out, (F.col("__step") * (F.col("__fan") + 1) + inner).cast("int"))
+            .drop("__gh", "__fan", "__coarse", "__fine", "__step")
         )
 
 
-def plan_blocks(df: DataFrame, keys: Sequence[str], order: str) -> BlockPlan:
-    """Find the hot groups of ``keys`` and cut them along ``order``.
+class PlanBook:
+    """The plans of one source: its rows and each key set are counted once."""
+
+    def __init__(self, source: DataFrame | None, order: str) -> None:
+        self.source, self.order = source, order
+        self.plans: dict[tuple[str, ...], BlockPlan] = {}
+        self._fits: bool | None = None
+
+    def fits(self) -> bool:
+        """No group of the source can be hot."""
+        if self._fits is None:
+            self._fits = self.source.count() <= target_rows(self.source.sparkSession)
+        return self._fits
+
+    def plan(self, keys: Sequence[str]) -> BlockPlan | None:
+        """The plan of those of the keys that are columns of the source; None where none is."""
+        own = tuple(k for k in keys if k in self.source.columns)
+        if not own:
+            return None
+        if own not in self.plans:
+            self.plans[own] = count_and_cut(self.source, own, self.order)
+        return self.plans[own]
+
+
+_BOOK: ContextVar[PlanBook | None] = ContextVar("plan_book", default=None)
 
-    Costs nothing for inputs the optimizer knows to be small.  Otherwise one aggregation over the
-    key columns (map-side combined), and a second one over the hot groups when there are any.
-    """
+
+@contextmanager
+def planning(source: DataFrame | None = None, order: str = "ts_us") -> Iterator[None]:
+    """Operators built inside share the plans of ``source``; an outer ``planning`` takes precedence."""
+    if _BOOK.get() is not None:
+        if source is not None:
+            offer(source, order)
+        yield
+        return
+    token = _BOOK.set(PlanBook(source, order))
+    try:
+        yield
+    finally:
+        _BOOK.reset(token)
+
+
+def offer(source: DataFrame, order: str = "ts_us") -> DataFrame:
+    """Make the frame the source of an enclosing ``planning`` that has none yet."""
+    book = _BOOK.get()
+    if book is not None and book.source is None and not source.isStreaming:
+        book.source, book.order = source, order
+    return source
+
+
+def no_hot_group(df: DataFrame) -> bool:
+    """Known without counting keys: the planned source, or else the frame, has too few rows."""
+    book = _BOOK.get()
+    if book is not None and book.source is not None:
+        return book.fits()
+    return df.count() <= target_rows(df.sparkSession)
+
+
+def plan_blocks(df: DataFrame, keys: Sequence[str], order: str) -> BlockPlan:
+    """The hot groups of ``keys``, cut along ``order``: from the planned source where it has any of the keys."""
     keys = tuple(keys)
-    if is_small(df):
+    if no_hot_group(df):
         return BlockPlan(keys)
-    spark = df.sparkSession
-    target = _conf_int(spark, TARGET_ROWS_CONF, DEFAULT_TARGET_ROWS)
+    book = _BOOK.get()
+    plan = book.plan(keys) if book is not None and book.source is not None else None
+    if plan is None:
+        return count_and_cut(df, keys, order)
+    return plan.mirrored() if order == "__neg" else plan
+
+
+def count_and_cut(df: DataFrame, keys: Sequence[str], order: str) -> BlockPlan:
+    """One aggregation over the key columns (map-side combined), and one over the hot groups when there are any."""
+    keys = tuple(keys)
+    target = target_rows(df.sparkSession)
     live = df.filter(~blank(df, keys)).select(group_hash(keys).alias("h"), F.col(order).cast("double").alias("o"))
     counts = live.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
-    if not largest or largest <= target:
-        return BlockPlan(keys)
-    threshold = max(target, total // MAX_HOT_GROUPS)
-    sizes = {r["h"]: r["n"] for r in counts.filter(F.col("n") > threshold).limit(MAX_HOT_GROUPS).collect()}
+    sizes = {r["h"]: r["n"] for r in counts.filter(F.col("n") > target).collect()}
     if not sizes:
         return BlockPlan(keys)
-    grid = [i / MAX_CUTS for i in range(1, MAX_CUTS)]
-    points = (
-        live.filter(F.col("h").isin(list(sizes)))
-        .groupBy("h")
-        .agg(F.percentile_approx("o", grid, 20_000).alias("p"))
-        .collect()
-    )
+    blocks = {h: min(MAX_CUTS, -(-n // target) * 2) for h, n in sizes.items()}
+    steps = max(64, 1 << (max(blocks.values()) - 1).bit_length())
+    grid = [i / steps for i in range(1, steps)]
+    hot = live.join(F.broadcast(df.sparkSession.createDataFrame([(h,) for h in sizes], "h bigint")), "h")  # fewer than rows / target
+    points = hot.groupBy("h").agg(F.percentile_approx("o", grid, max(20_000, 10 * steps)).alias("p")).collect()
     cuts: dict[int, tuple[float, ...]] = {}
     for r in points:
-        n_blocks = min(MAX_CUTS, -(-sizes[r["h"]] // threshold) * 2)
-        picked = {r["p"][min(len(grid) - 1, i * MAX_CUTS // n_blocks - 1)] for i in range(1, n_blocks)}
+        n = blocks[r["h"]]
+        picked = {r["p"][min(len(grid) - 1, i * steps // n - 1)] for i in range(1, n)}
         cuts[r["h"]] = tuple(sorted(x for x in picked if x is not None))
     return BlockPlan(keys, {h: c for h, c in cuts.items() if c})

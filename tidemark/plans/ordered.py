@@ -175,8 +175,8 @@ def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Mappin
         )
         totals = totals.join(tails, group)
     carry = totals.select(*group, *[s.carried(F.col(f"__t_{n}"), along).alias(f"__c_{n}") for n, s in specs.items()])
-    # One row per block of a hot group: at most MAX_HOT_GROUPS thresholds' worth, so it broadcasts.
-    joined = local.join(F.broadcast(carry), group, "left")
+    # Where the plan's own keys are the group, the carries are one row per block, which is bounded by the cuts.
+    joined = local.join(F.broadcast(carry) if set(keys) == set(plan.keys) else carry, group, "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[s.final(s.merge(F.col(f"__l_{n}"), F.col(f"__c_{n}"))).alias(n) for n, s in specs.items()],
@@ -197,7 +197,5 @@ def ordered(
     plan = plan_blocks(df, keys, order[0]) if plan is None else plan
     if not plan.cuts:
         return _whole(df, keys, order, specs)
-    live = ~blank(df, keys)
-    hot = live & plan.is_hot()
-    ordinary = _whole(df.filter(~hot), keys, order, specs)
-    return ordinary.unionByName(_cut(df.filter(hot), keys, order, specs, plan))
+    hot, rest = plan.split(df, ~blank(df, keys))
+    return _whole(rest, keys, order, specs).unionByName(_cut(hot, keys, order, specs, plan))

@@ -12,43 +12,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.blocks import (
-    DEFAULT_TARGET_ROWS, MAX_HOT_GROUPS, TARGET_ROWS_CONF, _conf_int, group_hash, is_small,
-)
+from tidemark.plans.blocks import group_hash, no_hot_group, target_rows
 from tidemark.plans.ordered import Running, ordered
 
-SALTS = 64
-
 
 def _group(by: Sequence[str]) -> Column:
     """Group marker that is never blank: an empty-string cohort is a cohort."""
     return F.struct(*[F.col(b) for b in by]) if by else F.struct(F.lit(0).alias("all"))
 
 
-def hot_values(df: DataFrame, on: Sequence[str]) -> list[int]:
-    """Hashes of join keys carried by more rows than one task should get (at most 1024)."""
-    if is_small(df):
-        return []
-    target = _conf_int(df.sparkSession, TARGET_ROWS_CONF, DEFAULT_TARGET_ROWS)
+def hot_values(df: DataFrame, on: Sequence[str]) -> dict[int, int]:
+    """Hashes of join keys carried by more rows than one task should get, with the salts each needs.
+
+    Fewer than rows / target are collected.
+    """
+    if no_hot_group(df):
+        return {}
+    target = target_rows(df.sparkSession)
     counts = df.select(group_hash(on).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
-    if not largest or largest <= target:
-        return []
-    limit = max(target, total // MAX_HOT_GROUPS)
-    return [r["h"] for r in counts.filter(F.col("n") > limit).limit(MAX_HOT_GROUPS).collect()]
+    return {r["h"]: -(-r["n"] // target) for r in counts.filter(F.col("n") > target).collect()}
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], tie: str) -> DataFrame:
-    """Left join to a table that is unique on ``on``; hot keys of the left side are salted."""
+    """Left join to a table that is unique on ``on``; hot keys of the left side are salted by their counts."""
     on = list(on)
     hot = hot_values(rows, on)
     if not hot:
         return rows.join(table, on, "left")
-    is_hot = group_hash(on).isin(hot)
-    salted = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(tie), F.lit(SALTS))).otherwise(F.lit(0)).cast("bigint"))
-    zero = F.lit(0).cast("bigint")
-    copies = F.when(is_hot, F.sequence(zero, F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(zero))
-    spread = table.withColumn("__salt", F.explode(copies))
+    salts = F.broadcast(rows.sparkSession.createDataFrame(list(hot.items()), "__gh bigint, __salts bigint"))
+    marked = lambda df: df.withColumn("__gh", group_hash(on)).join(salts, "__gh", "left").withColumn(
+        "__salts", F.coalesce("__salts", F.lit(1).cast("bigint")))
+    salted = marked(rows).withColumn("__salt", F.pmod(F.xxhash64(tie), F.col("__salts"))).drop("__gh", "__salts")
+    spread = marked(table).withColumn("__salt", F.explode(F.expr("sequence(0L, __salts - 1)"))).drop("__gh", "__salts")
     return salted.join(spread, [*on, "__salt"], "left").drop("__salt")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import kernels as K
 from tidemark.operators.timeline import WINDOWS, novelty
-from tidemark.plans.blocks import spread_small
+from tidemark.plans.blocks import over_cores
 from tidemark.plans.values import exact_quantiles, pct_rank
 from tidemark.queries.registry import PAIRS_SQL, STREAM_SQL, epoch_us, query, rounded, stream, table
 
@@ -216,7 +216,7 @@ JACCARD_SQL = r"""WITH d AS (SELECT doc_id, source, lang,
 @query("token_jaccard", JACCARD_SQL)
 def _jaccard(spark, sf):
     """Overlap of a document's first line with its whole text."""
-    docs = spread_small(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = over_cores(table(spark, sf, "documents").select("doc_id", "text"))
     head = F.substring_index("text", "\n", 1)
     return rounded(docs.select("doc_id", S.token_jaccard(head, F.col("text")).alias("sim")), 9)
 

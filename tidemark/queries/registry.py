@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.blocks import offer, planning
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,7 +20,12 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+        @wraps(fn)
+        def planned(spark: SparkSession, folder: str) -> DataFrame:
+            with planning():  # the stand-in frame a query reads becomes its source
+                return fn(spark, folder)
+
+        QUERIES[name] = planned
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -52,7 +60,7 @@ PAIRS_SQL = STREAM_SQL + """, pr AS (
 
 def stream(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "events").withColumn("us", epoch_us("ts"))
-    return raw.selectExpr(*split_columns(STREAM_COLUMNS))
+    return offer(raw.selectExpr(*split_columns(STREAM_COLUMNS)))
 
 
 def split_columns(text: str) -> list[str]:

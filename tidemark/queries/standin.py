@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.blocks import spread_small
+from tidemark.plans.blocks import offer, over_cores
 from tidemark.queries.registry import epoch_us, table
 from tidemark.schema import EVENT_SCHEMA, complete
 
@@ -205,4 +205,4 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_id").alias("e"), epoch_us("ts").alias("us"), F.col("user_id").alias("u"), F.col("value").alias("v"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    return complete(spread_small(base).selectExpr(*[f"{expr} AS {n}" for n, expr in COLUMNS.items()]))
+    return offer(complete(over_cores(base).selectExpr(*[f"{expr} AS {n}" for n, expr in COLUMNS.items()])))
