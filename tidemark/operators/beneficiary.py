@@ -24,11 +24,18 @@ def build_exchange(ids: DataFrame, column: str, bits: int = BITS, hashes: int =
 
 
 def exchange_prior(rows: DataFrame, exchange: DataFrame, column: str, out: str = "exchange_prior", bits: int = BITS, hashes: int = HASHES) -> DataFrame:
-    """0.55 where every position of the id is set, else 0.  The bit table is bounded, so it is one row of bits."""
-    held = exchange.agg(F.collect_set("bit").alias("__bits"))
-    # The set travels as a map for constant-time probes; its size is bounded by the number of bits.
-    table = held.select(F.map_from_arrays("__bits", F.transform("__bits", lambda b: F.lit(True))).alias("__held"))
-    probe = F.forall(positions(c(column), bits, hashes), lambda b: F.coalesce(F.col("__held")[b], F.lit(False)))
+    """0.55 where every position of the id is set, else 0.
+
+    The bits travel as one row of 64-bit words indexed by position, ``bits`` / 64 of them, so a probe is one array
+    access and one bit test however many bits are set.
+    """
+    word = lambda b: F.floor(b / 64).cast("int")
+    packed = exchange.groupBy(word(c("bit")).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("m"))
+    zero = F.lit(0).cast("long")
+    every = F.transform(F.sequence(F.lit(0), F.lit((bits + 63) // 64 - 1)), lambda i: F.coalesce(F.try_element_at("__by", i), zero))
+    table = packed.agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("__by")).select(every.alias("__held"))
+    set_ = lambda b: F.getbit(F.get(c("__held"), word(b)), F.pmod(b, F.lit(64)).cast("int")) == 1
+    probe = F.forall(positions(c(column), bits, hashes), set_)
     return rows.crossJoin(F.broadcast(table)).withColumn(out, F.when((c(column) != "") & probe, PRIOR).otherwise(0.0)).drop("__held")
 
 

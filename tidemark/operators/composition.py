@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.plans.cut import cut
+from tidemark.plans.components import components
 from tidemark.schema import RAILS
 
 c = F.col
@@ -328,28 +328,16 @@ def js_pairs(elites: DataFrame, key: str, attribution: str) -> DataFrame:
     return both.groupBy("a", "b").agg((F.sum(part) + (1 - F.sum("pa")) / 2 + (1 - F.sum("pb")) / 2).alias("js"))
 
 
-def js_merge(elites: DataFrame, key: str, attribution: str, threshold: float = 0.05, max_rounds: int = 12) -> DataFrame:
-    """(key, component): elites whose attributions are not separable fall together.
-
-    Labels take the smallest label of their neighbourhood, and each round also jumps to the label's own
-    label, until nothing changes.
-    """
+def js_merge(elites: DataFrame, key: str, attribution: str, threshold: float = 0.05) -> DataFrame:
+    """(key, component): elites whose attributions are not separable fall together, however long the chain."""
     empty = elites.filter(F.coalesce(F.aggregate(F.map_values(attribution), F.lit(0.0), lambda s, v: s + F.greatest(v, F.lit(0.0))), F.lit(0.0)) <= 0).select(c(key).alias("e"))
     near = js_pairs(elites, key, attribution).filter(c("js") < threshold).select("a", "b")
-    # An empty attribution diverges by 0 from everything, so it links to the smallest key.
-    hub = elites.agg(F.min(key).alias("a"))
-    near = near.unionByName(empty.crossJoin(F.broadcast(hub)).filter(c("a") != c("e")).select("a", c("e").alias("b")))
-    edges = cut(near.unionByName(near.select(c("b").alias("a"), c("a").alias("b"))).distinct())
-    labels = cut(elites.select(c(key).alias("n"), c(key).alias("l")))
-    for _ in range(max_rounds):
-        low = edges.join(labels, c("b") == c("n")).groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(low, c("n") == c("a"), "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l"), c("l").alias("old"))
-        own = step.select(c("n").alias("of"), c("l").alias("hop"))
-        moved = cut(step.join(own, c("l") == c("of"), "left").select("n", F.least("l", F.coalesce("hop", "l")).alias("l"), "old"))
-        labels = moved.select("n", "l")
-        if moved.filter(c("l") != c("old")).isEmpty():
-            break
-    return labels.select(c("n").alias(key), c("l").alias("component"))
+    # An empty attribution diverges by 0 from every other, so one empty elite links all: one row of the smallest.
+    hub = empty.agg(F.min("e").alias("a")).filter("a is not null")
+    near = near.unionByName(elites.select(c(key).alias("b")).crossJoin(F.broadcast(hub)).select("a", "b"))
+    group = components(near)
+    return elites.select(c(key).alias("node")).distinct().join(group, "node", "left").select(
+        c("node").alias(key), F.coalesce("component", "node").alias("component"))
 
 
 def observable_delta(elites: DataFrame, delta: str = "observable_delta") -> DataFrame:

@@ -147,6 +147,18 @@ def expected_weekday_share(days: DataFrame, day_index: str, cfg) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("dow", (c("m") / c("t")).alias("expected_share"))
 
 
+def weekday_peak(df: DataFrame, dow: str, day_index: str, cfg) -> DataFrame:
+    """Distance between the weekday with most rows and the one the calendar expects most on; 0 is agreement."""
+    seen = df.groupBy(dow).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by(c(dow), F.struct(c("n"), -c(dow))).alias("seen"))
+    due = expected_weekday_share(df, day_index, cfg).agg(F.max_by(c("dow"), F.struct(F.round("expected_share", 12), -c("dow"))).alias("due"))
+    return seen.crossJoin(F.broadcast(due)).select(F.abs(c("seen") - c("due")).cast("double").alias("measured"))
+
+
+def payday_share(df: DataFrame, day_index: str, cfg) -> DataFrame:
+    date = F.date_add(F.lit(cfg.start_date).cast("date"), c(day_index).cast("int"))
+    return df.agg(F.avg(S.flag(F.dayofmonth(date).isin(*cfg.payday_days))).alias("measured"))
+
+
 def top_share(df: DataFrame, key: str, k: int = 10) -> DataFrame:
     """Share of rows held by the k largest values of the key."""
     counts = df.filter(c(key) != "").groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.plans.ordered import Running, ordered
-from tidemark.plans.values import exact_quantiles
+from tidemark.plans.values import exact_quantiles, lookup
 
 DAY = 86_400.0
 # Channel precedence, split shares in time order, full label maturity.
@@ -152,7 +152,7 @@ def entity_disjoint_folds(df: DataFrame, entity: str, order: Sequence[str], n_fo
     placed = ordered(df.withColumn("__all", F.lit(0)), ["__all"], list(order), {"__pos": Running("count", F.lit(1))})
     total = df.agg(F.count(F.lit(1)).alias("__n"))
     first = placed.groupBy(entity).agg(F.min("__pos").alias("__first"))
-    rows = placed.join(first, entity).crossJoin(F.broadcast(total))
+    rows = lookup(placed, first, [entity], order[-1]).filter(F.col(entity).isNotNull()).crossJoin(F.broadcast(total))  # a hot entity is salted
     n = F.col("__n")
     width = F.greatest(F.lit(1), F.floor(n / (n_folds + 1)))
     # Half to even, as a round of the exact boundary gives.
@@ -249,14 +249,13 @@ def artefact_audit(df: DataFrame, names: Sequence[str], attack: str, target_fpr:
     return out.withColumn("flagged", share | F.coalesce(F.col("auc_on_support") >= 0.90, F.lit(False)))
 
 
-def flag_holdout(events: DataFrame, sealed: DataFrame | None = None, withheld: Mapping[str, str] | None = None) -> DataFrame:
+def flag_holdout(events: DataFrame, sealed: DataFrame | None = None, withheld: Mapping[str, str] | None = None, tie: str = "event_id") -> DataFrame:
     """Add ``holdout``: sealed pool, a sealed composition, or a withheld slot value in the composition."""
     out = events
     composed = F.lit(False)
     if sealed is not None:
-        # Distinct sealed strings come from a fixed manifest, so their number is bounded.
         marked = sealed.select(F.col("composition").alias("attack_grammar_str")).distinct().withColumn("__sealed", F.lit(True))
-        out = out.join(F.broadcast(marked), "attack_grammar_str", "left")
+        out = lookup(out, marked, ["attack_grammar_str"], tie)  # benign rows share one string, which is salted
         composed = F.coalesce(F.col("__sealed"), F.lit(False))
     for slot, value in (withheld or {}).items():
         composed = composed | F.col("attack_grammar_str").contains(f"{slot}={value}")

@@ -12,7 +12,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import catalogue as C
 from tidemark.operators.metrics import curve, curve_metrics, recall_at_fpr_from
 from tidemark.plans.cut import cut
-from tidemark.plans.values import below, exact_quantiles, rank_against, sums_at_or_above, value_table, with_total
+from tidemark.plans.values import below, exact_quantiles, lookup, rank_against, sums_at_or_above, value_table, with_total
 
 c = F.col
 
@@ -250,8 +250,7 @@ def fit_action_table(rows: DataFrame, score: str = "score", rail: str = "rail",
     review = capacity_threshold(live, score, F.lit(min(1.0, budget + declined)))
     t_review = min(max(review.select(at(review)).first()[0], t_fr), t_decline)
     over = live.groupBy(rail).agg(F.avg(S.flag(c(score) >= t_review)).alias("__over"))
-    # One row per rail, and rails are a closed vocabulary.
-    second = capacity_threshold(live.join(F.broadcast(over), rail), score, F.least(F.lit(1.0), friction_cap(c(rail)) + c("__over")), [rail, "__over"])
+    second = capacity_threshold(lookup(live.withColumn("__row", F.xxhash64(*live.columns)), over, [rail], "__row").filter(c(rail).isNotNull()), score, F.least(F.lit(1.0), friction_cap(c(rail)) + c("__over")), [rail, "__over"])
     fr = F.least(at(second), F.lit(t_review))
     table = second.select(rail, fr.alias("t_friction"), F.greatest(F.lit(t_review), fr).alias("t_review"))
     return table.withColumn("t_decline", F.greatest(F.lit(t_decline), c("t_review")))
@@ -265,7 +264,7 @@ def collapsed_bands(table: DataFrame, tolerance: float = 1e-12) -> DataFrame:
 def with_band(rows: DataFrame, table: DataFrame, score: str = "score", rail: str = "rail", guard: Column | None = None, abstained: Column | None = None) -> DataFrame:
     """Add ``band`` and ``action``: rail thresholds (a rail the fit never saw takes the medians), guards and abstention."""
     usual = table.agg(*[F.percentile(t, 0.5).alias(f"__d_{t}") for t in ("t_friction", "t_review", "t_decline")])
-    joined = rows.join(F.broadcast(table), rail, "left").crossJoin(F.broadcast(usual))  # one row per rail
+    joined = lookup(rows.withColumn("__row", F.xxhash64(score, rail)), table, [rail], "__row").drop("__row").crossJoin(F.broadcast(usual))
     t = {n: F.coalesce(c(n), c(f"__d_{n}")) for n in ("t_friction", "t_review", "t_decline")}
     band = S.first_match([(c(score) >= t["t_decline"], "auto_decline"), (c(score) >= t["t_review"], "review"), (c(score) >= t["t_friction"], "friction")], F.lit("approve"))
     if guard is not None:

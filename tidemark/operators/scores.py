@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.plans.values import exact_quantiles, rank_against
+from tidemark.plans.values import exact_quantiles, lookup, rank_against
 
 c = F.col
 
@@ -140,14 +140,15 @@ def stratum_sizes(calib: DataFrame, rail: str = "rail", mcc: str = "mcc", geo: s
     return calib.select(F.explode(F.array_distinct(levels)).alias("stratum")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n_calib"))
 
 
-def with_stratum(rows: DataFrame, sizes: DataFrame, minimum: int = MIN_STRATUM, rail: str = "rail", mcc: str = "mcc", geo: str = "geo_cell") -> DataFrame:
+def with_stratum(rows: DataFrame, sizes: DataFrame, minimum: int = MIN_STRATUM, rail: str = "rail", mcc: str = "mcc", geo: str = "geo_cell",
+                 key: str = "event_id") -> DataFrame:
     """Add ``stratum``: the finest level with enough calibration rows, else all rows together."""
     enough = sizes.filter(c("n_calib") >= minimum).select("stratum")
     out = rows
     levels = strata(c(rail), c(mcc), c(geo))
     for i, s in enumerate(levels[:3]):
         known = enough.select(c("stratum").alias(f"__s{i}"), F.lit(True).alias(f"__ok{i}"))
-        out = out.withColumn(f"__s{i}", s).join(known, f"__s{i}", "left")
+        out = lookup(out.withColumn(f"__s{i}", s), known, [f"__s{i}"], key)  # a rail may hold most rows
     pick = S.first_match([(c(f"__ok{i}"), c(f"__s{i}")) for i in range(3)], levels[3])
     return out.withColumn("stratum", pick).drop(*[f"__s{i}" for i in range(3)], *[f"__ok{i}" for i in range(3)])
 
@@ -158,7 +159,7 @@ def conformal_p(rows: DataFrame, calib: DataFrame, score: str, minimum: int = MI
     A calibration row belongs to all four levels of its ladder, so it is exploded to the levels in use.
     """
     sizes = stratum_sizes(calib)
-    asked = with_stratum(rows, sizes, minimum)
+    asked = with_stratum(rows, sizes, minimum, key=key)
     levels = F.array_distinct(F.array(*strata(c("rail"), c("mcc"), c("geo_cell"))))
     used = sizes.filter((c("n_calib") >= minimum) | (c("stratum") == "*|*|*")).select("stratum")
     ref = calib.select(c(score).alias("__c"), F.explode(levels).alias("stratum")).join(used, "stratum", "left_semi")

@@ -107,7 +107,7 @@ class BlockPlan:
 class PlanBook:
     """The plans of one source: its rows and each key set are counted once."""
 
-    def __init__(self, source: DataFrame | None, order: str) -> None:
+    def __init__(self, source: DataFrame | None, order: str | Column) -> None:
         self.source, self.order = source, order
         self.plans: dict[tuple[str, ...], BlockPlan] = {}
         self._fits: bool | None = None
@@ -132,7 +132,7 @@ _BOOK: ContextVar[PlanBook | None] = ContextVar("plan_book", default=None)
 
 
 @contextmanager
-def planning(source: DataFrame | None = None, order: str = "ts_us") -> Iterator[None]:
+def planning(source: DataFrame | None = None, order: str | Column = "ts_us") -> Iterator[None]:
     """Operators built inside share the plans of ``source``; an outer ``planning`` takes precedence."""
     if _BOOK.get() is not None:
         if source is not None:
@@ -146,8 +146,8 @@ def planning(source: DataFrame | None = None, order: str = "ts_us") -> Iterator[
         _BOOK.reset(token)
 
 
-def offer(source: DataFrame, order: str = "ts_us") -> DataFrame:
-    """Make the frame the source of an enclosing ``planning`` that has none yet."""
+def offer(source: DataFrame, order: str | Column = "ts_us") -> DataFrame:
+    """Make the frame the source of an enclosing ``planning`` that has none yet; ``order`` is what operators will order by."""
     book = _BOOK.get()
     if book is not None and book.source is None and not source.isStreaming:
         book.source, book.order = source, order
@@ -174,11 +174,11 @@ def plan_blocks(df: DataFrame, keys: Sequence[str], order: str) -> BlockPlan:
     return plan.mirrored() if order == "__neg" else plan
 
 
-def count_and_cut(df: DataFrame, keys: Sequence[str], order: str) -> BlockPlan:
+def count_and_cut(df: DataFrame, keys: Sequence[str], order: str | Column) -> BlockPlan:
     """One aggregation over the key columns (map-side combined), and one over the hot groups when there are any."""
     keys = tuple(keys)
     target = target_rows(df.sparkSession)
-    live = df.filter(~blank(df, keys)).select(group_hash(keys).alias("h"), F.col(order).cast("double").alias("o"))
+    live = df.filter(~blank(df, keys)).select(group_hash(keys).alias("h"), (F.col(order) if isinstance(order, str) else order).cast("double").alias("o"))
     counts = live.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     sizes = {r["h"]: r["n"] for r in counts.filter(F.col("n") > target).collect()}
     if not sizes:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import drift as D
 from tidemark.operators.features import FeatureConfig
+from tidemark.operators.timeline import Timeline
 from tidemark.queries.registry import query, rounded
 from tidemark.queries.scored import scored
 from tidemark.queries.scores import CONF_SQL, conformal
@@ -104,6 +105,13 @@ def _topk(spark, sf):
     return rounded(D.top_share(payments(spark, sf), "merchant_id"), 9)
 
 
+def with_gap(rows):
+    """``gap_log``: log1p of the seconds since the card's previous event; -1 on its first."""
+    gap = (c("ts_us") - c("before")) / 1e6
+    placed = Timeline(rows.select("event_id", (c("ts") * 1e6).cast("long").alias("ts_us"), "pan_canonical", "amount_inr"), "pan_canonical").prev("before", c("ts_us")).build()
+    return placed.withColumn("gap_log", F.when(gap >= 0, F.log1p(gap)).otherwise(-1.0))
+
+
 def checks(spark, sf):
     rows = payments(spark, sf)
     kind, ratio = c("message_kind"), c("auth_to_presentment_ratio")
@@ -116,7 +124,10 @@ def checks(spark, sf):
         D.band_check(D.conditional_share(rows, kind == "collect_response", c("collect_accepted"), 20), "F3-18", "F3", 0.4, 0.95),
         D.band_check(D.conditional_share(rows, (kind == "mandate_debit") & c("approved") & (c("mandate_max_amount_inr") > 0), c("amount_inr") <= c("mandate_max_amount_inr"), 10), "F3-20", "F3", 1.0, 1.0),
         D.band_check(D.conditional_share(rows, c("pan_canonical") != "", c("pan_canonical").startswith("999"), 0), "F6-02", "F6", 1.0, 1.0),
-        D.band_check(D.bounded_correlation(rows.filter("amount_inr > 0 and response_latency_ms > 0"), F.log1p("amount_inr"), F.log1p("response_latency_ms")), "F3-10", "F3", 0.0, 0.5),
+        D.band_check(D.bounded_correlation(with_gap(rows).filter("amount_inr > 0 and gap_log > 0"), F.log1p("amount_inr"), c("gap_log")), "F3-10", "F3", 0.0, 0.5),
+        D.band_check(D.weekday_peak(rows, "dow", "day_index", FeatureConfig()), "F5-05", "F5", 0.0, 0.0),
+        D.band_check(D.payday_share(rows, "day_index", FeatureConfig()), "F5-06", "F5", 0.05, 0.55),
+        D.band_check(D.top_share(rows.filter(c("rail").startswith("card-c") & (c("rail") != "card-clearing-dispute")), "merchant_id"), "F5-07", "F5", 0.16, 0.42),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -125,15 +136,21 @@ def checks(spark, sf):
 
 
 CHECK_SQL = f"""WITH {_PAY}, dg AS (SELECT {_DIGIT} AS d FROM pay WHERE amount_inr > 0), cards AS (SELECT mcc, count(*) AS n FROM pay WHERE rail IN ('card-cnp-3ds', 'card-cnp-keyed', 'card-cp-emv') AND mcc <> '' GROUP BY 1),
+    shops AS (SELECT merchant_id, count(*) AS n FROM pay WHERE rail IN ('card-cnp-3ds', 'card-cnp-keyed', 'card-cp-emv') AND merchant_id <> '' GROUP BY 1),
+    cal AS (SELECT isodow(dt) - 1 AS dow, [0.94, 0.96, 1.00, 1.06, 1.18, 1.24, 1.02][isodow(dt)] * CASE WHEN day(dt) IN (1, 2, 28, 29, 30, 31) THEN 1.35 ELSE 1 END
+      * CASE WHEN d BETWEEN 38 AND 44 THEN 1 + 0.9 * (d - 38) / 6.0 WHEN d BETWEEN 45 AND 49 THEN 1 + 0.9 * (1 - (d - 44) / 5.0) ELSE 1 END AS m FROM (SELECT DISTINCT day_index AS d, DATE '2026-03-02' + CAST(day_index AS INTEGER) AS dt FROM pay)),
     m(chk, gate, measured, lo, hi) AS (
     SELECT 'F5-01', 'F5', avg(CASE WHEN least({', '.join(f'abs(amount_inr - {a})' for a in (100, 200, 500, 1000, 2000, 5000))}) < 0.5 THEN 1 ELSE 0 END), 0.1, 0.5 FROM pay WHERE amount_inr > 0
     UNION ALL SELECT 'F5-02', 'F5', {BENFORD_SQL}, 0, 0.6 UNION ALL SELECT 'F5-08', 'F5', (SELECT sum(n) FROM (SELECT n FROM cards ORDER BY n DESC LIMIT 10)) / (SELECT sum(n) FROM cards), 0.3, 1
     UNION ALL SELECT 'F3-12', 'F3', avg(CASE WHEN threeds_field_population_score >= 0 THEN 1 ELSE 0 END), 0.95, 1 FROM pay WHERE threeds_eci = 'authenticated'
     UNION ALL SELECT 'F3-15', 'F3', avg(CASE WHEN auth_to_presentment_ratio BETWEEN 0.5 AND 2 THEN 1 ELSE 0 END), 0.95, 1 FROM pay WHERE auth_to_presentment_ratio > 0
-    UNION ALL SELECT 'F3-18', 'F3', NULL, 0.4, 0.95
+    UNION ALL SELECT 'F3-18', 'F3', CASE WHEN count(*) > 20 THEN avg(CASE WHEN collect_accepted THEN 1 ELSE 0 END) END, 0.4, 0.95 FROM pay WHERE message_kind = 'collect_response'
     UNION ALL SELECT 'F3-20', 'F3', avg(CASE WHEN amount_inr <= mandate_max_amount_inr THEN 1 ELSE 0 END), 1, 1 FROM pay WHERE message_kind = 'mandate_debit' AND approved AND mandate_max_amount_inr > 0
     UNION ALL SELECT 'F6-02', 'F6', avg(CASE WHEN pan_canonical LIKE '999%' THEN 1 ELSE 0 END), 1, 1 FROM pay WHERE pan_canonical <> ''
-    UNION ALL SELECT 'F3-10', 'F3', abs(corr(ln(1 + amount_inr), ln(1 + response_latency_ms))), 0, 0.5 FROM pay WHERE amount_inr > 0 AND response_latency_ms > 0),
+    UNION ALL SELECT 'F3-10', 'F3', abs(corr(ln(1 + amount_inr), gap)), 0, 0.5 FROM (SELECT amount_inr, ln(1 + (ts_us - lag(ts_us) OVER (PARTITION BY pan_canonical ORDER BY ts_us, event_id)) / 1e6) AS gap FROM pay WHERE pan_canonical <> '') WHERE amount_inr > 0 AND gap > 0
+    UNION ALL SELECT 'F5-05', 'F5', abs((SELECT dow FROM pay GROUP BY dow ORDER BY count(*) DESC, dow LIMIT 1) - (SELECT dow FROM cal GROUP BY dow ORDER BY round(sum(m), 9) DESC, dow LIMIT 1)), 0, 0
+    UNION ALL SELECT 'F5-06', 'F5', avg(CASE WHEN day(DATE '2026-03-02' + CAST(day_index AS INTEGER)) IN (1, 2, 28, 29, 30, 31) THEN 1 ELSE 0 END), 0.05, 0.55 FROM pay
+    UNION ALL SELECT 'F5-07', 'F5', (SELECT sum(n) FROM (SELECT n FROM shops ORDER BY n DESC LIMIT 10)) / (SELECT sum(n) FROM shops), 0.16, 0.42),
     r AS (SELECT *, CASE WHEN measured IS NULL THEN 'SKIPPED' WHEN measured BETWEEN lo AND hi THEN 'PASS' ELSE 'FAIL' END AS status FROM m)"""
 
 

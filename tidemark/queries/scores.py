@@ -54,7 +54,7 @@ def _overlap(spark, sf):
     return rounded(SC.propensity_overlap(payments(spark, sf), "incumbent_accept_probability"), 9)
 
 
-_DIMS = 8
+_DIMS = 64
 _EMB = f"em AS (SELECT vec_id AS event_id, label, {', '.join(f'CAST(floor(embedding[{i + 1}] * 50) AS DOUBLE) AS d{i}' for i in range(_DIMS))} FROM embeddings)"
 
 
@@ -79,7 +79,7 @@ def _ecod(spark, sf):
     return rounded(SC.ecod_score(rows, rows.filter("label < 8"), _FEATURES).select("event_id", "raw", "z"))
 
 
-@query("ecod_quantile")
+@query("ecod_quantile", f"""WITH {ECOD_SQL} SELECT event_id, CASE WHEN raw > q[1001] THEN 1e0 ELSE CAST(len(list_filter(q, lambda x: x < raw - 1e-9)) AS DOUBLE) / 1000 END AS quantile FROM raw, m""")
 def _ecod_q(spark, sf):
     rows = embeddings(spark, sf)
     return SC.ecod_score(rows, rows.filter("label < 8"), _FEATURES).select("event_id", "quantile")

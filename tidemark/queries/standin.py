@@ -205,4 +205,4 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_id").alias("e"), epoch_us("ts").alias("us"), F.col("user_id").alias("u"), F.col("value").alias("v"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    return offer(complete(over_cores(base).selectExpr(*[f"{expr} AS {n}" for n, expr in COLUMNS.items()])))
+    return offer(complete(over_cores(base).selectExpr(*[f"{expr} AS {n}" for n, expr in COLUMNS.items()])), F.col("ts") * 1e6)

@@ -40,13 +40,27 @@ def _regression(spark, sf):
     return W.run_to_table(W.counter_regressions(payment_stream(spark, sf)), W.scratch(spark))
 
 
-@query("stream_entity_state", f"""WITH {payments_sql("terminal_id", "amount_inr")}, r AS (SELECT *, row_number() OVER (PARTITION BY terminal_id ORDER BY ts_us, event_id) AS pos FROM pay WHERE terminal_id <> ''),
-    x AS (SELECT a.event_id, count(b.event_id) FILTER (b.ts_us >= a.ts_us - 86400000000) AS n, coalesce(sum(b.amount_inr) FILTER (b.ts_us >= a.ts_us - 86400000000), 0) AS s, min(a.ts) - coalesce(min(f.t0), 0) AS age
-      FROM r a LEFT JOIN r b ON a.terminal_id = b.terminal_id AND b.pos < a.pos AND b.pos >= a.pos - 512 JOIN (SELECT terminal_id, min(ts) AS t0 FROM r GROUP BY 1) f ON a.terminal_id = f.terminal_id GROUP BY a.event_id)
-    SELECT event_id, CAST(n AS DOUBLE) AS n_24h, round(s, 4) AS amount_24h, round(age / 86400, 6) AS age_days FROM x""")
+_KEYS = " UNION ALL ".join(f"SELECT event_id, '{k}' AS key_type, {k} AS key, ts, ts_us, amount_inr FROM pay WHERE {k} <> ''" for k in W.COUNTERPARTY)
+_TRAIL = ", ".join(f"""CAST(count(*) OVER (PARTITION BY key_type, key ORDER BY ts_us RANGE BETWEEN {int(s * 1e6)} PRECEDING AND CURRENT ROW) - peers AS DOUBLE) AS n_{w},
+    round(sum(amount_inr) OVER (PARTITION BY key_type, key ORDER BY ts_us RANGE BETWEEN {int(s * 1e6)} PRECEDING AND CURRENT ROW) - peer_amount, 3) + 0e0 AS amount_{w}""" for w, s in W.WINDOW_S.items())
+
+
+@query("stream_entity_state", f"""WITH {payments_sql(*W.COUNTERPARTY, "amount_inr")}, k AS ({_KEYS}),
+    p AS (SELECT *, count(*) OVER e AS peers, sum(amount_inr) OVER e AS peer_amount FROM k WINDOW e AS (PARTITION BY key_type, key, ts_us ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT event_id, key_type, key, {_TRAIL}, round((ts - min(ts) OVER (PARTITION BY key_type, key)) / 86400, 6) AS age_days FROM p""")
 def _state(spark, sf):
-    out = W.run_to_table(W.entity_state(payment_stream(spark, sf)), W.scratch(spark)).filter("key_type = 'terminal_id'")
-    return rounded(out.select("event_id", "n_24h", "amount_24h", "age_days"), 6, amount_24h=4)
+    """All nine key types, all windows; event times are whole hours, so buckets of a minute are exact."""
+    out = W.run_to_table(W.entity_state(payment_stream(spark, sf)), W.scratch(spark))
+    return rounded(out, 6, **{f"amount_{w}": 3 for w in W.WINDOW_S})
+
+
+@query("stream_entity_row", f"""WITH {payments_sql(*W.COUNTERPARTY)}, k AS ({_KEYS.replace(", amount_inr", "")}),
+    a AS (SELECT event_id, key_type, (ts - min(ts) OVER (PARTITION BY key_type, key)) / 86400 AS age FROM k)
+    SELECT event_id, {", ".join(f"round(coalesce(max(age) FILTER (key_type = '{k}'), -1), 6) AS sk_{k}_age_days" for k in W.COUNTERPARTY)} FROM a GROUP BY event_id""")
+def _entity_row(spark, sf):
+    """One flat row per event over its nine entity keys."""
+    flat = W.pivot_entities(W.run_to_table(W.entity_state(payment_stream(spark, sf)), W.scratch(spark)))
+    return rounded(flat.select("event_id", *[f"sk_{k}_age_days" for k in W.COUNTERPARTY]), 6)
 
 
 @query("stream_late_labels", """SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 3 = 0 THEN 'analyst' END AS channel FROM orders
@@ -64,11 +78,11 @@ def _late(spark, sf):
     return closed.select("event_id", "channel")
 
 
-@query("window_counters_batch", f"""WITH {payments_sql("merchant_id", "amount_inr")}, h AS (SELECT *, ts_us // 3600000000 AS h FROM pay WHERE merchant_id <> ''),
-    w AS (SELECT merchant_id, amount_inr, unnest([h // 12, h // 12 - 1]) AS k FROM h) SELECT merchant_id AS key, k * 12 AS start_hour, count(*) AS n, round(sum(amount_inr), 4) AS amount FROM w GROUP BY 1, 2""")
+@query("window_counters_batch", f"""WITH {payments_sql(*W.COUNTERPARTY, "amount_inr")}, k AS ({_KEYS}), h AS (SELECT *, ts_us // 3600000000 AS h FROM k),
+    w AS (SELECT key_type, key, amount_inr, unnest([h // 12, h // 12 - 1]) AS s FROM h) SELECT key_type, key, s * 12 AS start_hour, count(*) AS n, round(sum(amount_inr), 3) AS amount FROM w GROUP BY 1, 2, 3""")
 def _batch_counters(spark, sf):
-    out = W.window_counters(W.observed(payments(spark, sf)).filter("key_type = 'merchant_id'"), "24 hours", "12 hours")
-    return rounded(out.select("key", F.floor(F.unix_micros("w_start") / 3_600_000_000).cast("long").alias("start_hour"), "n", "amount"), 4)
+    out = W.window_counters(W.observed(payments(spark, sf)), "24 hours", "12 hours")
+    return rounded(out.select("key_type", "key", F.floor(F.unix_micros("w_start") / 3_600_000_000).cast("long").alias("start_hour"), "n", "amount"), 3)
 
 
 @query("state_footprint", f"""WITH {payments_sql(*W.COUNTERPARTY)} """ + " UNION ALL ".join(f"SELECT '{k}' AS key_type, count(DISTINCT {k}) AS active_entities FROM pay WHERE {k} <> ''" for k in W.COUNTERPARTY))

@@ -7,24 +7,24 @@ that state is bounded per key.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.plans.cut import CHECKPOINT_CONF
+from tidemark.plans.cut import shared_folder
 
 c = F.col
 
-# Counterparty observed for each entity key, ring size, label latency.
+# Counterparty observed for each entity key, label latency.
 COUNTERPARTY = {
     "pan_canonical": "merchant_id", "token_id": "merchant_id", "token_requestor_id": "pan_canonical", "device_fingerprint_id": "cardholder_id",
     "terminal_id": "pan_canonical", "merchant_id": "pan_canonical", "bin_prefix": "merchant_id", "vpa": "payee_vpa", "beneficiary_id": "cardholder_id",
 }
-RING, LABEL_DELAY = 512, "120 days"
+LABEL_DELAY = "120 days"
 
 
 def observed(events: DataFrame) -> DataFrame:
@@ -79,30 +79,46 @@ WINDOW_S = {"1h": 3600.0, "24h": 86_400.0, "7d": 604_800.0, "30d": 2_592_000.0}
 STATE_FIELDS = ", ".join(f"n_{w} double, amount_{w} double" for w in WINDOW_S)
 
 
-def entity_state(events: DataFrame) -> DataFrame:
-    """Per event and entity key: trailing counts and sums from the key's last 512 events, and its age in days.
+def entity_state(events: DataFrame, resolution: float = 60.0) -> DataFrame:
+    """Per event and entity key: trailing counts and sums over all of its earlier events, and its age in days.
 
-    The state is a ring of (time, amount) and the first time seen, so it is bounded per key.
+    The state is the first time seen and, per ``resolution`` seconds with events in the last 30 days, their
+    number and amount, so it is bounded by time, not by traffic.  An event leaves a window with its bucket:
+    exact where event times are multiples of the resolution, else up to one bucket late.  Ages and the order
+    of events use exact times.  One task serves a key and micro-batch; the window counters are the form that
+    splits a hot key.
     """
     rows = observed(events).select("event_id", "key_type", "key", c("at").cast("double").alias("ts"), "amount")
+    widths = [int(w // resolution) for w in WINDOW_S.values()]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, ring = (state.get[0], json.loads(state.get[1])) if state.exists else (None, [])
-        arrived = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, ts, amount in zip(arrived["event_id"], arrived["ts"], arrived["amount"]):
-            first = ts if first is None else first
-            row = [event_id, key[0], key[1]]
-            for w in WINDOW_S.values():
-                inside = [a for t, a in ring if t >= ts - w]
-                row += [float(len(inside)), float(sum(inside))]
-            out.append([*row, (ts - first) / 86_400.0])
-            ring = [*ring, [ts, amount]][-RING:]
-        state.update((first, json.dumps(ring)))
-        yield pd.DataFrame(out, columns=["event_id", "key_type", "key", *[f"{s}_{w}" for w in WINDOW_S for s in ("n", "amount")], "age_days"])
+        first, bucket, n, amount = state.get if state.exists else (None, [], [], [])
+        arrived = pd.concat(list(batches))[["event_id", "ts", "amount"]].sort_values(["ts", "event_id"])
+        ts = arrived["ts"].to_numpy()
+        own = np.floor(ts / resolution).astype(np.int64)
+        first = float(ts[0]) if first is None else min(float(first), float(ts[0]))
+        b = np.concatenate([np.array(bucket, np.int64), own])
+        order = np.argsort(b, kind="stable")
+        held = np.concatenate([np.array(n, np.int64), np.ones(len(own), np.int64)])[order]
+        value = np.concatenate([np.array(amount, float), arrived["amount"].to_numpy()])[order]
+        b = b[order]
+        at = np.argsort(order, kind="stable")[len(bucket):]  # places of the arrived rows
+        # extended precision: what a large amount adds and takes away again leaves no trace
+        n_before, sum_before = np.concatenate([[0], np.cumsum(held)]), np.concatenate([[0], np.cumsum(value.astype(np.longdouble))])
+        out = {"event_id": arrived["event_id"].to_numpy(), "key_type": key[0], "key": key[1]}
+        for name, width in zip(WINDOW_S, widths):
+            start = np.searchsorted(b, own - width, side="left")
+            out[f"n_{name}"] = (n_before[at] - n_before[start]).astype(float)
+            out[f"amount_{name}"] = (sum_before[at] - sum_before[start]).astype(float)
+        out["age_days"] = (ts - first) / 86_400.0
+        kept, where = np.unique(b[b >= b[-1] - widths[-1]], return_inverse=True)
+        inside = b >= b[-1] - widths[-1]
+        state.update((first, kept.tolist(), np.bincount(where, weights=held[inside]).astype(np.int64).tolist(), np.bincount(where, weights=value[inside]).tolist()))
+        yield pd.DataFrame(out)[["event_id", "key_type", "key", *[f"{s}_{w}" for w in WINDOW_S for s in ("n", "amount")], "age_days"]]
 
     return rows.groupBy("key_type", "key").applyInPandasWithState(
-        step, f"event_id string, key_type string, key string, {STATE_FIELDS}, age_days double", "first double, ring string", "append", GroupStateTimeout.NoTimeout)
+        step, f"event_id string, key_type string, key string, {STATE_FIELDS}, age_days double",
+        "first double, bucket array<bigint>, n array<bigint>, amount array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def pivot_entities(state_rows: DataFrame) -> DataFrame:
@@ -137,13 +153,7 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
 
 
 def scratch(spark) -> str:
-    """A new folder under the session's shared checkpoint folder; a local session may use its own."""
-    import tempfile
+    """A new folder under the session's shared checkpoint folder."""
     import uuid
 
-    base = spark.conf.get(CHECKPOINT_CONF, None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
