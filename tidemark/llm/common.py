@@ -1,9 +1,7 @@
-"""Helpers shared by the corpus operators: shared tables, row keys, splits, text batches."""
+"""Helpers shared by the corpus operators: splits, text batches, tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,31 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
+from tidemark.plans.cut import written
+
+__all__ = ["WORD", "ascii_lower", "bounded_batches", "code_points", "fresh", "held_out", "letters", "slices", "table", "written"]
 BATCH_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 # The space characters of the contracts: \x20 and \x09-\x0D, which is what bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; only a local session without one gets its own."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="corpus-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: lineage ends here, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Before Python tasks: batches of bounded bytes, so that very long texts do not pile up, and this
     package on the workers' path where they share the driver's disk (elsewhere it is installed)."""
