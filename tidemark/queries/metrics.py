@@ -134,13 +134,13 @@ def _rail(spark, sf):
 
 @query("paired_bootstrap")
 def _paired(spark, sf):
-    return M.paired_comparison(scored(spark, sf), "score", "s_base", 0.01, replicates=40)
+    return M.paired_comparison(scored(spark, sf), "score", "s_base", 0.01, replicates=300)
 
 
 @query("bootstrap_interval")
 def _bootstrap(spark, sf):
     rows = M.known(scored(spark, sf)).filter("y = 1").withColumn("hit", F.when(F.col("score") >= 0.6, 1.0).otherwise(0.0))
-    return M.bootstrap_interval(rows, F.sum(F.col("hit") * F.col("w")) / F.sum("w"), replicates=200)
+    return M.bootstrap_interval(rows, F.sum(F.col("hit") * F.col("w")) / F.sum("w"), replicates=400)
 
 
 @query("approval_delta_equal_bps", f"""WITH {KNOWN}, r AS (SELECT quantile_cont(s_inc, 0.9) AS ti, sum(amount) AS total, count(*) AS n FROM kn),

@@ -16,21 +16,51 @@ def stream_of(spark, sf, name="events"):
     return spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def payment_stream(spark, sf):
+END_ID, END_US = 9_000_000_000_000_000, 4_102_444_800_000_000
+
+
+def with_end(stream, spark, rows):
+    """The stream followed by rows of a far future, which move the watermark past all windows of the data."""
+    folder = W.scratch(spark)
+    rows.select(*[c(f.name).cast(f.dataType) for f in stream.schema]).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def payment_stream(spark, sf, ended=False):
     base = stream_of(spark, sf).select(c("event_id").alias("e"), epoch_us("ts").alias("us"), c("user_id").alias("u"), c("value").alias("v"),
                                        F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    if ended:
+        base = with_end(base, spark, spark.range(300).selectExpr(f"{END_ID} + id AS e", f"{END_US} AS us", "0 AS u", "0 AS v", "id % 10 AS k"))
     return complete(base.selectExpr(*[f"{x} AS {n}" for n, x in COLUMNS.items()]))
 
 
-@query("stream_window_counters")
+_KEYS = " UNION ALL ".join(f"SELECT event_id, '{k}' AS key_type, {k} AS key, ts, ts_us, amount_inr, message_kind FROM pay WHERE {k} <> ''" for k in W.COUNTERPARTY)
+_FLOW = lambda kind: f"round(coalesce(sum(amount_inr) FILTER (message_kind = '{kind}'), 0), 3) + 0e0"
+COUNTERS_SQL = f"""WITH {payments_sql(*W.COUNTERPARTY, "amount_inr", "message_kind")}, kk AS ({_KEYS}), h AS (SELECT *, ts_us // 3600000000 AS h FROM kk),
+    w AS (SELECT key_type, key, amount_inr, message_kind, unnest([h // 12, h // 12 - 1]) AS s FROM h)
+    SELECT key_type, key, s * 12 AS start_hour, count(*) AS n, round(sum(amount_inr), 3) AS amount, {_FLOW("inbound_credit")} AS inflow, {_FLOW("onward_send")} AS outflow FROM w GROUP BY 1, 2, 3"""
+
+
+def hour_of(name):
+    return F.floor(F.unix_micros(name) / 3_600_000_000).cast("long")
+
+
+def counters(out):
+    """Exact columns of the counters; distinct counterparties are an estimate."""
+    return rounded(out.select("key_type", "key", hour_of("w_start").alias("start_hour"), "n", "amount", "inflow", "outflow"), 3)
+
+
+@query("stream_window_counters", COUNTERS_SQL)
 def _counters(spark, sf):
-    """Sliding day counters per entity, emitted when the watermark closes them."""
-    return W.run_to_table(W.window_counters(W.observed(payment_stream(spark, sf)), "24 hours", "12 hours"), W.scratch(spark))
+    """Sliding day counters of all nine keys, each emitted when the watermark closes it; the end closes the last."""
+    return counters(W.run_to_table(W.window_counters(W.observed(payment_stream(spark, sf, ended=True)), "24 hours", "12 hours"), W.scratch(spark)))
 
 
-@query("stream_collect_fanout")
+@query("stream_collect_fanout", f"""WITH {payments_sql("message_kind", "payee_vpa", "cardholder_id")} SELECT ts_us // 3600000000 AS start_hour, payee_vpa, count(DISTINCT cardholder_id) AS n_payers
+    FROM pay WHERE message_kind = 'collect_request' AND payee_vpa <> '' GROUP BY 1, 2""")
 def _fanout(spark, sf):
-    return W.run_to_table(W.collect_fanout(payment_stream(spark, sf), threshold=1), W.scratch(spark))
+    out = W.run_to_table(W.collect_fanout(payment_stream(spark, sf, ended=True), threshold=1), W.scratch(spark))
+    return out.select(hour_of("w_start").alias("start_hour"), "payee_vpa", "n_payers")
 
 
 @query("stream_counter_regression", f"""WITH {payments_sql("pan_canonical", "emv_cryptogram_present", "emv_cryptogram_atc")}
@@ -40,12 +70,11 @@ def _regression(spark, sf):
     return W.run_to_table(W.counter_regressions(payment_stream(spark, sf)), W.scratch(spark))
 
 
-_KEYS = " UNION ALL ".join(f"SELECT event_id, '{k}' AS key_type, {k} AS key, ts, ts_us, amount_inr FROM pay WHERE {k} <> ''" for k in W.COUNTERPARTY)
 _TRAIL = ", ".join(f"""CAST(count(*) OVER (PARTITION BY key_type, key ORDER BY ts_us RANGE BETWEEN {int(s * 1e6)} PRECEDING AND CURRENT ROW) - peers AS DOUBLE) AS n_{w},
     round(sum(amount_inr) OVER (PARTITION BY key_type, key ORDER BY ts_us RANGE BETWEEN {int(s * 1e6)} PRECEDING AND CURRENT ROW) - peer_amount, 3) + 0e0 AS amount_{w}""" for w, s in W.WINDOW_S.items())
 
 
-@query("stream_entity_state", f"""WITH {payments_sql(*W.COUNTERPARTY, "amount_inr")}, k AS ({_KEYS}),
+@query("stream_entity_state", f"""WITH {payments_sql(*W.COUNTERPARTY, "amount_inr", "message_kind")}, k AS ({_KEYS}),
     p AS (SELECT *, count(*) OVER e AS peers, sum(amount_inr) OVER e AS peer_amount FROM k WINDOW e AS (PARTITION BY key_type, key, ts_us ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
     SELECT event_id, key_type, key, {_TRAIL}, round((ts - min(ts) OVER (PARTITION BY key_type, key)) / 86400, 6) AS age_days FROM p""")
 def _state(spark, sf):
@@ -54,7 +83,7 @@ def _state(spark, sf):
     return rounded(out, 6, **{f"amount_{w}": 3 for w in W.WINDOW_S})
 
 
-@query("stream_entity_row", f"""WITH {payments_sql(*W.COUNTERPARTY)}, k AS ({_KEYS.replace(", amount_inr", "")}),
+@query("stream_entity_row", f"""WITH {payments_sql(*W.COUNTERPARTY)}, k AS ({_KEYS.replace(", amount_inr, message_kind", "")}),
     a AS (SELECT event_id, key_type, (ts - min(ts) OVER (PARTITION BY key_type, key)) / 86400 AS age FROM k)
     SELECT event_id, {", ".join(f"round(coalesce(max(age) FILTER (key_type = '{k}'), -1), 6) AS sk_{k}_age_days" for k in W.COUNTERPARTY)} FROM a GROUP BY event_id""")
 def _entity_row(spark, sf):
@@ -63,26 +92,22 @@ def _entity_row(spark, sf):
     return rounded(flat.select("event_id", *[f"sk_{k}_age_days" for k in W.COUNTERPARTY]), 6)
 
 
-@query("stream_late_labels", """SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 3 = 0 THEN 'analyst' END AS channel FROM orders
-    WHERE o_orderkey % 3 = 0 OR o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 400 DAY""")
+@query("stream_late_labels", "SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 3 = 0 THEN 'analyst' END AS channel FROM orders")
 def _late(spark, sf):
     """Orders joined to an analyst label six hours later; unlabelled orders appear once no label can come."""
     orders = stream_of(spark, sf, "orders")
     ts = epoch_us("o_orderdate") / 1e6
-    events = orders.select(c("o_orderkey").alias("event_id"), ts.alias("ts"))
-    labels = stream_of(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(
-        c("o_orderkey").alias("event_id"), (ts + 21_600).alias("as_of_ts"), F.lit("analyst").alias("channel"), (c("o_orderkey") % 2).alias("label"))
+    end = lambda i, name: spark.range(1).selectExpr(f"{END_ID} + {i} AS event_id", f"{END_US} / 1e6 AS {name}", "'analyst' AS channel", "0 AS label")
+    events = with_end(orders.select(c("o_orderkey").alias("event_id"), ts.alias("ts")), spark, end(0, "ts"))
+    labels = with_end(orders.filter("o_orderkey % 3 = 0").select(
+        c("o_orderkey").alias("event_id"), (ts + 21_600).alias("as_of_ts"), F.lit("analyst").alias("channel"), (c("o_orderkey") % 2).alias("label")), spark, end(1, "as_of_ts"))
     out = W.run_to_table(W.late_labels(events, labels), W.scratch(spark))
-    last = table(spark, sf, "orders").agg(F.max("o_orderdate").alias("m"))
-    closed = out.crossJoin(F.broadcast(last)).filter(c("channel").isNotNull() | (c("at").cast("timestamp_ntz") < c("m") - F.expr("INTERVAL 400 DAY")))
-    return closed.select("event_id", "channel")
+    return out.filter(c("event_id") < END_ID).select("event_id", "channel")
 
 
-@query("window_counters_batch", f"""WITH {payments_sql(*W.COUNTERPARTY, "amount_inr")}, k AS ({_KEYS}), h AS (SELECT *, ts_us // 3600000000 AS h FROM k),
-    w AS (SELECT key_type, key, amount_inr, unnest([h // 12, h // 12 - 1]) AS s FROM h) SELECT key_type, key, s * 12 AS start_hour, count(*) AS n, round(sum(amount_inr), 3) AS amount FROM w GROUP BY 1, 2, 3""")
+@query("window_counters_batch", COUNTERS_SQL)
 def _batch_counters(spark, sf):
-    out = W.window_counters(W.observed(payments(spark, sf)), "24 hours", "12 hours")
-    return rounded(out.select("key_type", "key", F.floor(F.unix_micros("w_start") / 3_600_000_000).cast("long").alias("start_hour"), "n", "amount"), 3)
+    return counters(W.window_counters(W.observed(payments(spark, sf)), "24 hours", "12 hours"))
 
 
 @query("state_footprint", f"""WITH {payments_sql(*W.COUNTERPARTY)} """ + " UNION ALL ".join(f"SELECT '{k}' AS key_type, count(DISTINCT {k}) AS active_entities FROM pay WHERE {k} <> ''" for k in W.COUNTERPARTY))
