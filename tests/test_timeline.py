@@ -144,3 +144,19 @@ def test_one_plan_serves_derived_frames(spark, rows, df):
         spark.conf.unset("spark.tidemark.blocks.targetRows")
     assert shared == plain and len(again) == len(rows)
     assert sorted(counted) == [("k",), ("k", "cp")]
+
+
+def test_velocity_ranks_of_amount_sums(spark):
+    """Cohort ranks of trailing counts and sums, on amounts that binary numbers hold exactly."""
+    from tidemark.operators.kernels import velocity_panel
+
+    rnd = random.Random(8)
+    rows = [(f"e{i:03d}", rnd.choice("abc"), rnd.randrange(0, 40) * HOUR, rnd.choice("xyz"), rnd.randrange(0, 40) / 4, rnd.choice("pq")) for i in range(150)]
+    df = spark.createDataFrame(rows, "event_id string, k string, ts_us long, cp string, amount_inr double, _cohort string")
+    frames = velocity_panel(df, {"k": "cp"}, windows=["1h", "24h"])
+    ranks = {r["event_id"]: r for r in next(f for f in frames if "vel_k_24h_amount_sum_pct" in f.columns).collect()}
+    sums = {e: sum(p[4] for p in inside(r, prior, 86_400)) for e, (r, prior) in history([(*r[:5], False, r[5]) for r in rows]).items()}
+    cohort = {r[0]: r[5] for r in rows}
+    for e, s in sums.items():
+        peers = [sums[x] for x in sums if cohort[x] == cohort[e]]
+        assert ranks[e]["vel_k_24h_amount_sum_pct"] == pytest.approx((sum(x < s for x in peers) + (sum(x == s for x in peers) - 1) / 2) / (len(peers) - 1))

@@ -173,15 +173,16 @@ def per_group(df: DataFrame, by: str, target_fpr: float = 0.001, score: str = "s
 def poisson_weights(key: Column, replicates: int, seed: int) -> Column:
     """Array of (replicate, weight) with Poisson(1) weights from a stable hash of the row id.
 
-    Weights that depend on the id alone survive a lost executor and pair two arms on the same rows.
+    Weights that depend on the id alone survive a lost executor and pair two arms on the same rows.  Weights
+    stop at 14, which a draw passes once in 10^12.
     """
     cdf, acc, p = [], 0.0, math.exp(-1.0)
-    for k in range(8):
+    for k in range(14):
         acc += p
         cdf.append(acc)
         p /= k + 1
     def weight(b: Column) -> Column:
-        u = F.pmod(F.xxhash64(key, b, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+        u = F.pmod(F.xxhash64(key, b, F.lit(seed)), F.lit(1 << 48)) / float(1 << 48)
         return sum((F.when(u >= edge, 1).otherwise(0) for edge in cdf), F.lit(0))
     reps = F.sequence(F.lit(1), F.lit(replicates))
     return F.filter(F.transform(reps, lambda b: F.struct(b.alias("b"), weight(b).alias("w"))), lambda s: s["w"] > 0)
@@ -199,17 +200,20 @@ def bootstrap_interval(df: DataFrame, stat: Column, key: str = "event_id", repli
 
 
 def paired_comparison(df: DataFrame, ours: str, other: str, target_fpr: float = 0.001, y: str = "y", key: str = "event_id",
-                      replicates: int = 50, seed: int = 11) -> DataFrame:
+                      replicates: int = 50, seed: int = 11, cells: int = 4096) -> DataFrame:
     """Recall delta at a fixed FPR between two scores on the same rows, with a paired bootstrap interval.
 
-    Both arms of a replicate carry the same row weights; the replicates are groups of one score curve.
+    Both arms of a replicate carry the same row weights; the replicates are groups of one score curve.  The point
+    estimate uses the scores themselves; replicates use them cut to 1 / ``cells``, so that what is shuffled is
+    at most replicates x arms x cells rows a task, however many rows are resampled.
     """
     rows = known(df, y).select(key, y, c(ours).alias("a"), c(other).alias("b2"))
     drawn = rows.withColumn("__r", F.explode(F.concat(
         F.array(F.struct(F.lit(0).alias("b"), F.lit(1).alias("w"))), poisson_weights(c(key), replicates, seed))))
     long = drawn.select(c("__r.b").alias("rep"), c("__r.w").alias("w"), y, F.explode(F.array(
         F.struct(F.lit("ours").alias("arm"), c("a").alias("s")), F.struct(F.lit("other").alias("arm"), c("b2").alias("s")))).alias("e"))
-    table = score_curve(long.select("rep", "w", y, "e.arm", "e.s"), c("s"), ["rep", "arm"],
+    score = F.when(c("rep") == 0, c("e.s")).otherwise(F.floor(c("e.s") * cells) / cells).alias("s")
+    table = score_curve(long.select("rep", "w", y, "e.arm", score), c("s"), ["rep", "arm"],
                         pos=F.when(c(y) == 1, c("w")).otherwise(0), neg=F.when(c(y) == 0, c("w")).otherwise(0))
     recall = recall_at_fpr_from(table, target_fpr, ["rep", "arm"])
     wide = recall.groupBy("rep").agg(F.max(F.when(c("arm") == "ours", c("recall"))).alias("ours"), F.max(F.when(c("arm") == "other", c("recall"))).alias("other"))

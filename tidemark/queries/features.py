@@ -467,14 +467,16 @@ family("channel_context", [*C.family("rail_context"), *C.family("channel_context
 _KEYS = ("merchant_id", "beneficiary_id")
 
 
-def _velocity_sql() -> str:
+def _velocity_sql(keys=_KEYS) -> str:
+    """All but the cohort rank of amount sums: the engines cast doubles to decimals differently in the last place, which
+    reorders near ties; that rank is tested on exact amounts."""
     exprs, ctes, joins = {}, [], []
     wins = {"1h": H1, "24h": D1, "7d": D7, "30d": D30}
-    for key in _KEYS:
+    for key in keys:
         cp = FE.COUNTERPARTY[key]
         aggs = {}
         for w, us in wins.items():
-            aggs |= {f"n_{w}": within("count(*)", us), f"s_{w}": within("sum(b_amount_inr)", us), f"d_{w}": within(f"count(DISTINCT nullif(b_{cp}, ''))", us)}
+            aggs |= {f"n_{w}": within("count(*)", us), f"s_{w}": within("sum(CAST(b_amount_inr AS DECIMAL(38, 12)))", us), f"d_{w}": within(f"count(DISTINCT nullif(b_{cp}, ''))", us)}
         ctes += [*ledger(f"{key}_h", key, "amount_inr", cp, **aggs),
                  f"{key}_b AS (SELECT pay.event_id, cohort, " + ", ".join(
                      f"coalesce(n_{w}, 0) AS n_{w}, coalesce(s_{w}, 0) AS s_{w}, coalesce(d_{w}, 0) AS d_{w}" for w in wins)
@@ -494,6 +496,8 @@ def _velocity_sql() -> str:
 
 _velocity_names = [n for n in C.FEATURES if any(n.startswith(f"vel_{k}_") for k in _KEYS) and not n.endswith("amount_sum_pct")]
 family("velocity_two_keys", _velocity_names, _velocity_sql())
+for _key in FE.COUNTERPARTY:
+    family(f"velocity_{_key}", [n for n in C.FEATURES if n.startswith(f"vel_{_key}_") and not n.endswith("amount_sum_pct")], _velocity_sql((_key,)))
 
 
 @query("view_projection", f"""WITH {payments_sql('amount_inr', 'acceptor_country', 'tier')}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import labels as L
 from tidemark.queries.features import PAY, prepared, stats_for
 from tidemark.queries.registry import epoch_us, query, rounded, table
-from tidemark.queries.standin import payments, payments_sql
+from tidemark.queries.standin import COLUMNS, payments, payments_sql
+from tidemark.schema import EVENT_SCHEMA
 
 T = 959_817_600.0  # 2000-06-01, the reading time
 _CHANNELS = {
@@ -172,7 +173,8 @@ def _fit_audit(spark, sf):
     return rounded(L.statistic_fit_audit(stats_for(prep).scalars, L.split_bounds(prep)))
 
 
-_SEPARATORS = ("merchant_age_days", "device_age_days", "beneficiary_account_age_days", "refund_amount_inr", "oracle_value_at_risk_inr")
+_NUMERIC = [f.name for f in EVENT_SCHEMA if f.dataType.simpleString() in ("double", "bigint") and f.name in COLUMNS and f.name not in ("ts", "day_index")]
+_SEPARATORS = list(dict.fromkeys([*_NUMERIC, "oracle_value_at_risk_inr"]))  # every numeric column of the events
 SEPARATOR_SQL = f"""WITH {payments_sql("oracle_is_attack", *_SEPARATORS)}, u AS ({' UNION ALL '.join(
     f"SELECT '{n}' AS feature, CAST({'CASE WHEN oracle_is_attack THEN 1 ELSE -1 END' if n == 'oracle_value_at_risk_inr' else n} AS DOUBLE) AS v, oracle_is_attack AS atk FROM pay" for n in _SEPARATORS)})
     SELECT feature, count(*) FILTER (v > -1 AND atk) AS n_attack, count(*) FILTER (v > -1 AND NOT atk) AS n_benign,
@@ -186,7 +188,7 @@ def _separators(spark, sf):
     return L.one_sided_separators(rows, _SEPARATORS, "oracle_is_attack")
 
 
-_ART = ("merchant_age_days", "device_age_days", "incumbent_score")
+_ART = _NUMERIC
 ARTEFACT_SQL = f"""WITH {payments_sql("oracle_is_attack", *_ART)}, u AS ({' UNION ALL '.join(f"SELECT '{n}' AS feature, {n} AS v, CAST(oracle_is_attack AS INT) AS y FROM pay" for n in _ART)}),
     z AS (SELECT feature, sum(y) AS P, sum(1 - y) AS N, sum(CASE WHEN v > -1 THEN y ELSE 0 END) AS ps, sum(CASE WHEN v > -1 THEN 1 - y ELSE 0 END) AS ns FROM u GROUP BY feature),
     s AS (SELECT feature, v, sum(y) AS pos, sum(1 - y) AS neg FROM u WHERE v > -1 GROUP BY feature, v),
