@@ -29,63 +29,71 @@ SLOTS = {
 SLOT_ORDER = tuple(SLOTS)
 
 # Id, kind, antecedent slot and value, consequent slot and its values.
-_CONSTRAINTS = """
-TY-T01 requires TRUST=cdcvm RAIL=card-cp-emv,card-token-provisioning,card-cnp-3ds,upi-pay,upi-lite-offline
-TY-T02 requires TRUST=threeds-authenticated RAIL=card-cnp-3ds,card-token-provisioning,card-clearing-dispute
-TY-T03 requires TRUST=mandated RAIL=upi-autopay-mandate,card-cnp-3ds,card-cnp-keyed,card-clearing-dispute,agentic-commerce,a2a-credit-transfer
-TY-T04 requires TRUST=agent-attested RAIL=agentic-commerce,card-cnp-3ds,card-cnp-keyed,upi-pay
-TY-T05 requires TRUST=tokenised RAIL=card-cnp-3ds,card-cnp-keyed,card-cp-emv,card-token-provisioning,card-clearing-dispute,agentic-commerce
-TY-T06 requires TRUST=kyc-passed RAIL=upi-pay,upi-collect,upi-autopay-mandate,a2a-credit-transfer,upi-lite-offline,aeps-microatm,card-token-provisioning
-TY-T07 requires TRUST=mandated MONETISATION=merchant-settlement,credit-line-drawdown,biller-giftcard-resale,goods-resale
-TY-A01 requires ACCESS=merchant-onboarding-fraud RAIL=card-cnp-keyed,card-cnp-3ds,card-cp-emv,card-clearing-dispute,upi-collect,upi-pay,upi-autopay-mandate,a2a-credit-transfer,agentic-commerce
-TY-A02 requires ACCESS=authorised-but-deceived-payer RAIL=upi-pay,upi-collect,upi-autopay-mandate,a2a-credit-transfer,upi-lite-offline,card-cnp-3ds,card-cnp-keyed,agentic-commerce,aeps-microatm
-TY-A03 requires ACCESS=first-party-misuse RAIL=card-cnp-3ds,card-cnp-keyed,card-cp-emv,card-clearing-dispute,upi-pay,agentic-commerce
-TY-A04 requires ACCESS=enumerated-credential RAIL=card-cnp-keyed,card-cnp-3ds,card-cp-emv,upi-collect,a2a-credit-transfer
-TY-A05 requires ACCESS=delegated-agent-mandate RAIL=agentic-commerce,card-cnp-3ds,card-cnp-keyed,upi-autopay-mandate
-TY-A06 forbids ACCESS=first-party-misuse TRUST=kyc-passed
-TY-A07 forbids ACCESS=enumerated-credential TRUST=cdcvm,agent-attested,mandated,threeds-authenticated
-TY-A08 requires ACCESS=merchant-onboarding-fraud TRUST=kyc-passed,aged-account,mandated
-TY-A09 requires ACCESS=delegated-agent-mandate TRUST=agent-attested,mandated,tokenised
-TY-A10 forbids ACCESS=account-takeover TRUST=kyc-passed
-TY-A11 forbids ACCESS=stolen-credential TRUST=kyc-passed,agent-attested
-TY-A12 forbids ACCESS=authorised-but-deceived-payer TRUST=agent-attested
-TY-A13 requires ACCESS=synthetic-identity LABEL=never-labelled,label-delayed,label-poisoned
-TY-A14 requires ACCESS=first-party-misuse LABEL=label-poisoned,victim-complains
-TY-A15 forbids ACCESS=stolen-credential LABEL=never-labelled
-TY-A16 forbids ACCESS=account-takeover LABEL=never-labelled
-TY-A17 forbids ACCESS=enumerated-credential LABEL=never-labelled
-TY-T08 requires LABEL=never-labelled TRUST=kyc-passed,aged-account,mandated
-TY-A18 requires ACCESS=first-party-misuse MONETISATION=goods-resale,refund-chargeback-recovery,credit-line-drawdown
-TY-A19 requires ACCESS=merchant-onboarding-fraud MONETISATION=merchant-settlement,biller-giftcard-resale,crypto-offramp,mule-chain-cashout
-TY-A20 requires ACCESS=synthetic-identity MONETISATION=credit-line-drawdown,goods-resale,mule-chain-cashout,merchant-settlement,biller-giftcard-resale
-TY-E01 requires EVASION=low-visibility-rail RAIL=upi-lite-offline,aeps-microatm,upi-collect,agentic-commerce,a2a-credit-transfer
-TY-E02 requires EVASION=trust-inheritance RAIL=card-cnp-3ds,card-token-provisioning,card-cp-emv,upi-autopay-mandate,agentic-commerce,card-clearing-dispute,a2a-credit-transfer
-TY-E03 requires EVASION=label-attack RAIL=card-clearing-dispute,card-cnp-3ds,card-cnp-keyed,upi-pay,a2a-credit-transfer,upi-autopay-mandate
-TY-E04 requires EVASION=oracle-probing RAIL=card-cnp-keyed,card-cnp-3ds,card-cp-emv,upi-collect,a2a-credit-transfer,agentic-commerce
-TY-E05 requires EVASION=graph-camouflage RAIL=upi-pay,a2a-credit-transfer,upi-collect,upi-lite-offline,card-token-provisioning,aeps-microatm
-TY-E06 requires EVASION=label-attack LABEL=label-poisoned,never-labelled,label-delayed
-TY-M01 requires MONETISATION=merchant-settlement RAIL=card-cnp-keyed,card-cnp-3ds,card-cp-emv,card-clearing-dispute,upi-collect,upi-pay,upi-autopay-mandate,agentic-commerce
-TY-M02 requires MONETISATION=credit-line-drawdown RAIL=card-cnp-3ds,card-cnp-keyed,card-cp-emv,card-clearing-dispute,card-token-provisioning,upi-pay,upi-autopay-mandate
-TY-M03 requires MONETISATION=refund-chargeback-recovery RAIL=card-clearing-dispute,card-cnp-3ds,card-cnp-keyed,upi-pay,a2a-credit-transfer
-TY-M04 requires MONETISATION=mule-chain-cashout RAIL=upi-pay,upi-collect,a2a-credit-transfer,upi-lite-offline,aeps-microatm,card-token-provisioning,card-cnp-keyed,card-cnp-3ds
-TY-M05 forbids MONETISATION=biller-giftcard-resale RAIL=aeps-microatm,card-clearing-dispute
-TY-M06 requires MONETISATION=goods-resale RAIL=card-cnp-3ds,card-cnp-keyed,card-cp-emv,card-token-provisioning,upi-pay,upi-collect,agentic-commerce,card-clearing-dispute
-TY-M07 requires MONETISATION=crypto-offramp RAIL=upi-pay,a2a-credit-transfer,card-cnp-keyed,card-cnp-3ds,upi-collect
-"""
-
-
-def _constraints() -> list[tuple[str, str, str, str, str, tuple[str, ...]]]:
-    out = []
-    for line in _CONSTRAINTS.split("\n"):
-        if line:
-            cid, kind, when, then = line.split(" ")
-            ws, wv = when.split("=")
-            ts, tv = then.split("=")
-            out.append((cid, kind, ws, wv, ts, tuple(tv.split(","))))
-    return out
-
-
-CONSTRAINTS = _constraints()
+CONSTRAINTS = (
+    ("TY-T01", "requires", "TRUST", "cdcvm", "RAIL", ("card-cp-emv", "card-token-provisioning", "card-cnp-3ds", "upi-pay", "upi-lite-offline",)),
+    ("TY-T02", "requires", "TRUST", "threeds-authenticated", "RAIL", ("card-cnp-3ds", "card-token-provisioning", "card-clearing-dispute",)),
+    ("TY-T03", "requires", "TRUST", "mandated", "RAIL",
+     ("upi-autopay-mandate", "card-cnp-3ds", "card-cnp-keyed", "card-clearing-dispute", "agentic-commerce", "a2a-credit-transfer",)),
+    ("TY-T04", "requires", "TRUST", "agent-attested", "RAIL", ("agentic-commerce", "card-cnp-3ds", "card-cnp-keyed", "upi-pay",)),
+    ("TY-T05", "requires", "TRUST", "tokenised", "RAIL",
+     ("card-cnp-3ds", "card-cnp-keyed", "card-cp-emv", "card-token-provisioning", "card-clearing-dispute", "agentic-commerce",)),
+    ("TY-T06", "requires", "TRUST", "kyc-passed", "RAIL",
+     ("upi-pay", "upi-collect", "upi-autopay-mandate", "a2a-credit-transfer", "upi-lite-offline", "aeps-microatm", "card-token-provisioning",)),
+    ("TY-T07", "requires", "TRUST", "mandated", "MONETISATION",
+     ("merchant-settlement", "credit-line-drawdown", "biller-giftcard-resale", "goods-resale",)),
+    ("TY-A01", "requires", "ACCESS", "merchant-onboarding-fraud", "RAIL",
+     ("card-cnp-keyed", "card-cnp-3ds", "card-cp-emv", "card-clearing-dispute", "upi-collect", "upi-pay", "upi-autopay-mandate", "a2a-credit-transfer", "agentic-commerce",)),
+    ("TY-A02", "requires", "ACCESS", "authorised-but-deceived-payer", "RAIL",
+     ("upi-pay", "upi-collect", "upi-autopay-mandate", "a2a-credit-transfer", "upi-lite-offline", "card-cnp-3ds", "card-cnp-keyed", "agentic-commerce", "aeps-microatm",)),
+    ("TY-A03", "requires", "ACCESS", "first-party-misuse", "RAIL",
+     ("card-cnp-3ds", "card-cnp-keyed", "card-cp-emv", "card-clearing-dispute", "upi-pay", "agentic-commerce",)),
+    ("TY-A04", "requires", "ACCESS", "enumerated-credential", "RAIL",
+     ("card-cnp-keyed", "card-cnp-3ds", "card-cp-emv", "upi-collect", "a2a-credit-transfer",)),
+    ("TY-A05", "requires", "ACCESS", "delegated-agent-mandate", "RAIL",
+     ("agentic-commerce", "card-cnp-3ds", "card-cnp-keyed", "upi-autopay-mandate",)),
+    ("TY-A06", "forbids", "ACCESS", "first-party-misuse", "TRUST", ("kyc-passed",)),
+    ("TY-A07", "forbids", "ACCESS", "enumerated-credential", "TRUST", ("cdcvm", "agent-attested", "mandated", "threeds-authenticated",)),
+    ("TY-A08", "requires", "ACCESS", "merchant-onboarding-fraud", "TRUST", ("kyc-passed", "aged-account", "mandated",)),
+    ("TY-A09", "requires", "ACCESS", "delegated-agent-mandate", "TRUST", ("agent-attested", "mandated", "tokenised",)),
+    ("TY-A10", "forbids", "ACCESS", "account-takeover", "TRUST", ("kyc-passed",)),
+    ("TY-A11", "forbids", "ACCESS", "stolen-credential", "TRUST", ("kyc-passed", "agent-attested",)),
+    ("TY-A12", "forbids", "ACCESS", "authorised-but-deceived-payer", "TRUST", ("agent-attested",)),
+    ("TY-A13", "requires", "ACCESS", "synthetic-identity", "LABEL", ("never-labelled", "label-delayed", "label-poisoned",)),
+    ("TY-A14", "requires", "ACCESS", "first-party-misuse", "LABEL", ("label-poisoned", "victim-complains",)),
+    ("TY-A15", "forbids", "ACCESS", "stolen-credential", "LABEL", ("never-labelled",)),
+    ("TY-A16", "forbids", "ACCESS", "account-takeover", "LABEL", ("never-labelled",)),
+    ("TY-A17", "forbids", "ACCESS", "enumerated-credential", "LABEL", ("never-labelled",)),
+    ("TY-T08", "requires", "LABEL", "never-labelled", "TRUST", ("kyc-passed", "aged-account", "mandated",)),
+    ("TY-A18", "requires", "ACCESS", "first-party-misuse", "MONETISATION", ("goods-resale", "refund-chargeback-recovery", "credit-line-drawdown",)),
+    ("TY-A19", "requires", "ACCESS", "merchant-onboarding-fraud", "MONETISATION",
+     ("merchant-settlement", "biller-giftcard-resale", "crypto-offramp", "mule-chain-cashout",)),
+    ("TY-A20", "requires", "ACCESS", "synthetic-identity", "MONETISATION",
+     ("credit-line-drawdown", "goods-resale", "mule-chain-cashout", "merchant-settlement", "biller-giftcard-resale",)),
+    ("TY-E01", "requires", "EVASION", "low-visibility-rail", "RAIL",
+     ("upi-lite-offline", "aeps-microatm", "upi-collect", "agentic-commerce", "a2a-credit-transfer",)),
+    ("TY-E02", "requires", "EVASION", "trust-inheritance", "RAIL",
+     ("card-cnp-3ds", "card-token-provisioning", "card-cp-emv", "upi-autopay-mandate", "agentic-commerce", "card-clearing-dispute", "a2a-credit-transfer",)),
+    ("TY-E03", "requires", "EVASION", "label-attack", "RAIL",
+     ("card-clearing-dispute", "card-cnp-3ds", "card-cnp-keyed", "upi-pay", "a2a-credit-transfer", "upi-autopay-mandate",)),
+    ("TY-E04", "requires", "EVASION", "oracle-probing", "RAIL",
+     ("card-cnp-keyed", "card-cnp-3ds", "card-cp-emv", "upi-collect", "a2a-credit-transfer", "agentic-commerce",)),
+    ("TY-E05", "requires", "EVASION", "graph-camouflage", "RAIL",
+     ("upi-pay", "a2a-credit-transfer", "upi-collect", "upi-lite-offline", "card-token-provisioning", "aeps-microatm",)),
+    ("TY-E06", "requires", "EVASION", "label-attack", "LABEL", ("label-poisoned", "never-labelled", "label-delayed",)),
+    ("TY-M01", "requires", "MONETISATION", "merchant-settlement", "RAIL",
+     ("card-cnp-keyed", "card-cnp-3ds", "card-cp-emv", "card-clearing-dispute", "upi-collect", "upi-pay", "upi-autopay-mandate", "agentic-commerce",)),
+    ("TY-M02", "requires", "MONETISATION", "credit-line-drawdown", "RAIL",
+     ("card-cnp-3ds", "card-cnp-keyed", "card-cp-emv", "card-clearing-dispute", "card-token-provisioning", "upi-pay", "upi-autopay-mandate",)),
+    ("TY-M03", "requires", "MONETISATION", "refund-chargeback-recovery", "RAIL",
+     ("card-clearing-dispute", "card-cnp-3ds", "card-cnp-keyed", "upi-pay", "a2a-credit-transfer",)),
+    ("TY-M04", "requires", "MONETISATION", "mule-chain-cashout", "RAIL",
+     ("upi-pay", "upi-collect", "a2a-credit-transfer", "upi-lite-offline", "aeps-microatm", "card-token-provisioning", "card-cnp-keyed", "card-cnp-3ds",)),
+    ("TY-M05", "forbids", "MONETISATION", "biller-giftcard-resale", "RAIL", ("aeps-microatm", "card-clearing-dispute",)),
+    ("TY-M06", "requires", "MONETISATION", "goods-resale", "RAIL",
+     ("card-cnp-3ds", "card-cnp-keyed", "card-cp-emv", "card-token-provisioning", "upi-pay", "upi-collect", "agentic-commerce", "card-clearing-dispute",)),
+    ("TY-M07", "requires", "MONETISATION", "crypto-offramp", "RAIL",
+     ("upi-pay", "a2a-credit-transfer", "card-cnp-keyed", "card-cnp-3ds", "upi-collect",)),
+)
 
 # Projections onto cell axes, minimum depths, infeasible cell patterns, sealed families.
 RAIL_CLASS = {

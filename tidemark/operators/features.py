@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import catalogue as C
 from tidemark.operators import kernels as K
+from tidemark.operators.beneficiary import exchange_prior
 from tidemark.operators.timeline import DAY, HOUR, WINDOWS, Timeline, novelty, trailing_distinct
 from tidemark.plans.blocks import blank, planning
 from tidemark.plans.values import exact_quantiles, lookup
@@ -753,10 +754,12 @@ def build_features(
     cfg: FeatureConfig = FeatureConfig(),
     carry: Sequence[str] = (),
     as_float: bool = False,
+    exchange: DataFrame | None = None,
 ) -> DataFrame:
     """``event_id``, the ``carry`` columns and the requested features (all model features by default).
 
-    ``prepared`` comes from ``kernels.keyed``; ``event_id`` must be unique.
+    ``prepared`` comes from ``kernels.keyed``; ``event_id`` must be unique.  ``exchange`` holds the set bits of the
+    shared risk exchange; without it no beneficiary has a prior.
     """
     names = list(C.MODEL_FEATURES if names is None else names)
     banned = [n for n in names if n in C.NEVER_FEATURES]
@@ -771,6 +774,9 @@ def build_features(
     if clash:
         raise ValueError(f"carried columns {clash} are features too")
     out = prepared.select("event_id", *carry, *[col.cast("double").alias(n) for n, col in own.items()])
+    if exchange is not None and (prior := "beneficiary_prior_from_exchange") in wanted:
+        told = exchange_prior(prepared.select("event_id", "beneficiary_id"), exchange, "beneficiary_id", prior)
+        out = out.drop(prior).join(told.select("event_id", prior), "event_id", "left")
     with planning(prepared):  # all frames share one count per key
         for frame in FRAMES:
             give = [n for n in frame.provides if n in wanted]

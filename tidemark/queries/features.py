@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalogue as C
+from tidemark.operators.beneficiary import build_exchange
 from tidemark.operators import features as FE
 from tidemark.operators import kernels as K
 from tidemark.queries.registry import query, rounded
@@ -510,6 +511,15 @@ def _view(spark, sf):
     return rounded(FE.build_features(prepared(spark, sf), None, names))
 
 
+@query("exchange_feature", f"""WITH {payments_sql("beneficiary_id", "oracle_is_attack", "acceptor_country")}, h AS (SELECT DISTINCT beneficiary_id AS b FROM pay WHERE oracle_is_attack AND beneficiary_id <> '')
+    SELECT event_id, CASE WHEN beneficiary_id IN (SELECT b FROM h) THEN 0.55e0 ELSE 0e0 END AS beneficiary_prior_from_exchange, CAST({flag("acceptor_country <> 'IN'")} AS DOUBLE) AS is_cross_border FROM pay""")
+def _exchange_feature(spark, sf):
+    """The exchange's prior as a feature; so few ids set no bit by chance."""
+    prep = prepared(spark, sf)
+    exchange = build_exchange(prep.filter("oracle_is_attack"), "beneficiary_id")
+    return FE.build_features(prep, None, ["beneficiary_prior_from_exchange", "is_cross_border"], exchange=exchange)
+
+
 @query("feature_matrix")
 def _matrix(spark, sf):
     """Every model feature the payee PSP can construct."""

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import beneficiary as B
 from tidemark.operators import policy as P
+from tidemark.operators import rules as R
 from tidemark.plans.cut import cut
 from tidemark.queries.metrics import AP, AUC
-from tidemark.queries.registry import query, rounded
+from tidemark.queries import rules as _rules  # noqa: F401  (registers the guards' SQL)
+from tidemark.queries.registry import SQL, query, rounded
 from tidemark.queries.scored import SCORED_SQL, scored
 from tidemark.queries.standin import payments, payments_sql
 
@@ -246,19 +248,36 @@ def _exchange(spark, sf):
     return B.exchange_prior(rows, B.build_exchange(rows.filter("oracle_is_attack"), "beneficiary_id"), "beneficiary_id").select("event_id", "exchange_prior")
 
 
+def guarded(spark, sf):
+    """Fired guards by the scored rows' ids."""
+    fired = R.structural_guards(payments(spark, sf), fanout_threshold=2)
+    return fired.withColumn("event_id", F.expr("cast(substring(event_id, 2) AS bigint)"))
+
+
 @query("batch_score")
 def _batch(spark, sf):
-    """Everything together: ranks, calibration, abstention, bands and reason codes of the serving half."""
+    """Everything together: guards, ranks, calibration, abstention, bands and reason codes of the serving half."""
     rows = components(spark, sf).withColumn("conformal_p", 1.0 - c("g2_conformal") * 0.99)
     fit = rows.filter("half")
     fitted = P.ecdf_ranks(fit, fit, P.COMPONENTS).withColumn("fused", P.fused(P.COMPONENTS))
     fitted = cut(fitted.select("event_id", "fused").join(fit.select("event_id", "y", "rail", "amount"), "event_id"))
     model = P.fit_isotonic(fitted, "fused")
     table = cut(P.fit_action_table(P.calibrate(model, fitted, "fused", "score")))
-    out = P.score_batch(rows.filter("not half").drop("score"), P.Bundle(fit.select(*P.COMPONENTS), table, model))
+    out = P.score_batch(rows.filter("not half").drop("score"), P.Bundle(fit.select(*P.COMPONENTS), table, model), guards=guarded(spark, sf))
     return out.select("event_id", "score", "band", "action", F.concat_ws(",", "reason_codes").alias("codes"))
 
 
+@query("kill_switch_score", f"""WITH {SCORED_SQL}, g AS (SELECT CAST(substr(event_id, 2) AS BIGINT) AS event_id, refuse, reason_codes FROM ({SQL["structural_guards"]})),
+    x AS (SELECT sc.event_id, coalesce(refuse, FALSE) AS refuse, coalesce(reason_codes, '') AS own FROM sc LEFT JOIN g USING (event_id))
+    SELECT event_id, CASE WHEN refuse THEN 1e0 ELSE 0e0 END AS score, CASE WHEN refuse THEN 'auto_decline' ELSE 'approve' END AS band,
+    CASE WHEN own = '' THEN '' ELSE own || ',' END || 'POLICY_KILL_SWITCH_G0_ONLY' AS codes FROM x""")
+def _kill_switch(spark, sf):
+    """With the kill switch thrown the guards alone decide."""
+    rows = components(spark, sf).drop("score")
+    out = P.score_batch(rows, P.Bundle(rows.select(*P.COMPONENTS), None, None), guards=guarded(spark, sf), guards_only=True)
+    return out.select("event_id", c("score").cast("double").alias("score"), "band", F.concat_ws(",", "reason_codes").alias("codes"))
+
+
 @query("reason_vocabulary", f"WITH {_BASE}, u AS (SELECT unnest(own) AS code FROM b3 WHERE action <> 'approve') SELECT code, count(*) AS n FROM u WHERE code IN ('GB_NAME_MISMATCH', 'GB_SHORT_DWELL') GROUP BY code")
 def _vocabulary(spark, sf):
     """Codes outside a vocabulary that lacks two of them on purpose."""

@@ -6,81 +6,173 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Column name, type letter (s string, d double, l long, b boolean) and default, in
-# table order. A `!` marks a required column.
-_FIELDS = """
-event_id:s:! ts:d:! day_index:l:! hour_ist:d:! dow:l:! rail:s:! message_kind:s:! tier:s:!
-amount_inr:d:! currency:s:INR settlement_amount_inr:d:-1
-pan_canonical:s: token_id:s: token_requestor_id:s: device_fingerprint_id:s: terminal_id:s:
-merchant_id:s: bin_prefix:s: vpa:s: beneficiary_id:s:
-cardholder_id:s: acquirer_id:s: issuer_id:s: payee_psp_id:s: agent_identity_id:s: sim_id:s:
-address_id:s:
-mcc:s: acceptor_descriptor:s: acceptor_country:s:IN geo_cell:s: merchant_age_days:d:-1
-pos_entry_mode:s: cvm_result:s:none avs_result:s:not_requested cvv2_result:s:not_provided
-terminal_verification_result:s: stand_in_indicator:b:false
-threeds_authentication_result:s:not_applicable threeds_eci:s:none threeds_acs_id:s:
-threeds_field_population_score:d:-1 threeds_challenge_requested:b:false threeds_device_channel:s:
-threeds_screen_wh:s: threeds_ua_family:s: threeds_timezone_offset_min:l:-1 threeds_language:s:
-threeds_ip_asn:s:
-emv_cryptogram_present:b:false emv_cryptogram_atc:l:-1 emv_cryptogram_verified:b:false
-emv_unpredictable_number:s: issuer_application_data_consistent:b:true
-token_assurance_level:s:none provisioning_event_id:s: provisioning_to_first_spend_minutes:d:-1
-mandate_id:s: mandate_max_amount_inr:d:-1 mandate_frequency:s: mandate_permitted_mcc:s:
-mandate_debit_count_to_date:l:-1 mandate_created_ts:d:-1 cit_mit_indicator:s:
-pre_debit_notification_sent:b:false
-upi_initiation_mode:s:not_applicable payee_vpa:s: payee_name_string:s: payee_vpa_age_days:d:-1
-txn_note:s: referrer_domain:s: referrer_domain_age_days:d:-1 collect_request_id:s:
-collect_accepted:b:false pacs_end_to_end_id:s: pacs_status_code:s: creditor_name_string:s:
-creditor_name_match_score:d:-1 remittance_info:s: beneficiary_category:s:unknown
-beneficiary_change_ts:d:-1
-beneficiary_account_age_days:d:-1 beneficiary_inbound_credit_count_24h:l:-1
-beneficiary_distinct_payers_24h:l:-1 beneficiary_inflow_24h_inr:d:-1 beneficiary_outflow_24h_inr:d:-1
-beneficiary_dwell_seconds:d:-1 beneficiary_onward_send_minutes:d:-1 beneficiary_fanin_degree:l:-1
-beneficiary_fanout_degree:l:-1 beneficiary_first_credit_source:s: beneficiary_kyc_tier:s:none
-original_auth_event_id:s: rrn:s: trace_number:s: presentment_age_days:d:-1
-auth_to_presentment_ratio:d:-1 incremental_auth_present:b:false reversal_present:b:false
-refund_amount_inr:d:-1 dispute_reason_code:s:none dispute_filed_ts:d:-1 representment_filed:b:false
-representment_won:b:false
-device_age_days:d:-1 device_model:s: device_os:s: device_rebinding_event:b:false pin_reset_event:b:false
-sms_silence_window_minutes:d:-1 session_id:s: session_duration_minutes:d:-1 in_app_dwell_seconds:d:-1
-typing_cadence_score:d:-1 ip_asn:s: screen_share_app_present:b:false accessibility_permission:b:false
-agent_attestation_status:s:not_applicable agent_endpoint_age_days:d:-1
-agent_mandate_signature_valid:b:false agent_quoted_amount_inr:d:-1
-agent_human_confirmation_event:b:false agentic_indicator:b:false
-credit_limit_inr:d:-1 credit_line_activated_ts:d:-1
-onboarding_batch_id:s: onboarding_ts:d:-1 name_ngram_unlikelihood:d:-1 address_geocode_density:d:-1
-kyc_tier:s:none
-pan_age_days:d:-1 vpa_age_days:d:-1 account_age_days:d:-1
-incumbent_score:d:-1 incumbent_accept_probability:d:-1 incumbent_decision:s: incumbent_rule_fired:s:
-response_code:s: response_latency_ms:d:-1 approved:b:false exemption_flag:s:
-reconciliation_lag_minutes:d:-1
-fd_liquidation_flag:b:false refund_to_different_credential:b:false
-cohort_tag:s:ordinary generator:s:sim rng_stream:s:
-attack_campaign_id:s: attack_family_id:s: attack_grammar_str:s: attack_cell_id:s: attack_stage:s:
-oracle_is_attack:b:false oracle_value_at_risk_inr:d:0 sealed_holdout:b:false entity_pool:s:train
-"""
-
-_SPARK_TYPE = {"s": T.StringType(), "d": T.DoubleType(), "l": T.LongType(), "b": T.BooleanType()}
-
-
-def _parse() -> list[tuple[str, str, str]]:
-    return [tuple(item.split(":", 2)) for item in _FIELDS.split()]
-
-
-FIELDS: tuple[str, ...] = tuple(n for n, _, _ in _parse())
-EVENT_SCHEMA = T.StructType([T.StructField(n, _SPARK_TYPE[t]) for n, t, _ in _parse()])
-REQUIRED: tuple[str, ...] = tuple(n for n, _, d in _parse() if d == "!")
-
-
-def _default(kind: str, text: str):
-    if kind == "s":
-        return text
-    if kind == "b":
-        return text == "true"
-    return int(text) if kind == "l" else float(text)
-
-
-DEFAULTS: dict[str, object] = {n: _default(t, d) for n, t, d in _parse() if d != "!"}
+STRING, DOUBLE, LONG, BOOLEAN = T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType()
+REQUIRED_FIELD = object()
+
+# Column name, type and default, in table order.
+_FIELDS = (
+    ("event_id", STRING, REQUIRED_FIELD),
+    ("ts", DOUBLE, REQUIRED_FIELD),
+    ("day_index", LONG, REQUIRED_FIELD),
+    ("hour_ist", DOUBLE, REQUIRED_FIELD),
+    ("dow", LONG, REQUIRED_FIELD),
+    ("rail", STRING, REQUIRED_FIELD),
+    ("message_kind", STRING, REQUIRED_FIELD),
+    ("tier", STRING, REQUIRED_FIELD),
+    ("amount_inr", DOUBLE, REQUIRED_FIELD),
+    ("currency", STRING, "INR"),
+    ("settlement_amount_inr", DOUBLE, -1.0),
+    ("pan_canonical", STRING, ""),
+    ("token_id", STRING, ""),
+    ("token_requestor_id", STRING, ""),
+    ("device_fingerprint_id", STRING, ""),
+    ("terminal_id", STRING, ""),
+    ("merchant_id", STRING, ""),
+    ("bin_prefix", STRING, ""),
+    ("vpa", STRING, ""),
+    ("beneficiary_id", STRING, ""),
+    ("cardholder_id", STRING, ""),
+    ("acquirer_id", STRING, ""),
+    ("issuer_id", STRING, ""),
+    ("payee_psp_id", STRING, ""),
+    ("agent_identity_id", STRING, ""),
+    ("sim_id", STRING, ""),
+    ("address_id", STRING, ""),
+    ("mcc", STRING, ""),
+    ("acceptor_descriptor", STRING, ""),
+    ("acceptor_country", STRING, "IN"),
+    ("geo_cell", STRING, ""),
+    ("merchant_age_days", DOUBLE, -1.0),
+    ("pos_entry_mode", STRING, ""),
+    ("cvm_result", STRING, "none"),
+    ("avs_result", STRING, "not_requested"),
+    ("cvv2_result", STRING, "not_provided"),
+    ("terminal_verification_result", STRING, ""),
+    ("stand_in_indicator", BOOLEAN, False),
+    ("threeds_authentication_result", STRING, "not_applicable"),
+    ("threeds_eci", STRING, "none"),
+    ("threeds_acs_id", STRING, ""),
+    ("threeds_field_population_score", DOUBLE, -1.0),
+    ("threeds_challenge_requested", BOOLEAN, False),
+    ("threeds_device_channel", STRING, ""),
+    ("threeds_screen_wh", STRING, ""),
+    ("threeds_ua_family", STRING, ""),
+    ("threeds_timezone_offset_min", LONG, -1),
+    ("threeds_language", STRING, ""),
+    ("threeds_ip_asn", STRING, ""),
+    ("emv_cryptogram_present", BOOLEAN, False),
+    ("emv_cryptogram_atc", LONG, -1),
+    ("emv_cryptogram_verified", BOOLEAN, False),
+    ("emv_unpredictable_number", STRING, ""),
+    ("issuer_application_data_consistent", BOOLEAN, True),
+    ("token_assurance_level", STRING, "none"),
+    ("provisioning_event_id", STRING, ""),
+    ("provisioning_to_first_spend_minutes", DOUBLE, -1.0),
+    ("mandate_id", STRING, ""),
+    ("mandate_max_amount_inr", DOUBLE, -1.0),
+    ("mandate_frequency", STRING, ""),
+    ("mandate_permitted_mcc", STRING, ""),
+    ("mandate_debit_count_to_date", LONG, -1),
+    ("mandate_created_ts", DOUBLE, -1.0),
+    ("cit_mit_indicator", STRING, ""),
+    ("pre_debit_notification_sent", BOOLEAN, False),
+    ("upi_initiation_mode", STRING, "not_applicable"),
+    ("payee_vpa", STRING, ""),
+    ("payee_name_string", STRING, ""),
+    ("payee_vpa_age_days", DOUBLE, -1.0),
+    ("txn_note", STRING, ""),
+    ("referrer_domain", STRING, ""),
+    ("referrer_domain_age_days", DOUBLE, -1.0),
+    ("collect_request_id", STRING, ""),
+    ("collect_accepted", BOOLEAN, False),
+    ("pacs_end_to_end_id", STRING, ""),
+    ("pacs_status_code", STRING, ""),
+    ("creditor_name_string", STRING, ""),
+    ("creditor_name_match_score", DOUBLE, -1.0),
+    ("remittance_info", STRING, ""),
+    ("beneficiary_category", STRING, "unknown"),
+    ("beneficiary_change_ts", DOUBLE, -1.0),
+    ("beneficiary_account_age_days", DOUBLE, -1.0),
+    ("beneficiary_inbound_credit_count_24h", LONG, -1),
+    ("beneficiary_distinct_payers_24h", LONG, -1),
+    ("beneficiary_inflow_24h_inr", DOUBLE, -1.0),
+    ("beneficiary_outflow_24h_inr", DOUBLE, -1.0),
+    ("beneficiary_dwell_seconds", DOUBLE, -1.0),
+    ("beneficiary_onward_send_minutes", DOUBLE, -1.0),
+    ("beneficiary_fanin_degree", LONG, -1),
+    ("beneficiary_fanout_degree", LONG, -1),
+    ("beneficiary_first_credit_source", STRING, ""),
+    ("beneficiary_kyc_tier", STRING, "none"),
+    ("original_auth_event_id", STRING, ""),
+    ("rrn", STRING, ""),
+    ("trace_number", STRING, ""),
+    ("presentment_age_days", DOUBLE, -1.0),
+    ("auth_to_presentment_ratio", DOUBLE, -1.0),
+    ("incremental_auth_present", BOOLEAN, False),
+    ("reversal_present", BOOLEAN, False),
+    ("refund_amount_inr", DOUBLE, -1.0),
+    ("dispute_reason_code", STRING, "none"),
+    ("dispute_filed_ts", DOUBLE, -1.0),
+    ("representment_filed", BOOLEAN, False),
+    ("representment_won", BOOLEAN, False),
+    ("device_age_days", DOUBLE, -1.0),
+    ("device_model", STRING, ""),
+    ("device_os", STRING, ""),
+    ("device_rebinding_event", BOOLEAN, False),
+    ("pin_reset_event", BOOLEAN, False),
+    ("sms_silence_window_minutes", DOUBLE, -1.0),
+    ("session_id", STRING, ""),
+    ("session_duration_minutes", DOUBLE, -1.0),
+    ("in_app_dwell_seconds", DOUBLE, -1.0),
+    ("typing_cadence_score", DOUBLE, -1.0),
+    ("ip_asn", STRING, ""),
+    ("screen_share_app_present", BOOLEAN, False),
+    ("accessibility_permission", BOOLEAN, False),
+    ("agent_attestation_status", STRING, "not_applicable"),
+    ("agent_endpoint_age_days", DOUBLE, -1.0),
+    ("agent_mandate_signature_valid", BOOLEAN, False),
+    ("agent_quoted_amount_inr", DOUBLE, -1.0),
+    ("agent_human_confirmation_event", BOOLEAN, False),
+    ("agentic_indicator", BOOLEAN, False),
+    ("credit_limit_inr", DOUBLE, -1.0),
+    ("credit_line_activated_ts", DOUBLE, -1.0),
+    ("onboarding_batch_id", STRING, ""),
+    ("onboarding_ts", DOUBLE, -1.0),
+    ("name_ngram_unlikelihood", DOUBLE, -1.0),
+    ("address_geocode_density", DOUBLE, -1.0),
+    ("kyc_tier", STRING, "none"),
+    ("pan_age_days", DOUBLE, -1.0),
+    ("vpa_age_days", DOUBLE, -1.0),
+    ("account_age_days", DOUBLE, -1.0),
+    ("incumbent_score", DOUBLE, -1.0),
+    ("incumbent_accept_probability", DOUBLE, -1.0),
+    ("incumbent_decision", STRING, ""),
+    ("incumbent_rule_fired", STRING, ""),
+    ("response_code", STRING, ""),
+    ("response_latency_ms", DOUBLE, -1.0),
+    ("approved", BOOLEAN, False),
+    ("exemption_flag", STRING, ""),
+    ("reconciliation_lag_minutes", DOUBLE, -1.0),
+    ("fd_liquidation_flag", BOOLEAN, False),
+    ("refund_to_different_credential", BOOLEAN, False),
+    ("cohort_tag", STRING, "ordinary"),
+    ("generator", STRING, "sim"),
+    ("rng_stream", STRING, ""),
+    ("attack_campaign_id", STRING, ""),
+    ("attack_family_id", STRING, ""),
+    ("attack_grammar_str", STRING, ""),
+    ("attack_cell_id", STRING, ""),
+    ("attack_stage", STRING, ""),
+    ("oracle_is_attack", BOOLEAN, False),
+    ("oracle_value_at_risk_inr", DOUBLE, 0.0),
+    ("sealed_holdout", BOOLEAN, False),
+    ("entity_pool", STRING, "train"),
+)
+
+FIELDS: tuple[str, ...] = tuple(n for n, _, _ in _FIELDS)
+EVENT_SCHEMA = T.StructType([T.StructField(n, t) for n, t, _ in _FIELDS])
+REQUIRED: tuple[str, ...] = tuple(n for n, _, d in _FIELDS if d is REQUIRED_FIELD)
+DEFAULTS: dict[str, object] = {n: d for n, _, d in _FIELDS if d is not REQUIRED_FIELD}
 
 LABEL_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()),
