@@ -105,27 +105,33 @@ class BlockPlan:
 
 
 class PlanBook:
-    """The plans of one source: its rows and each key set are counted once."""
+    """The plans of a query's sources: the rows of each are counted once, and each key set once."""
 
-    def __init__(self, source: DataFrame | None, order: str | Column) -> None:
-        self.source, self.order = source, order
+    def __init__(self) -> None:
+        self.sources: list[tuple[DataFrame, str | Column]] = []
         self.plans: dict[tuple[str, ...], BlockPlan] = {}
-        self._fits: bool | None = None
+        self._counted, self._fits = 0, True
+
+    def add(self, source: DataFrame, order: str | Column) -> None:
+        self.sources.append((source, order))
 
     def fits(self) -> bool:
-        """No group of the source can be hot."""
-        if self._fits is None:
-            self._fits = self.source.count() <= target_rows(self.source.sparkSession)
+        """No source is large enough for a hot group; frames derived from them have a small multiple of their rows."""
+        while self._counted < len(self.sources):
+            source = self.sources[self._counted][0]
+            self._fits = self._fits and source.count() <= target_rows(source.sparkSession)
+            self._counted += 1
         return self._fits
 
     def plan(self, keys: Sequence[str]) -> BlockPlan | None:
-        """The plan of those of the keys that are columns of the source; None where none is."""
-        own = tuple(k for k in keys if k in self.source.columns)
-        if not own:
-            return None
-        if own not in self.plans:
-            self.plans[own] = count_and_cut(self.source, own, self.order)
-        return self.plans[own]
+        """The plan of those of the keys that are columns of an ordered source, the latest first; None where none are."""
+        for source, order in reversed(self.sources):
+            own = tuple(k for k in keys if k in source.columns)
+            if own and not (isinstance(order, str) and order not in source.columns):
+                if own not in self.plans:
+                    self.plans[own] = count_and_cut(source, own, order)
+                return self.plans[own]
+        return None
 
 
 _BOOK: ContextVar[PlanBook | None] = ContextVar("plan_book", default=None)
@@ -133,31 +139,33 @@ _BOOK: ContextVar[PlanBook | None] = ContextVar("plan_book", default=None)
 
 @contextmanager
 def planning(source: DataFrame | None = None, order: str | Column = "ts_us") -> Iterator[None]:
-    """Operators built inside share the plans of ``source``; an outer ``planning`` takes precedence."""
+    """Operators built inside share the plans of ``source`` and of frames offered inside; an outer ``planning`` is joined."""
     if _BOOK.get() is not None:
         if source is not None:
             offer(source, order)
         yield
         return
-    token = _BOOK.set(PlanBook(source, order))
+    token = _BOOK.set(PlanBook())
     try:
+        if source is not None:
+            offer(source, order)
         yield
     finally:
         _BOOK.reset(token)
 
 
 def offer(source: DataFrame, order: str | Column = "ts_us") -> DataFrame:
-    """Make the frame the source of an enclosing ``planning`` that has none yet; ``order`` is what operators will order by."""
+    """Make the frame a source of the enclosing ``planning``, if any; ``order`` is what operators will order by."""
     book = _BOOK.get()
-    if book is not None and book.source is None and not source.isStreaming:
-        book.source, book.order = source, order
+    if book is not None and not source.isStreaming:
+        book.add(source, order)
     return source
 
 
 def no_hot_group(df: DataFrame) -> bool:
-    """Known without counting keys: the planned source, or else the frame, has too few rows."""
+    """Known without counting keys: the planned sources, or else the frame, have too few rows."""
     book = _BOOK.get()
-    if book is not None and book.source is not None:
+    if book is not None and book.sources:
         return book.fits()
     return df.count() <= target_rows(df.sparkSession)
 
@@ -168,7 +176,7 @@ def plan_blocks(df: DataFrame, keys: Sequence[str], order: str) -> BlockPlan:
     if no_hot_group(df):
         return BlockPlan(keys)
     book = _BOOK.get()
-    plan = book.plan(keys) if book is not None and book.source is not None else None
+    plan = book.plan(keys) if book is not None else None
     if plan is None:
         return count_and_cut(df, keys, order)
     return plan.mirrored() if order == "__neg" else plan

@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    return offer(spark.read.parquet(os.path.join(folder, f"{name}.parquet")))
 
 
 def epoch_us(col: str) -> Column:
