@@ -31,15 +31,15 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import bounded_batches, code_points, fresh, held_out, letters, slices, written
 
-SAMPLE, CELLS, ORDERS, SMOOTH, TOP, LEAST = 40_000, 1 << 19, (4, 5), 2.0, 3, 1.0
+SAMPLE, CELLS, ORDERS, SMOOTH, TOP, LEAST, BLANKS = 40_000, 1 << 19, (4, 5), 2.0, 3, 1.0, 10
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t"}
 # Costs in nats: reading a sign as a letter, keeping it as it is, dropping a space, dropping a repeat.
 AS_LETTER, AS_IS, JOIN, REPEAT = 0.7, 5.0, 0.7, 0.2
 SYMBOLS = 28  # boundary, a-z, any other letter
-_LEETED = re.compile(r"(?<!\S)(?=\S*[0-9@$!|+])(?=\S*[^\W\d_])\S+")
-_MAY_BE_LEETED = re.compile(r"[0-9@$!|+]\S*[^\W\d_]|[^\W\d_]\S*[0-9@$!|+]")
+_SIGNS = re.compile(r"[0-9@$!|+]+")
 _SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ ._*\-][\w@$!|+]){2,}(?!\S)")
-_REPEATED = re.compile(r"[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
+_REPEATED = re.compile(r"([^\W\d_])\1\1")
+_TOKEN, _LETTERS = re.compile(r"\S*"), re.compile(r"[^\W\d_]*")
 _EDGE = re.compile(r"^[\W_]+(?<![@$!|+])|([\W_])\1+$|(?<=[^\W_])[!.,;:?]+$")
 
 
@@ -131,15 +131,29 @@ class Restorer:
             got = self.seen[(how, text)] = how(text, self.cost)
         return got
 
+    def _around(self, text: str, mark: re.Pattern, inside) -> str:
+        """Read anew each longest stretch of characters for which ``inside`` holds round a mark."""
+        out, done = [], 0
+        for m in mark.finditer(text):
+            if m.start() < done:
+                continue
+            start, end = m.span()
+            while start > done and inside(text[start - 1]):
+                start -= 1
+            end = (_LETTERS if inside is str.isalpha else _TOKEN).match(text, end).end()
+            out += [text[done:start], self._read(_token, text[start:end])]
+            done = end
+        return "".join([*out, text[done:]]) if out else text
+
     def __call__(self, text: str | None) -> str:
         text = (text or "").lower()
         if _SPACED.search(text):
             text = _SPACED.sub(lambda m: self._read(_run, m[0]), text)
-        if _MAY_BE_LEETED.search(text):
-            text = _LEETED.sub(lambda m: self._read(_token, m[0]), text)
-        if _REPEATED.search(text):
-            text = _REPEATED.sub(lambda m: self._read(_token, m[0]), text)
-        return text
+        return self._around(self._around(text, _SIGNS, _in_token), _REPEATED, str.isalpha)
+
+
+def _in_token(ch: str) -> bool:
+    return not ch.isspace()
 
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
@@ -152,30 +166,37 @@ def trigram_counts(texts: list[str]) -> np.ndarray:
 
 
 def cells(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order, owners and cells of the letter n-grams of (restored, lowered) texts."""
+    """For each order: the cell of the n-gram that begins at each position of the texts, one space after each, and whether it lies inside a word."""
     codes = code_points("".join(f"{t} " for t in texts))
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
     known = letters()[codes]
-    word = np.cumsum(~known)  # equal inside a word
     shift = np.uint32(32 - (CELLS.bit_length() - 1))
+    key, inside, done = np.zeros(len(codes), np.uint32), np.ones(len(codes), bool), 0
     for n in ORDERS:
         if len(codes) < n:
-            continue
-        key = np.full(len(codes) - n + 1, n, np.uint32)
-        for k in range(n):
-            key = key * np.uint32(16777619) + codes[k:len(codes) - n + 1 + k]
-        inside = known[:len(key)] & (word[n - 1:] == word[:len(key)])
-        key = key[inside]
-        yield owner[:len(inside)][inside], ((key ^ (key >> np.uint32(13))) * np.uint32(2654435761)) >> shift
+            return
+        for k in range(done, n):
+            key = key[:len(codes) - k] * np.uint32(16777619) + codes[k:]
+            inside = inside[:len(codes) - k] & known[k:]
+        done = n
+        mixed = key * np.uint32(n)
+        yield ((mixed ^ (mixed >> np.uint32(13))) * np.uint32(2654435761)) >> shift, inside
+
+
+def ends_of(texts: list[str]) -> np.ndarray:
+    """Where each text's positions end; np.searchsorted(..., side="right") finds a position's text."""
+    return np.cumsum([len(t) + 1 for t in texts])
 
 
 def evidence(texts: list[str], weight: np.ndarray) -> np.ndarray:
     """For each text the sum of the weights of its TOP strongest distinct cells."""
-    found = [(o[w > LEAST], c[w > LEAST]) for o, c in cells(texts) for w in [weight[c]]]
+    ends, found = ends_of(texts), []
+    for cell, inside in cells(texts):
+        at = np.flatnonzero((weight[cell] > LEAST) & inside)
+        found.append(np.searchsorted(ends, at, side="right") * CELLS + cell[at])
     if not found:
         return np.zeros(len(texts))
-    both = np.unique(np.concatenate([o.astype(np.int64) * CELLS + c for o, c in found]))
-    owner, w = both // CELLS, weight[both % CELLS]
+    both = np.unique(np.concatenate(found))
+    owner, w = both // CELLS, weight[both % CELLS].astype(float)
     order = np.lexsort((-w, owner))
     owner, w = owner[order], w[order]
     place = np.arange(len(owner)) - np.searchsorted(owner, owner)
@@ -242,14 +263,17 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     got = sample.select("text").mapInArrow(letters_of, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SYMBOLS ** 3)
     counts[got["cell"].to_numpy()] = got["n"].to_numpy()
-    model = Model(trigram_costs(counts), np.zeros(CELLS))
+    model = Model(trigram_costs(counts), np.zeros(CELLS, np.float32))
     restore_with = spark.sparkContext.broadcast(model.costs)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore, total = Restorer(restore_with.value), np.zeros((2, CELLS), np.int64)
         for part in slices(batches):
             texts, toxic = [restore(t) for t in part.column("text").to_pylist()], np.asarray(part.column("toxic"))
-            pairs = [o.astype(np.int64) * CELLS + c for o, c in cells(texts)]
+            ends, pairs = ends_of(texts), []
+            for cell, inside in cells(texts):
+                at = np.flatnonzero(inside)
+                pairs.append(np.searchsorted(ends, at, side="right") * CELLS + cell[at])
             if pairs:
                 once = np.unique(np.concatenate(pairs))
                 total += np.bincount((toxic[once // CELLS] > 0) * CELLS + once % CELLS, minlength=2 * CELLS).reshape(2, CELLS)
@@ -267,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     def weights(less_clean: int, less_toxic: int) -> np.ndarray:
         t, c = np.maximum(toxic - less_toxic, 0), np.maximum(clean - less_clean, 0)
         ratio = np.log((t + SMOOTH) / (sizes[True] - less_toxic + 2 * SMOOTH)) - np.log((c + SMOOTH) / (sizes[False] - less_clean + 2 * SMOOTH))
-        return np.where(t > 0, ratio, 0.0)
+        return np.where(t > 0, ratio, 0.0).astype(np.float32)
 
     model.weight = weights(0, 0)
     without = spark.sparkContext.broadcast((weights(1, 0), weights(0, 1)))
@@ -277,11 +301,16 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
         for part in slices(batches):
             label = np.asarray(part.column("toxic")) > 0
             texts = [restore(t) for t in part.column("text").to_pylist()]
-            x = np.where(label, evidence(texts, by_label[1]), evidence(texts, by_label[0]))
+            x = np.zeros(len(texts))
+            for value in (0, 1):
+                own = np.flatnonzero(label == bool(value))
+                x[own] = evidence([texts[i] for i in own], by_label[value])
             yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(x)], names=["toxic", "x"])
 
     seen = sample.mapInArrow(measure, "toxic int, x double").toArrow()  # at most ``size`` rows
-    model.slope, model.offset = logistic(seen["x"].to_numpy(), seen["toxic"].to_numpy())
+    # a few clean texts without evidence, so that a handful of labels never makes "no evidence" toxic
+    x, y = (np.concatenate([seen[n].to_numpy().astype(float), np.zeros(BLANKS)]) for n in ("x", "toxic"))
+    model.slope, model.offset = logistic(x, y)
     return model
 
 
