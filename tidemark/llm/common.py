@@ -32,9 +32,8 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z and nothing else.  lower() is the fast way where no other character has a case."""
-    plain = ~text.rlike("[^\\x00-\\x7F\\u00DF-\\u00F6\\u00F8-\\u00FF\\u2010-\\u2027]")
-    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    """A-Z to a-z and nothing else."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def fresh(df: DataFrame, name: str) -> str:

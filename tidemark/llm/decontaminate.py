@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ascii_lower, fresh, written
 
 WINDOW, BROADCAST = 10, 200_000
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # digits, a-z and all that is not ASCII
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # words are digits, a-z and all that is not ASCII
+_WORD_ANY_CASE = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text), _BETWEEN), "")
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -64,11 +64,12 @@ def occurrences(docs: DataFrame, index: DataFrame, limit: int = BROADCAST) -> Da
     inside = (at >= 0) & (at + F.size("ws") <= F.col("n_words"))
     probe = index.select("token", "offset", "ws", "window_id")
     if index.limit(limit + 1).count() <= limit:
-        spread = rows.withColumn("n_words", F.size("words")).select("doc_id", "h", "words", "n_words", F.posexplode("words").alias("pos", "word"))
+        # outer: an inner explode would be given a filter that cuts every text into words twice more
+        spread = rows.withColumn("n_words", F.size("words")).select("doc_id", "h", "words", "n_words", F.posexplode_outer("words").alias("pos", "word"))
         verified = F.slice("words", at + 1, F.size("ws")) == F.col("ws")
         met = spread.join(F.broadcast(probe), (F.col("word") == F.col("token")) & inside & verified)
         return met.select("doc_id", "h", at.alias("at"), F.size("ws").alias("k"), "window_id")
-    spread = rows.select("doc_id", "h", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word"))
+    spread = rows.select("doc_id", "h", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
     met = spread.join(probe, (F.col("word") == F.col("token")) & inside).select("doc_id", "h", at.alias("at"), "window_id", "ws")
     again = rows.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "words")
     held = met.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
