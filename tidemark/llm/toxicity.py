@@ -5,9 +5,10 @@ letters (stuuupid).  Every stretch of text that can have more than one reading b
 characters with the cost of each change; a Viterbi search under a trigram model of letters and word
 boundaries picks the reading.  All other text has one reading, itself.
 
-Score: hashed letter n-grams of the restored text.  A cell's weight is its smoothed log ratio of document
-shares, toxic against clean.  A text's evidence is the sum of its ``TOP`` strongest distinct cells, which does
-not dilute with length.  A logistic curve turns it into a probability; it is fitted on the evidence each
+Score: hashed n-grams of letters of the restored text, of which the first may be the gap before a word.  A
+cell's weight is the smoothed log ratio of the shares, toxic against clean, of documents that hold it at least once,
+twice or ``BINS`` times, whichever is largest.  A text's evidence is the sum of its ``TOP`` strongest distinct cells,
+which does not dilute with length.  A logistic curve turns it into a probability; it is fitted on the evidence each
 labelled text gets with its own share taken out of the weights.
 
 Fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their id.  Labels of repeated ids are
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import bounded_batches, code_points, fresh, held_out, letters, slices, written
 
-SAMPLE, CELLS, ORDERS, SMOOTH, TOP, LEAST, BLANKS = 40_000, 1 << 19, (4, 5), 2.0, 3, 1.0, 10
+SAMPLE, CELLS, ORDERS, BINS, SMOOTH, TOP, LEAST, BLANKS = 40_000, 1 << 19, (4, 5, 6), 3, 2.0, 3, 1.0, 10
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t"}
 # Costs in nats: reading a sign as a letter, keeping it as it is, dropping a space, dropping a repeat.
 AS_LETTER, AS_IS, JOIN, REPEAT = 0.7, 5.0, 0.7, 0.2
@@ -166,9 +167,11 @@ def trigram_counts(texts: list[str]) -> np.ndarray:
 
 
 def cells(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the cell of the n-gram that begins at each position of the texts, one space after each, and whether it lies inside a word."""
-    codes = code_points("".join(f"{t} " for t in texts))
+    """For each order: the cell of the n-gram that begins at each position of the texts, a space before each, and whether all but its first
+    character are letters; anything but a letter is a gap."""
+    codes = code_points("".join(f" {t}" for t in texts))
     known = letters()[codes]
+    codes = np.where(known, codes, np.uint32(32))
     shift = np.uint32(32 - (CELLS.bit_length() - 1))
     key, inside, done = np.zeros(len(codes), np.uint32), np.ones(len(codes), bool), 0
     for n in ORDERS:
@@ -176,27 +179,29 @@ def cells(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             return
         for k in range(done, n):
             key = key[:len(codes) - k] * np.uint32(16777619) + codes[k:]
-            inside = inside[:len(codes) - k] & known[k:]
+            if k:
+                inside = inside[:len(codes) - k] & known[k:]
         done = n
         mixed = key * np.uint32(n)
         yield ((mixed ^ (mixed >> np.uint32(13))) * np.uint32(2654435761)) >> shift, inside
 
 
-def ends_of(texts: list[str]) -> np.ndarray:
-    """Where each text's positions end; np.searchsorted(..., side="right") finds a position's text."""
-    return np.cumsum([len(t) + 1 for t in texts])
-
-
-def evidence(texts: list[str], weight: np.ndarray) -> np.ndarray:
-    """For each text the sum of the weights of its TOP strongest distinct cells."""
-    ends, found = ends_of(texts), []
+def held(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, cell, times) of the cells the texts hold, of those marked as wanted."""
+    ends, found = np.cumsum([len(t) + 1 for t in texts]), [np.zeros(0, np.int64)]
     for cell, inside in cells(texts):
-        at = np.flatnonzero((weight[cell] > LEAST) & inside)
+        at = np.flatnonzero(inside if wanted is None else inside & wanted[cell])
         found.append(np.searchsorted(ends, at, side="right") * CELLS + cell[at])
-    if not found:
-        return np.zeros(len(texts))
-    both = np.unique(np.concatenate(found))
-    owner, w = both // CELLS, weight[both % CELLS].astype(float)
+    both, times = np.unique(np.concatenate(found), return_counts=True)
+    return both // CELLS, both % CELLS, times
+
+
+def evidence(texts: list[str], weight: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each text the sum of the weights of its TOP strongest distinct cells; ``weight`` is BINS x CELLS."""
+    owner, cell, times = held(texts, wanted)
+    w = weight[np.minimum(times, BINS) - 1, cell].astype(float)
+    strong = w > LEAST
+    owner, w = owner[strong], w[strong]
     order = np.lexsort((-w, owner))
     owner, w = owner[order], w[order]
     place = np.arange(len(owner)) - np.searchsorted(owner, owner)
@@ -231,7 +236,7 @@ class Model:
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         if self._restore is None:
             self._restore = Restorer(self.costs)
-        return evidence([self._restore(t) for t in texts], self.weight)
+        return evidence([self._restore(t) for t in texts], self.weight, self.weight[-1] > LEAST)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if np.isinf(self.offset):
@@ -263,35 +268,36 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     got = sample.select("text").mapInArrow(letters_of, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SYMBOLS ** 3)
     counts[got["cell"].to_numpy()] = got["n"].to_numpy()
-    model = Model(trigram_costs(counts), np.zeros(CELLS, np.float32))
+    model = Model(trigram_costs(counts), np.zeros((BINS, CELLS), np.float32))
     restore_with = spark.sparkContext.broadcast(model.costs)
 
+    names = [f"{kind}{k + 1}" for k in range(BINS) for kind in ("clean", "toxic")]
+
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, total = Restorer(restore_with.value), np.zeros((2, CELLS), np.int64)
-        for part in slices(batches):
-            texts, toxic = [restore(t) for t in part.column("text").to_pylist()], np.asarray(part.column("toxic"))
-            ends, pairs = ends_of(texts), []
-            for cell, inside in cells(texts):
-                at = np.flatnonzero(inside)
-                pairs.append(np.searchsorted(ends, at, side="right") * CELLS + cell[at])
-            if pairs:
-                once = np.unique(np.concatenate(pairs))
-                total += np.bincount((toxic[once // CELLS] > 0) * CELLS + once % CELLS, minlength=2 * CELLS).reshape(2, CELLS)
+        restore, total = Restorer(restore_with.value), np.zeros((2 * BINS, CELLS), np.int64)
+        for part in slices(batches, limit=1 << 20):
+            owner, cell, times = held([restore(t) for t in part.column("text").to_pylist()])
+            toxic = (np.asarray(part.column("toxic")) > 0)[owner]
+            for k in range(BINS):
+                for value in (0, 1):
+                    total[2 * k + value] += np.bincount(cell[(times > k) & (toxic == bool(value))], minlength=CELLS)
         at = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["cell", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(row[at]) for row in total]], names=["cell", *names])
 
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return model
-    summed = sample.mapInArrow(shares, "cell long, clean long, toxic long").groupBy("cell").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("toxic > 0").toArrow()  # at most CELLS rows
-    clean, toxic = np.zeros(CELLS), np.zeros(CELLS)
-    clean[summed["cell"].to_numpy()], toxic[summed["cell"].to_numpy()] = summed["clean"].to_numpy(), summed["toxic"].to_numpy()
+    schema = ", ".join(["cell long", *[f"{n} long" for n in names]])
+    summed = sample.mapInArrow(shares, schema).groupBy("cell").agg(*[F.sum(n).alias(n) for n in names]).filter("toxic1 > 0").toArrow()  # at most CELLS rows
+    count = np.zeros((2 * BINS, CELLS), np.float32)
+    for row, n in zip(count, names, strict=True):
+        row[summed["cell"].to_numpy()] = summed[n].to_numpy()
 
     def weights(less_clean: int, less_toxic: int) -> np.ndarray:
-        t, c = np.maximum(toxic - less_toxic, 0), np.maximum(clean - less_clean, 0)
+        """BINS x CELLS; each row is the largest weight of so many times or fewer."""
+        c, t = np.maximum(count[0::2] - less_clean, 0), np.maximum(count[1::2] - less_toxic, 0)
         ratio = np.log((t + SMOOTH) / (sizes[True] - less_toxic + 2 * SMOOTH)) - np.log((c + SMOOTH) / (sizes[False] - less_clean + 2 * SMOOTH))
-        return np.where(t > 0, ratio, 0.0).astype(np.float32)
+        return np.maximum.accumulate(np.where(t > 0, ratio, 0.0), axis=0).astype(np.float32)
 
     model.weight = weights(0, 0)
     without = spark.sparkContext.broadcast((weights(1, 0), weights(0, 1)))
@@ -304,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
             x = np.zeros(len(texts))
             for value in (0, 1):
                 own = np.flatnonzero(label == bool(value))
-                x[own] = evidence([texts[i] for i in own], by_label[value])
+                x[own] = evidence([texts[i] for i in own], by_label[value], by_label[value][-1] > LEAST)
             yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(x)], names=["toxic", "x"])
 
     seen = sample.mapInArrow(measure, "toxic int, x double").toArrow()  # at most ``size`` rows
