@@ -441,3 +441,11 @@ def test_symbol_probabilities_sum_to_one():
     assert np.allclose((10 ** tree.log_p).sum(axis=1), 1)
     assert np.isclose((10 ** own[classes == suffix_lm.OTHER]).sum(), 1)
     assert all(a.size >= 0 for a in tree.contexts) and all(x < y for x, y in pairwise(tree.contexts[1].tolist()))
+
+
+def test_suffix_tree_keeps_a_context_of_any_share(spark):
+    """30 occurrences in over 6 million positions, less than a share of 5e-6, each followed by the same rare symbol."""
+    rows = [(k, "ab " * 340_000, None, None) for k in range(6)] + [(6, "qz " * 30, None, None)]
+    tree = suffix_lm.learn(docs(spark, rows))
+    assert int(tree.classes[ord("q")]) in tree.contexts[1].tolist()
+    assert np.allclose((10 ** tree.log_p.astype(float)).sum(axis=1), 1, atol=1e-4)
