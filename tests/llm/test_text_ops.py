@@ -233,6 +233,32 @@ def test_viterbi_finds_the_cheapest_reading():
         assert any(abs(price(p) - best) < 1e-9 and "".join(x for x, _ in p) == read for p in product(*lattice))
 
 
+def letter_costs(words):
+    return toxicity.trigram_costs(toxicity.trigram_counts([" ".join(words)] * 50))
+
+
+def test_long_stretches_are_read_whole(monkeypatch):
+    words = ["moron", "scum", "people"]
+    read = toxicity.Restorer(letter_costs(words))
+    spaced = " ".join(" ".join(w) for w in words * 200)
+    assert len(spaced) > 2000 and read(spaced).split() == words * 200
+    joined = "_".join(["m0ron", "scum", "pe0ple"] * 200)
+    assert len(joined) > 2000 and read(joined).split("_") == words * 200
+    assert read("scu" + "m" * 5000) == "scum"
+    with_long_run = read("a" + "_" * 200_000 + "b0")  # must not take quadratic time
+    assert with_long_run.startswith("a")
+    long = [toxicity._choices(c) if c != " " else [("", 0.7), (" ", 0.0)] for c in spaced]
+    whole = toxicity.decode(long, read.cost)
+    monkeypatch.setattr(toxicity, "SETTLE", 1)
+    assert toxicity.decode(long, read.cost) == whole
+
+
+def test_spaced_words_at_punctuation_and_wide_spaces():
+    read = toxicity.Restorer(letter_costs(["moron", "scum", "people"]))
+    for hidden, plain in (("m o r o n, people", "moron, people"), ("s c u m.", "scum."), ("(s c u m)", "(scum)"), ("m  o  r  o  n", "moron"), ("m\to\n r o n", "moron")):
+        assert read(hidden) == plain
+
+
 # ---------------------------------------------------------------- language
 
 def test_language_of_held_out_texts(spark):

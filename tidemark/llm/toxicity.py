@@ -36,12 +36,14 @@ SAMPLE, CELLS, ORDERS, BINS, SMOOTH, TOP, LEAST, BLANKS = 40_000, 1 << 19, (4, 5
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t"}
 # Costs in nats: reading a sign as a letter, keeping it as it is, dropping a space, dropping a repeat.
 AS_LETTER, AS_IS, JOIN, REPEAT = 0.7, 5.0, 0.7, 0.2
+SETTLE, LONG = 1024, 2000  # places between looks for the shared part of the paths; characters up to which a reading is remembered
 SYMBOLS = 28  # boundary, a-z, any other letter
 _SIGNS = re.compile(r"[0-9@$!|+]+")
-_SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ ._*\-][\w@$!|+]){2,}(?!\S)")
+_SPACED = re.compile(r"(?<![^\W_])(?<![@$!|+'\u2019])(?:[^\W_]|[@$!|+])(?:(?:\s+|[._*\-])(?:[^\W_]|[@$!|+])){2,}(?![^\W_])")
+_UNIT = re.compile(r"(\s+|[._*\-])|(.)", re.S)
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _TOKEN, _LETTERS = re.compile(r"\S*"), re.compile(r"[^\W\d_]*")
-_EDGE = re.compile(r"^[\W_]+(?<![@$!|+])|([\W_])\1+$|(?<=[^\W_])[!.,;:?]+$")
+SIGN_LETTERS, STOPS = "@$!|+", "!.,;:?"
 
 
 @lru_cache(1 << 16)
@@ -65,11 +67,17 @@ def trigram_costs(counts: np.ndarray) -> np.ndarray:
 
 
 def decode(lattice: list[list[tuple[str, float]]], cost: list[list[list[float]]]) -> str:
-    """The cheapest reading: one choice (a string, possibly empty, and its cost) per place; Viterbi over symbol pairs."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The cheapest reading: one choice (a string, possibly empty, and its cost) per place; Viterbi over symbol pairs.
+
+    A path is a chain of (path before, string).  Now and then the part all paths share is written out and let go,
+    so time grows with the length, and memory with the part still open.
+    """
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    done: list[str] = []
+    held, due = 0, SETTLE
     for choices in lattice:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (so_far, text) in best.items():
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (so_far, path) in best.items():
             for out, extra in choices:
                 x, y, total = a, b, so_far + extra
                 for ch in out:
@@ -79,20 +87,70 @@ def decode(lattice: list[list[tuple[str, float]]], cost: list[list[list[float]]]
                         x, y = y, z
                 kept = new.get((x, y))
                 if kept is None or total < kept[0]:
-                    new[(x, y)] = (total, text + out)
+                    new[(x, y)] = (total, (path, out))
         best = new
-    return min((total + (cost[a][b][0] if b else 0.0), text) for (a, b), (total, text) in best.items())[1]
+        held += 1
+        if held >= due:
+            best, held = _settle(best, done)
+            due = max(SETTLE, 2 * held)
+    ends = {state: total + (cost[state[0]][state[1]][0] if state[1] else 0.0) for state, (total, _) in best.items()}
+    least = min(ends.values())
+    return "".join(done) + min("".join(out for _, out in _chain(path)) for state, (_, path) in best.items() if ends[state] == least)
+
+
+def _chain(path: tuple | None) -> list[tuple]:
+    """The links of a path, first to last."""
+    links = []
+    while path is not None:
+        links.append(path)
+        path = path[0]
+    return links[::-1]
+
+
+def _settle(best: dict, done: list[str]) -> tuple[dict, int]:
+    """Move the links all paths share to ``done``; the paths without them, and how many links are left."""
+    chains = {state: _chain(path) for state, (_, path) in best.items()}
+    shared = 0
+    for links in zip(*chains.values()):
+        if any(link is not links[0] for link in links):
+            break
+        shared += 1
+    done += [out for _, out in next(iter(chains.values()))[:shared]]
+    left, again = {}, {}
+    for state, links in chains.items():
+        path = None
+        for link in links[shared:]:
+            path = again.setdefault(id(link), (path, link[1]))  # links shared by some paths stay shared
+        left[state] = (best[state][0], path)
+    return left, len(links) - shared
 
 
 def _choices(ch: str) -> list[tuple[str, float]]:
     return [(x, AS_LETTER) for x in LEET[ch]] + [(ch, AS_IS)] if ch in LEET else [(ch, 0.0)]
 
 
+def _core(token: str) -> str:
+    """A token with a letter, without the signs before it that are not read as letters, stops at its end and a sign repeated there."""
+    begin, end = 0, len(token)
+    while begin < end and not token[begin].isalnum():
+        begin += 1
+    while begin and token[begin - 1] in SIGN_LETTERS:
+        begin -= 1
+    last = token[-1]
+    again = len(token.rstrip(last)) if not last.isalnum() else end
+    stops = len(token.rstrip(STOPS))
+    if end - again > 1:
+        end = again
+    if stops and token[stops - 1].isalnum():
+        end = min(end, stops)
+    return token[begin:end]
+
+
 def _token(token: str, cost: list) -> str:
     """Read one token: leet signs as letters, runs of three or more as one or two."""
-    core = _EDGE.sub("", token)
-    if not any(c.isalpha() for c in core):
+    if not any(c.isalpha() for c in token):
         return token
+    core = _core(token)
     lattice: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(core):
@@ -110,10 +168,7 @@ def _token(token: str, cost: list) -> str:
 
 def _run(run: str, cost: list) -> str:
     """Read single characters with separators between them: each separator is a space or nothing."""
-    lattice = []
-    for k, ch in enumerate(run):
-        lattice.append([("", JOIN), (" ", 0.0)] if k % 2 else _choices(ch))
-    return decode(lattice, cost)
+    return decode([[("", JOIN), (" ", 0.0)] if m[1] else _choices(m[2]) for m in _UNIT.finditer(run)], cost)
 
 
 class Restorer:
@@ -123,8 +178,8 @@ class Restorer:
         self.cost, self.seen, self.remember = costs.tolist(), {}, remember
 
     def _read(self, how, text: str) -> str:
-        if len(text) > 2000:  # no word: one reading
-            return text
+        if len(text) > LONG:  # hardly recurs
+            return how(text, self.cost)
         got = self.seen.get((how, text))
         if got is None:
             if len(self.seen) >= self.remember:
