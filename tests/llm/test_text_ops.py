@@ -233,6 +233,14 @@ def test_viterbi_finds_the_cheapest_reading():
         assert any(abs(price(p) - best) < 1e-9 and "".join(x for x, _ in p) == read for p in product(*lattice))
 
 
+def test_letters_are_counted_over_all_texts(spark):
+    rows, labels = toxic_rows(n=40)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    more = docs(spark, rows + [(5000 + k, "zqx " * 50, None, None) for k in range(40)])  # no labels
+    z, q, x = (toxicity.symbol(c) for c in "zqx")
+    assert toxicity.fit(more, known).costs[z, q, x] < 0.1 < toxicity.fit(docs(spark, rows), known).costs[z, q, x]
+
+
 def letter_costs(words):
     return toxicity.trigram_costs(toxicity.trigram_counts([" ".join(words)] * 50))
 

@@ -11,7 +11,8 @@ twice or ``BINS`` times, whichever is largest.  A text's evidence is the sum of
 which does not dilute with length.  A logistic curve turns it into a probability; it is fitted on the evidence each
 labelled text gets with its own share taken out of the weights.
 
-Fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their id.  Labels of repeated ids are
+The letter trigrams are counted over all rows that are not held out; weights and curve are fitted on at most ``SAMPLE``
+labelled rows, those with the smallest hash of their id.  Labels of repeated ids are
 joined by OR; null labels are not used.  Edge cases: null, empty and letterless texts have no evidence and get the curve's
 lowest value; without both classes among the labels every score is 0; texts are scored whole.
 """
@@ -320,7 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    got = sample.select("text").mapInArrow(letters_of, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    corpus = docs.filter(~held_out("doc_id", 5, 0)).filter("text is not null").select("text")
+    got = corpus.mapInArrow(letters_of, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SYMBOLS ** 3)
     counts[got["cell"].to_numpy()] = got["n"].to_numpy()
     model = Model(trigram_costs(counts), np.zeros((BINS, CELLS), np.float32))
