@@ -218,3 +218,42 @@ def test_stages_keep_columns_that_clash_and_nulls(spark, tmp_path):
     kept = [i for i in ids if i is not None]
     assert len(kept) == len(set(kept)) and set(range(60)) - {3, 11} <= set(kept) <= set(range(60)) - {11}  # 3 may be told toxic from its label
     assert ids.count(None) == 1
+
+
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_near_copies_of_the_stage(spark, chunk):
+    """Copies at 0.8 to 0.95 go, texts below 0.8 stay, against all pairs compared by brute force."""
+    from tidemark.llm import similar
+
+    rnd = random.Random(7)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rnd.randint(0, 10 ** 6)}" for _ in range(304)]
+        for t in (0, 8, 15, 25, 32, 36, 60, 150):  # the last words differ: similarity (300 - t) / (300 + t)
+            rows.append((len(rows), " ".join(base[:304 - t] + [f"x{rnd.randint(0, 10 ** 6)}" for _ in range(t)])))
+    rows += [(500, ""), (501, None), (502, "one two"), (503, "One  two"), (None, "one two"), (None, "own text")]
+    rnd.shuffle(rows)
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), 10 ** 9), 10 ** 9 if i is None else i)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["doc_id"] for r in similar.keep_first(frame, chunk).collect()]
+    assert sorted(10 ** 9 if i is None else i for i in got) == sorted(least.values())
+    assert similar.keep_first(frame.limit(0)).count() == 0
