@@ -287,6 +287,11 @@ def test_language_of_held_out_texts(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+def test_texts_stay_when_no_language_is_known(spark):
+    rows = [(1, "some text", None, None), (2, "Ünd", None, None), (3, "12 !", None, None), (4, None, None, None), (5, "", None, None)]
+    assert sorted(r["doc_id"] for r in langid.keep_identified(docs(spark, rows)).collect()) == [1, 2]
+
+
 def test_language_cells_match_a_plain_count():
     got = Counter()
     texts = ["Ab c", None, "ñ"]

@@ -140,7 +140,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told: null texts and texts without a letter go."""
+    """The rows of ``docs``, all columns, whose language can be told, or, when none could be learned, that could have one: null texts and texts without a letter go."""
     model = fit(docs.filter(~held_out("doc_id", 4, 2)).select("doc_id", "text", "lang"))
+    if not model.langs:  # no language known: any text with a letter stays
+        model = Model(["any"], np.zeros((1, BUCKETS)), np.zeros(1))
     told = fresh(docs, "lang_pred")
     return predict(docs, model, docs.columns, told, fresh(docs, "score")).filter(F.col(told) != UNKNOWN).select(*docs.columns)
