@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, embeddings, html, langid, mixing, simhash, suffix_lm, tokens, toxicity, urls
+from tidemark.llm import decontaminate, embeddings, html, langid, mixing, simhash, suffix_lm, tokens, toxicity, urls, whitening
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -70,3 +70,8 @@ def op9_source_mix(spark, folder):
 @query
 def op10_suffix_tree(spark, folder):
     return suffix_lm.score_documents(table(spark, folder, "documents"))
+
+
+@query
+def op11_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
