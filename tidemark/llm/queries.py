@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, embeddings, html, langid, mixing, simhash, suffix_lm, tokens, toxicity, urls, whitening
+from tidemark.llm import collocations, decontaminate, embeddings, html, langid, mixing, simhash, suffix_lm, tokens, toxicity, urls, whitening
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -75,3 +75,8 @@ def op10_suffix_tree(spark, folder):
 @query
 def op11_whitening(spark, folder):
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query(sql=collocations.SQL)
+def op13_collocations(spark, folder):
+    return collocations.mine(table(spark, folder, "documents"))
