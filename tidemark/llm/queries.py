@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import collocations, decontaminate, embeddings, html, langid, mixing, simhash, suffix_lm, tokens, toxicity, urls, whitening
+from tidemark.llm import collocations, decontaminate, embeddings, html, langid, mixing, pii, simhash, suffix_lm, tokens, toxicity, urls, whitening
 from tidemark.llm.common import table
 
 QUERIES: dict = {}
@@ -77,6 +77,11 @@ def op11_whitening(spark, folder):
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+@query
+def op12_personal_data(spark, folder):
+    return pii.digest(pii.find(table(spark, folder, "documents")))
+
+
 @query(sql=collocations.SQL)
 def op13_collocations(spark, folder):
     return collocations.mine(table(spark, folder, "documents"))
