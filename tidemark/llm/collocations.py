@@ -22,16 +22,16 @@ are there; ties go by count, then by the phrase's bytes; other columns are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, slices, written
 
-LEAST, LONGEST, BEST, SHARE, BUDGET, STRETCH = 100, 5, 2000, 100, 1 << 20, 4 << 20
+LEAST, LONGEST, BEST, SHARE, BUDGET, STRETCH = 100, 5, 2000, 100, 1 << 17, 4 << 20
 _CHUNK = 1 << 16  # cells per row of the table of pair counts
 _SPACE, _BREAK = 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -205,7 +205,7 @@ def leaves(docs: DataFrame, frequent: np.ndarray, bits: int, longest: int, stret
 
 # ---------------------------------------------------------------- vertical partitioning
 
-def _first(words: int) -> F.Column:
+def _first(words: int) -> Column:
     return F.substring_index("suffix", " ", words)
 
 
@@ -246,12 +246,14 @@ def nodes(rows: DataFrame, top: DataFrame, least: int, longest: int) -> DataFram
     def subtree(held: pa.Table) -> pa.Table:
         lang = held.column("lang").combine_chunks().dictionary_encode()
         total = held.column("total").to_numpy()
-        split = [s.split(" ") for s in held.column("suffix").to_pylist()]
-        number: dict[str, int] = {}
-        word = np.full((longest, len(split)), -1, np.int64)
-        for i, s in enumerate(split):
-            for k, w in enumerate(s):
-                word[k, i] = number.setdefault(w, len(number))
+        split = pc.split_pattern(held.column("suffix").combine_chunks(), " ")
+        size = pc.list_value_length(split).to_numpy()
+        words = split.flatten().dictionary_encode()
+        known, number = words.dictionary, words.indices.to_numpy()
+        first = np.cumsum(size) - size
+        word = np.full((longest, len(size)), -1, np.int64)
+        for k in range(longest):
+            word[k, size > k] = number[first[size > k] + k]
         code = lang.indices.to_numpy()
         order = np.lexsort([*word[::-1], code])  # leaves in the order of the tree
         word, total, code = word[:, order], total[order], code[order]
@@ -263,7 +265,7 @@ def nodes(rows: DataFrame, top: DataFrame, least: int, longest: int) -> DataFram
             f = np.add.reduceat(total, begin)
             some = (f >= least) & (word[k, begin] >= 0) & (k > 0)
             for i, n in zip(begin[some].tolist(), f[some].tolist(), strict=True):
-                out.append((lang.dictionary[int(code[i])].as_py(), " ".join(split[order[i]][:k + 1]), k + 1, n))
+                out.append((lang.dictionary[int(code[i])].as_py(), " ".join(known.take(pa.array(word[:k + 1, i])).to_pylist()), k + 1, n))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)],
                                     names=["lang", "phrase", "words", "f"])
 
