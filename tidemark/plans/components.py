@@ -5,7 +5,7 @@ node hand all its smaller neighbours to the smallest.  Both keep components unch
 lower the far end of an edge, so the table ends as stars round the smallest node of each component.
 Minima are taken with map-side combined aggregates and brought back by joins that the adaptive
 planner can split, so a hub's edges are never gathered in one task.  Every round ends in a table in
-the shared folder.  Nothing but one row of counts reaches the driver.
+the shared folder, and the table before it is removed.  Nothing but one row of counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.cut import written
+from tidemark.plans.cut import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     stars = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _is_stars(stars):
-        stars = written(_small_star(_large_star(stars).distinct()).distinct())
+        before, stars = stars, written(_small_star(_large_star(stars).distinct()).distinct())
+        discard(before)
     roots = stars.select("v").distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
