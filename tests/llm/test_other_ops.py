@@ -220,8 +220,8 @@ def test_stages_keep_columns_that_clash_and_nulls(spark, tmp_path):
     assert ids.count(None) == 1
 
 
-@pytest.mark.parametrize("chunk", [1024, 3])
-def test_near_copies_of_the_stage(spark, chunk):
+@pytest.mark.parametrize("item", [16 << 20, 9000])  # one item a bucket; parts of about four texts
+def test_near_copies_of_the_stage(spark, item):
     """Copies at 0.8 to 0.95 go, texts below 0.8 stay, against all pairs compared by brute force."""
     from tidemark.llm import similar
 
@@ -254,6 +254,40 @@ def test_near_copies_of_the_stage(spark, chunk):
     for k, (i, _) in enumerate(rows):
         least[find(k)] = min(least.get(find(k), 10 ** 9), 10 ** 9 if i is None else i)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [r["doc_id"] for r in similar.keep_first(frame, chunk).collect()]
+    got = [r["doc_id"] for r in similar.keep_first(frame, item).collect()]
     assert sorted(10 ** 9 if i is None else i for i in got) == sorted(least.values())
     assert similar.keep_first(frame.limit(0)).count() == 0
+
+
+def test_a_group_of_near_copies_costs_rows_in_proportion(spark):
+    """Variants of one text at similarity 0.6 to 0.95: no step gives more rows than items times their classes."""
+    from tidemark.llm import similar
+
+    rnd = random.Random(11)
+    base = [f"w{k}" for k in range(104)]
+    texts = []
+    for k in range(500):
+        words = list(base)
+        for at in rnd.sample(range(104), rnd.choice([1, 2, 3, 4])):
+            words[at] = f"v{k}x{at}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    met = similar.sketches(rows).selectExpr("same", "held", "same as component", "posexplode(bands) as (band, bucket)")
+    sets = similar.shingle_sets(rows)
+    whole = similar.dealt(met, 16 << 20, whole=True)
+    assert whole.count() <= 24 * 500
+    cut = similar.dealt(met, 100_000, whole=True)
+    most = cut.groupBy("bucket", "item").count().selectExpr("max(count)").first()[0]
+    assert most * 100 * 8 < 300_000
+    edges = similar.forests(whole, sets)
+    assert edges.count() < whole.count()  # a forest, not the pairs
+    kept = {r["doc_id"] for r in similar.keep_first(rows.withColumnRenamed("id", "doc_id")).collect()}
+
+    own = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(500))
+    for i in range(500):
+        for j in range(i):
+            if label[i] != label[j] and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert 50 < len(set(label)) < 450 and kept == set(label)
