@@ -1,19 +1,13 @@
 """Streaming forms of the causal counters, guards and late labels, each with a batch twin.
 
 Window counters are native aggregations: partial sums per task, so a hot entity costs one row per task
-and window.  Per-event state is kept only where a rule needs the previous event of one card or entity;
-that state is bounded per key.
+and window.  Forms that answer per event keep state per key: ``streaming.keyed``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.plans.cut import shared_folder
 
@@ -59,73 +53,7 @@ def collect_fanout(events: DataFrame, threshold: int = 25, delay: str = "1 hour"
     return counted.filter(c("n_payers") >= threshold).select(c("w.start").alias("w_start"), "payee_vpa", "n_payers")
 
 
-def counter_regressions(events: DataFrame) -> DataFrame:
-    """Stream of (event_id, pan, counter, regressed): the state per card is its highest counter."""
-    rows = events.filter(c("emv_cryptogram_present") & (c("emv_cryptogram_atc") >= 0) & (c("pan_canonical") != "")).select("pan_canonical", "ts", "event_id", "emv_cryptogram_atc")
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top = state.get[0] if state.exists else -1
-        rows_ = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        before = rows_["emv_cryptogram_atc"].cummax().shift(fill_value=-1).clip(lower=top)
-        state.update((int(max(top, rows_["emv_cryptogram_atc"].max())),))
-        yield pd.DataFrame({"event_id": rows_["event_id"], "pan_canonical": key[0], "emv_cryptogram_atc": rows_["emv_cryptogram_atc"],
-                            "regressed": (rows_["emv_cryptogram_atc"] <= before) & (before >= 0)})
-
-    return rows.groupBy("pan_canonical").applyInPandasWithState(
-        step, "event_id string, pan_canonical string, emv_cryptogram_atc long, regressed boolean", "top long", "append", GroupStateTimeout.NoTimeout)
-
-
 WINDOW_S = {"1h": 3600.0, "24h": 86_400.0, "7d": 604_800.0, "30d": 2_592_000.0}
-STATE_FIELDS = ", ".join(f"n_{w} double, amount_{w} double" for w in WINDOW_S)
-
-
-def entity_state(events: DataFrame, resolution: float = 60.0) -> DataFrame:
-    """Per event and entity key: trailing counts and sums over all of its earlier events, and its age in days.
-
-    The state is the first time seen and, per ``resolution`` seconds with events in the last 30 days, their
-    number and amount, so it is bounded by time, not by traffic.  An event leaves a window with its bucket:
-    exact where event times are multiples of the resolution, else up to one bucket late.  Ages and the order
-    of events use exact times.  One task serves a key and micro-batch; the window counters are the form that
-    splits a hot key.
-    """
-    rows = observed(events).select("event_id", "key_type", "key", c("at").cast("double").alias("ts"), "amount")
-    widths = [int(w // resolution) for w in WINDOW_S.values()]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, bucket, n, amount = state.get if state.exists else (None, [], [], [])
-        arrived = pd.concat(list(batches))[["event_id", "ts", "amount"]].sort_values(["ts", "event_id"])
-        ts = arrived["ts"].to_numpy()
-        own = np.floor(ts / resolution).astype(np.int64)
-        first = float(ts[0]) if first is None else min(float(first), float(ts[0]))
-        b = np.concatenate([np.array(bucket, np.int64), own])
-        order = np.argsort(b, kind="stable")
-        held = np.concatenate([np.array(n, np.int64), np.ones(len(own), np.int64)])[order]
-        value = np.concatenate([np.array(amount, float), arrived["amount"].to_numpy()])[order]
-        b = b[order]
-        at = np.argsort(order, kind="stable")[len(bucket):]  # places of the arrived rows
-        # extended precision: what a large amount adds and takes away again leaves no trace
-        n_before, sum_before = np.concatenate([[0], np.cumsum(held)]), np.concatenate([[0], np.cumsum(value.astype(np.longdouble))])
-        out = {"event_id": arrived["event_id"].to_numpy(), "key_type": key[0], "key": key[1]}
-        for name, width in zip(WINDOW_S, widths):
-            start = np.searchsorted(b, own - width, side="left")
-            out[f"n_{name}"] = (n_before[at] - n_before[start]).astype(float)
-            out[f"amount_{name}"] = (sum_before[at] - sum_before[start]).astype(float)
-        out["age_days"] = (ts - first) / 86_400.0
-        kept, where = np.unique(b[b >= b[-1] - widths[-1]], return_inverse=True)
-        inside = b >= b[-1] - widths[-1]
-        state.update((first, kept.tolist(), np.bincount(where, weights=held[inside]).astype(np.int64).tolist(), np.bincount(where, weights=value[inside]).tolist()))
-        yield pd.DataFrame(out)[["event_id", "key_type", "key", *[f"{s}_{w}" for w in WINDOW_S for s in ("n", "amount")], "age_days"]]
-
-    return rows.groupBy("key_type", "key").applyInPandasWithState(
-        step, f"event_id string, key_type string, key string, {STATE_FIELDS}, age_days double",
-        "first double, bucket array<bigint>, n array<bigint>, amount array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def pivot_entities(state_rows: DataFrame) -> DataFrame:
-    """One row per event with the columns of its entity keys; -1 for a key it does not carry."""
-    cols = [*[f"{s}_{w}" for w in WINDOW_S for s in ("n", "amount")], "age_days"]
-    return state_rows.groupBy("event_id").agg(*[
-        F.coalesce(F.max(F.when(c("key_type") == k, c(x))), F.lit(-1.0)).alias(f"sk_{k}_{x}") for k in COUNTERPARTY for x in cols])
 
 
 def footprint(rows: DataFrame) -> DataFrame:
