@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.cut import written
+from tidemark.plans.workers import package_on_path
 
 __all__ = ["WORD", "ascii_lower", "bounded_batches", "code_points", "fresh", "held_out", "letters", "slices", "table", "written"]
 BATCH_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -20,10 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Before Python tasks: batches of bounded bytes, so that very long texts do not pile up, and this
-    package on the workers' path where they share the driver's disk (elsewhere it is installed)."""
+    """Before Python tasks: Arrow batches of at most 16 MB in this session, so that very long texts do not pile up,
+    and this package on the workers' path."""
     spark.conf.set(BATCH_BYTES_CONF, str(16 << 20))
-    spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[2])
+    package_on_path(spark)
 
 
 def held_out(column: str, modulus: int, remainder: int) -> Column:
