@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import catalogue as C
+from tidemark.operators.calibration import calibrate, fit_isotonic  # noqa: F401
 from tidemark.operators.metrics import curve, curve_metrics, recall_at_fpr_from
 from tidemark.plans.cut import cut
 from tidemark.plans.values import below, exact_quantiles, lookup, rank_against, sums_at_or_above, value_table, with_total
+from tidemark.sources.versions import load_set, save_set
 
 c = F.col
 
@@ -123,27 +125,6 @@ def saturation_report(ranks: DataFrame, components: Sequence[str]) -> DataFrame:
     return counts.groupBy("component").agg(F.sum("n").alias("n"), (top / F.sum("n")).alias("share_at_rank_1"), F.count(F.lit(1)).alias("n_distinct_ranks"))
 
 
-def fit_isotonic(rows: DataFrame, score: str, y: str = "y", minimum: int = 20):
-    """Isotonic calibration on distinct scores (weighted); ``None`` with too few rows or one class."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    labelled = rows.filter(c(y) >= 0).select(c(score).cast("double").alias("s"), c(y).cast("double").alias("y"))
-    n, kinds = labelled.agg(F.count(F.lit(1)), F.countDistinct("y")).first()
-    if n < minimum or kinds < 2:
-        return None
-    steps = labelled.groupBy("s").agg(F.avg("y").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    return IsotonicRegression(labelCol="label", featuresCol="s", weightCol="weight").fit(steps)
-
-
-def calibrate(model, rows: DataFrame, score: str, out: str = "p") -> DataFrame:
-    """Calibrated probability, the clipped score itself without a fitted model."""
-    unit = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    if model is None:
-        return rows.withColumn(out, unit(c(score)))
-    ready = rows.withColumn("s", c(score).cast("double"))
-    return model.transform(ready).withColumn(out, unit(c("prediction"))).drop("s", "prediction")
-
-
 # The fusion arms.
 _DROP = {"g1": 0.62, "g2_conformal": 0.10, "g2_density": 0.06, "sketch": 0.0, "gate_b": 0.0}
 ARMS: dict[str, tuple[dict[str, float], bool]] = {
@@ -344,33 +325,37 @@ def explain_codes(rows: DataFrame, codes: str, catalogue: DataFrame, key: str =
 
 @dataclass(frozen=True)
 class Bundle:
-    """Everything scoring needs, as tables: component fit scores, action table, calibration."""
+    """Everything scoring needs, as tables: component fit scores, action table, calibration knots."""
 
     fit_scores: DataFrame
     action_table: DataFrame
-    calibration: object | None = field(default=None)
-
-    def save(self, path: str) -> None:
-        self.fit_scores.write.mode("overwrite").parquet(f"{path}/fit_scores")
-        self.action_table.write.mode("overwrite").parquet(f"{path}/action_table")
+    calibration: DataFrame | None = None
+    components: Sequence[str] = COMPONENTS
+    view: str = "issuer"
+    model_version: str = ""
+
+    def save(self, folder: str) -> int:
+        """Publish as the next version of the folder; its number."""
+        tables = {"fit_scores": self.fit_scores, "action_table": self.action_table}
         if self.calibration is not None:
-            self.calibration.write().overwrite().save(f"{path}/calibration")
+            tables["calibration"] = self.calibration
+        return save_set(self.fit_scores.sparkSession, folder, tables, {"components": list(self.components), "view": self.view, "model_version": self.model_version})
 
     @classmethod
-    def load(cls, spark, path: str, calibrated: bool = False) -> "Bundle":
-        from pyspark.ml.regression import IsotonicRegressionModel
-
-        model = IsotonicRegressionModel.load(f"{path}/calibration") if calibrated else None
-        return cls(spark.read.parquet(f"{path}/fit_scores"), spark.read.parquet(f"{path}/action_table"), model)
+    def load(cls, spark, folder: str, version: int | None = None) -> Bundle:
+        """A published version, the latest by default; refused where its tables are not the ones that were published."""
+        tables, meta = load_set(spark, folder, version)
+        return cls(tables["fit_scores"], tables["action_table"], tables.get("calibration"), tuple(meta["components"]), meta["view"], meta["model_version"])
 
 
-def score_batch(rows: DataFrame, bundle: Bundle, components: Sequence[str] = COMPONENTS, guards: DataFrame | None = None, guards_only: bool = False,
+def score_batch(rows: DataFrame, bundle: Bundle, components: Sequence[str] | None = None, guards: DataFrame | None = None, guards_only: bool = False,
                 alpha: float = 0.02, key: str = "event_id") -> DataFrame:
     """Ranks, fused and calibrated score, abstention, band, action and reason codes of scored rows.
 
     ``rows`` carries the components, ``rail``, ``conformal_p`` and (optionally) ``attributions``.
     ``guards`` comes from ``rules.structural_guards``; with ``guards_only`` nothing else decides.
     """
+    components = bundle.components if components is None else components
     empty = F.array().cast("array<string>")
     out = rows
     if guards is not None:

@@ -12,6 +12,7 @@ from tidemark.queries.metrics import AP, AUC
 from tidemark.queries import rules as _rules  # noqa: F401  (registers the guards' SQL)
 from tidemark.queries.registry import SQL, query, rounded
 from tidemark.queries.scored import SCORED_SQL, scored
+from tidemark.streaming.twins import scratch
 from tidemark.queries.standin import payments, payments_sql
 
 c = F.col
@@ -99,10 +100,27 @@ def _choice(spark, sf):
     return P.select_arm(P.fusion_arm_grid(rows, 0.01))
 
 
-@query("isotonic")
+# The fitted value of a score is the largest, over starts at or before it, of the least mean to an end at or after it.
+_ISOTONIC = f"""{SCORED_SQL}, f AS (SELECT score AS s, count(*) AS n, sum(y) AS sy FROM sc WHERE half AND y >= 0 GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY s) AS j, sum(n) OVER (ORDER BY s) AS cn, sum(sy) OVER (ORDER BY s) AS cs FROM f),
+    a AS (SELECT i.j AS i, k.j AS k, CAST(k.cs - i.cs + i.sy AS DOUBLE) / (k.cn - i.cn + i.n) AS v FROM o i JOIN o k ON k.j >= i.j),
+    m AS (SELECT i, k AS j, min(v) OVER (PARTITION BY i ORDER BY k DESC) AS v FROM a), g AS (SELECT j, max(v) AS p FROM m GROUP BY j),
+    t AS (SELECT o.s, g.p, abs(coalesce(sum(o.n * g.p) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - (o.cs - o.sy)) < 1e-7 AS touch FROM o JOIN g USING (j)),
+    kn AS (SELECT s, p, lead(s) OVER (ORDER BY s) AS s1, lead(p) OVER (ORDER BY s) AS p1 FROM t WHERE touch),
+    iso AS (SELECT sc.event_id, CASE WHEN kn.s IS NULL THEN (SELECT arg_min(p, s) FROM kn) WHEN kn.s1 IS NULL OR kn.s = sc.score THEN kn.p
+        ELSE kn.p + (kn.p1 - kn.p) * (sc.score - kn.s) / (kn.s1 - kn.s) END AS p FROM sc ASOF LEFT JOIN kn ON sc.score >= kn.s WHERE NOT sc.half)"""
+
+
+@query("isotonic", f"WITH {_ISOTONIC} SELECT event_id, round(p, 9) AS p FROM iso")
 def _isotonic(spark, sf):
+    """Knots from the labelled rows of one half, probabilities of the other."""
     rows = scored(spark, sf)
-    return P.calibrate(P.fit_isotonic(rows.filter("half"), "score"), rows.filter("not half"), "score").select("event_id", "p")
+    return rounded(P.calibrate(P.fit_isotonic(rows.filter("half"), "score"), rows.filter("not half"), "score").select("event_id", "p"), 9)
+
+
+@query("isotonic_knots", f"WITH {_ISOTONIC} SELECT s, round(p, 9) AS p FROM kn")
+def _knots(spark, sf):
+    return P.fit_isotonic(scored(spark, sf).filter("half"), "score").select("s", F.round("p", 9).alias("p"))
 
 
 CAPS = "CASE rail " + " ".join(f"WHEN '{r}' THEN {v}e0" for r, v in P.FRICTION_CAPS.items()) + " END"
@@ -263,7 +281,9 @@ def _batch(spark, sf):
     fitted = cut(fitted.select("event_id", "fused").join(fit.select("event_id", "y", "rail", "amount"), "event_id"))
     model = P.fit_isotonic(fitted, "fused")
     table = cut(P.fit_action_table(P.calibrate(model, fitted, "fused", "score")))
-    out = P.score_batch(rows.filter("not half").drop("score"), P.Bundle(fit.select(*P.COMPONENTS), table, model), guards=guarded(spark, sf))
+    folder = scratch(spark)
+    P.Bundle(fit.select(*P.COMPONENTS), table, model, view="issuer", model_version="r1").save(folder)
+    out = P.score_batch(rows.filter("not half").drop("score"), P.Bundle.load(spark, folder), guards=guarded(spark, sf))
     return out.select("event_id", "score", "band", "action", F.concat_ws(",", "reason_codes").alias("codes"))
 
 

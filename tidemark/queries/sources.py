@@ -24,6 +24,19 @@ def _fingerprint(spark, sf):
     return T.fingerprint(payments(spark, sf))
 
 
+_PRINT = "concat_ws(chr(31), event_id, CAST(ts_us AS VARCHAR), rail, message_kind, CAST(day_index AS VARCHAR), pan_canonical, CAST(approved AS VARCHAR))"
+
+
+@query("ordered_fingerprint", f"""WITH {payments_sql('rail', 'message_kind', 'day_index', 'pan_canonical', 'approved')}, h AS (SELECT ts_us, event_id, md5({_PRINT}) AS m FROM pay),
+    f AS (SELECT count(*) AS n_rows, """ + ", ".join(
+    f"list_reduce(list_prepend(0::HUGEINT, list(('0x' || substr(m, {1 + 7 * k}, 7))::HUGEINT ORDER BY ts_us, event_id)), lambda a, b: (a * {base} + b) % {prime}) AS f{k}"
+    for k, (prime, base) in enumerate(T._MODULI)) + """ FROM h) SELECT n_rows, lower(printf('%08x%08x', f0::BIGINT, f1::BIGINT)) AS row_hash FROM f""")
+def _ordered_fingerprint(spark, sf):
+    """The events in time order; two swapped rows give another hash, another partitioning the same."""
+    rows = payments(spark, sf).withColumn("ts_us", F.round(F.col("ts") * 1e6).cast("long"))
+    return T.ordered_fingerprint(rows.select("event_id", "ts_us", "rail", "message_kind", "day_index", "pan_canonical", "approved"), ["ts_us", "event_id"]).drop("schema_hash")
+
+
 @query("nullify_sentinels", f"""WITH {payments_sql('merchant_age_days', 'vpa', 'mandate_max_amount_inr')} SELECT count(*) AS n_rows, count(nullif(merchant_age_days, -1)) AS n_age, count(nullif(vpa, '')) AS n_vpa,
     count(nullif(mandate_max_amount_inr, -1)) AS n_cap FROM pay""")
 def _nullify(spark, sf):

@@ -8,7 +8,9 @@ from tidemark.queries.registry import epoch_us, query, rounded, table
 from tidemark.queries.standin import COLUMNS, payments, payments_sql
 from tidemark.schema import complete
 from tidemark.sources.replay import ROWS_PER_BATCH, prepare, replay
+from tidemark.queries.labels import _RANK, LABELS_SQL, labels
 from tidemark.streaming import keyed as K
+from tidemark.streaming import label_store as S
 from tidemark.streaming import twins as W
 
 c = F.col
@@ -157,6 +159,19 @@ def _late(spark, sf):
     return out.filter(c("event_id") < END_ID).select("event_id", "channel")
 
 
+@query("stream_label_snapshot", f"""WITH {LABELS_SQL}, won AS (SELECT event_id, arg_max(label, ({_RANK}, as_of_ts)) AS label, arg_max(channel, ({_RANK}, as_of_ts)) AS channel,
+    min(label) <> max(label) AS disagree, max(as_of_ts) AS as_of FROM lab GROUP BY event_id) SELECT event_id, CAST(label AS BIGINT) AS label, channel, disagree, as_of FROM won""")
+def _snapshot(spark, sf):
+    """Labels replayed in order of arrival, merged micro-batch by micro-batch; the last batch is delivered twice."""
+    folder, work = W.scratch(spark), W.scratch(spark)
+    rows = labels(spark, sf).select("event_id", "channel", "as_of_ts", "label")
+    query_ = S.keep_labels(replayed(spark, rows, ["as_of_ts", "event_id", "channel"]), folder, work)
+    query_.processAllAvailable()
+    query_.stop()
+    S.upsert(rows.limit(0), folder, 0)  # a number that is taken changes nothing
+    return S.resolved(S.snapshot(spark, folder))
+
+
 @query("window_counters_batch", COUNTERS_SQL)
 def _batch_counters(spark, sf):
     return counters(W.window_counters(W.observed(payments(spark, sf)), "24 hours", "12 hours"))
