@@ -112,3 +112,37 @@ def test_running_kernels(spark, mode):
         assert run[r[0]] == length
         whole = [p[3] for p in order if p[1] == r[1]]
         assert modal[r[0]] == ("" if r[1] == "" else max(whole, key=lambda x: (whole.count(x), -whole.index(x))))
+
+
+def test_resampled_counts_are_poisson_and_repeatable(spark):
+    """Draws depend on the key alone, and their mean and variance are those of Poisson(n) at every size."""
+    from tidemark.operators import metrics as M
+
+    sizes = [1, 3, 15, 16, 40, 300, 4095, 5000, 40_000]
+    cells = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "k int, n long")
+    got = M.replicate_counts(cells, ["k"], "n", 600, 3)
+    again = M.replicate_counts(cells.repartition(5), ["k"], "n", 600, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
+    by = {n: [r["w"] for r in got.collect() if r["n"] == n and r["rep"] > 0] for n in sizes}
+    for n, w in by.items():
+        mean = sum(w) / len(w)
+        var = sum((x - mean) ** 2 for x in w) / len(w)
+        assert len(w) == 600 and abs(mean - n) < 5 * (n / 600) ** 0.5 and 0.75 * n < var < 1.3 * n, n
+    assert [r["w"] for r in got.filter("rep = 0").orderBy("k").collect()] == sizes
+
+
+def test_three_arms(spark):
+    import random
+
+    from tidemark.operators import metrics as M
+
+    rnd = random.Random(4)
+    rows = []
+    for i in range(900):
+        y = int(rnd.random() < 0.2)
+        rows.append((i, y if i % 11 else -1, round(0.5 * y + 0.5 * rnd.random(), 3), round(0.1 * y + 0.9 * rnd.random(), 3), round(0.5 * y + 0.5 * rnd.random(), 3)))
+    df = spark.createDataFrame(rows, "event_id long, y long, a double, b double, d double")
+    out = {r["arm"]: r for r in M.controlled_comparison(df, "a", ["b", "d"], 0.05, replicates=80).collect()}
+    assert set(out) == {"b", "d"} and all(r["replicates"] == 80 and r["lo"] <= r["hi"] for r in out.values())
+    assert out["b"]["reported_as"] == "effect" and out["b"]["delta"] > 0.3
+    assert out["d"]["lo"] - 0.05 <= out["d"]["delta"] <= out["d"]["hi"] + 0.05

@@ -202,10 +202,10 @@ def shuffled_marginals(df: DataFrame, columns: Sequence[str], key: str) -> DataF
 
 def discriminator_auc(real: DataFrame, other: DataFrame, features: Sequence[str], key: str, rounds: int = 5, max_depth: int = 3) -> DataFrame:
     """AUC of trees told to separate two samples, on a held-out 30 percent: 0.5 means indistinguishable."""
+    from tidemark.operators import gbdt as G
     from tidemark.operators import metrics as M
-    from tidemark.operators import scores as SC
 
     rows = real.select(key, *features).withColumn("y", F.lit(1)).unionByName(other.select(key, *features).withColumn("y", F.lit(0)))
     marked = rows.withColumns({"w": F.lit(1.0), "y_fit": c("y"), "fit": S.hash_unit(F.concat_ws(":", c("y").cast("string"), c(key).cast("string")), "two") < 0.7})
-    model = SC.fit_trees(marked.filter("fit"), features, rounds=rounds, max_depth=max_depth)
-    return M.roc_auc(SC.predict(model, marked.filter("not fit")), "g1")
+    model = G.fit(marked.filter("fit"), features, config=G.TreeConfig(rounds=rounds, depth=max_depth, rate=0.3, directions={}), key=key)
+    return M.roc_auc(G.predict(model, marked.filter("not fit")), "g1")

@@ -170,57 +170,90 @@ def per_group(df: DataFrame, by: str, target_fpr: float = 0.001, score: str = "s
     return out.fillna({"n_pos": 0, "n_neg": 0}).withColumn("reportable", (c("n_pos") > 0) & (c("n_neg") > 0))
 
 
-def poisson_weights(key: Column, replicates: int, seed: int) -> Column:
-    """Array of (replicate, weight) with Poisson(1) weights from a stable hash of the row id.
+# --- bootstrap on counts -------------------------------------------------------------------------------
 
-    Weights that depend on the id alone survive a lost executor and pair two arms on the same rows.  Weights
-    stop at 14, which a draw passes once in 10^12.
+_HALVES = 12
+
+
+def _poisson_cdf(mean: int) -> list[float]:
+    out, p, k = [], math.exp(-mean), 0
+    while not out or (out[-1] < 1.0 - 1e-13 and k < 20 * mean + 60):
+        out.append((out[-1] if out else 0.0) + p)
+        k += 1
+        p *= mean / k
+    return out
+
+
+def _draw(mean: int, text: Column) -> Column:
+    """A Poisson(mean) draw from 48 bits of the MD5 of a text: how many steps of the distribution lie at or below it."""
+    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
+    edges = F.array(*[F.lit(v) for v in _poisson_cdf(mean)])
+    return F.size(F.filter(edges, lambda e: e <= u))
+
+
+def resampled(n: Column, text: Column) -> Column:
+    """How many of ``n`` rows a Poisson(1) resample holds, a Poisson(n) draw: the digits of n in base 16 are drawn each.
+
+    A sum of independent Poisson draws is one of the summed mean, so digit d of 16^k is d draws of mean 16^k; means above 256
+    are normal to well within the resolution of a replicate and use the rounded normal quantile of twelve uniforms.
     """
-    cdf, acc, p = [], 0.0, math.exp(-1.0)
-    for k in range(14):
-        acc += p
-        cdf.append(acc)
-        p /= k + 1
-    def weight(b: Column) -> Column:
-        u = F.pmod(F.xxhash64(key, b, F.lit(seed)), F.lit(1 << 48)) / float(1 << 48)
-        return sum((F.when(u >= edge, 1).otherwise(0) for edge in cdf), F.lit(0))
-    reps = F.sequence(F.lit(1), F.lit(replicates))
-    return F.filter(F.transform(reps, lambda b: F.struct(b.alias("b"), weight(b).alias("w"))), lambda s: s["w"] > 0)
-
-
-def bootstrap_interval(df: DataFrame, stat: Column, key: str = "event_id", replicates: int = 100, seed: int = 7, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of a weighted statistic; ``stat`` aggregates columns and the weight ``w``.
-
-    The explode happens before a map-side aggregate, so what is shuffled is one row per replicate and task.
+    def digit_draws(k: int, unit: int) -> Column:
+        digit = F.pmod(F.floor(n / unit), F.lit(16)).cast("int")
+        turns = F.when(digit > 0, F.sequence(F.lit(1), digit)).otherwise(F.array().cast("array<int>"))
+        draws = F.transform(turns, lambda i: _draw(unit, F.concat(text, F.lit(f"|{k}|"), i.cast("string"))))
+        return F.aggregate(draws, F.lit(0), lambda a, x: a + x)
+
+    small = digit_draws(0, 1) + digit_draws(1, 16) + digit_draws(2, 256)
+    rest = (F.floor(n / 4096) * 4096).cast("double")
+    halves = [F.conv(F.substring(F.md5(F.concat(text, F.lit(f"|z|{i}")).cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48) for i in range(_HALVES)]
+    z = sum(halves[1:], halves[0]) - _HALVES / 2
+    return small + F.when(rest > 0, F.greatest(F.round(rest + F.sqrt(rest) * z), F.lit(0.0))).otherwise(F.lit(0.0)).cast("long")
+
+
+def replicate_counts(cells: DataFrame, keys: Sequence[str], count: str, replicates: int, seed: int) -> DataFrame:
+    """Rows of (keys, count) once per replicate with ``w``, the rows of the cell the replicate holds; replicate 0 is the data.
+
+    The draw hashes the keys' text, the replicate and the seed with MD5: any engine can repeat it, and a lost task does.
     """
-    drawn = df.withColumn("__r", F.explode(poisson_weights(c(key), replicates, seed))).select("*", c("__r.b").alias("b"), c("__r.w").alias("w"))
-    reps = drawn.groupBy("b").agg(stat.alias("v"))
+    text = F.concat_ws("|", *[c(k).cast("string") for k in keys], c("rep").cast("string"), F.lit(str(seed)))
+    tasks = 2 * cells.sparkSession.sparkContext.defaultParallelism  # a small table becomes much work
+    reps = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).repartition(tasks, "rep", *keys)
+    return reps.withColumn("w", F.when(c("rep") == 0, c(count).cast("long")).otherwise(resampled(c(count), text).cast("long")))
+
+
+def bootstrap_interval(df: DataFrame, value: Column, replicates: int = 100, seed: int = 7, alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of the mean of a column of few distinct values: one draw per (value, replicate), not per row."""
+    cells = df.select(value.cast("double").alias("value")).filter(c("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumn("cell", F.round(c("value") * 1_000_000).cast("long"))
+    reps = replicate_counts(cells, ["cell"], "n", replicates, seed).filter("rep > 0").groupBy("rep").agg((F.sum(c("w") * c("value")) / F.sum("w")).alias("v"))
     return reps.agg(F.count(F.lit(1)).alias("replicates"), F.percentile("v", [alpha / 2, 0.5, 1 - alpha / 2]).alias("q")).select(
         "replicates", c("q")[0].alias("lo"), c("q")[1].alias("mid"), c("q")[2].alias("hi"))
 
 
-def paired_comparison(df: DataFrame, ours: str, other: str, target_fpr: float = 0.001, y: str = "y", key: str = "event_id",
-                      replicates: int = 50, seed: int = 11, cells: int = 4096) -> DataFrame:
-    """Recall delta at a fixed FPR between two scores on the same rows, with a paired bootstrap interval.
+def controlled_comparison(df: DataFrame, ours: str, others: Sequence[str], target_fpr: float = 0.001, y: str = "y", replicates: int = 300, seed: int = 11,
+                          cells: int = 64) -> DataFrame:
+    """Recall of one score against each other arm at a fixed FPR on the same rows, with a paired bootstrap interval per arm.
 
-    Both arms of a replicate carry the same row weights; the replicates are groups of one score curve.  The point
-    estimate uses the scores themselves; replicates use them cut to 1 / ``cells``, so that what is shuffled is
-    at most replicates x arms x cells rows a task, however many rows are resampled.
+    Rows are counted by (cell of every arm's score, label); replicates draw these counts, so both arms of a pair are resampled
+    together and the cost depends on the cells in use, not on the rows.  The point estimate uses the scores themselves.
     """
-    rows = known(df, y).select(key, y, c(ours).alias("a"), c(other).alias("b2"))
-    drawn = rows.withColumn("__r", F.explode(F.concat(
-        F.array(F.struct(F.lit(0).alias("b"), F.lit(1).alias("w"))), poisson_weights(c(key), replicates, seed))))
-    long = drawn.select(c("__r.b").alias("rep"), c("__r.w").alias("w"), y, F.explode(F.array(
-        F.struct(F.lit("ours").alias("arm"), c("a").alias("s")), F.struct(F.lit("other").alias("arm"), c("b2").alias("s")))).alias("e"))
-    score = F.when(c("rep") == 0, c("e.s")).otherwise(F.floor(c("e.s") * cells) / cells).alias("s")
-    table = score_curve(long.select("rep", "w", y, "e.arm", score), c("s"), ["rep", "arm"],
-                        pos=F.when(c(y) == 1, c("w")).otherwise(0), neg=F.when(c(y) == 0, c("w")).otherwise(0))
-    recall = recall_at_fpr_from(table, target_fpr, ["rep", "arm"])
-    wide = recall.groupBy("rep").agg(F.max(F.when(c("arm") == "ours", c("recall"))).alias("ours"), F.max(F.when(c("arm") == "other", c("recall"))).alias("other"))
-    delta = wide.withColumn("d", c("ours") - c("other"))
-    point = delta.agg(F.max(F.when(c("rep") == 0, c("ours"))).alias("recall_ours"), F.max(F.when(c("rep") == 0, c("other"))).alias("recall_other"),
-                      F.max(F.when(c("rep") == 0, c("d"))).alias("delta"), F.percentile(F.when(c("rep") > 0, c("d")), [0.025, 0.975]).alias("q"))
-    out = point.select("recall_ours", "recall_other", "delta", c("q")[0].alias("lo"), c("q")[1].alias("hi"))
+    arms = [ours, *others]
+    rows = known(df, y).select(c(y).cast("int").alias("y"), *[c(a).cast("double").alias(a) for a in arms])
+    exact = rows.select("y", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), c(a).alias("s")) for a in arms])).alias("e")).select("y", "e.arm", "e.s")
+    point = recall_at_fpr_from(score_curve(exact, c("s"), ["arm"], pos=F.when(c("y") == 1, 1).otherwise(0), neg=F.when(c("y") == 0, 1).otherwise(0)), target_fpr, ["arm"])
+    keys = [f"k{i}" for i in range(len(arms))]
+    counted = rows.select("y", *[F.floor(c(a) * cells).cast("long").alias(k) for a, k in zip(arms, keys, strict=True)]).groupBy("y", *keys).agg(F.count(F.lit(1)).alias("n"))
+    drawn = replicate_counts(counted, ["y", *keys], "n", replicates, seed).filter("rep > 0 and w > 0")
+    long = drawn.select("rep", "y", "w", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), c(k).cast("double").alias("s")) for a, k in zip(arms, keys, strict=True)])).alias("e"))
+    per_cell = long.select("rep", "y", "w", "e.arm", "e.s")
+    curve_ = score_curve(per_cell, c("s"), ["rep", "arm"], pos=F.when(c("y") == 1, c("w")).otherwise(0), neg=F.when(c("y") == 0, c("w")).otherwise(0))
+    recall = recall_at_fpr_from(curve_, target_fpr, ["rep", "arm"]).select("rep", "arm", "recall")
+    own = recall.filter(c("arm") == ours).select("rep", c("recall").alias("ours"))
+    deltas = recall.filter(c("arm") != ours).join(own, "rep").withColumn("d", c("ours") - c("recall"))
+    spans = deltas.groupBy("arm").agg(F.percentile("d", [0.025, 0.975]).alias("q"), F.count(F.lit(1)).alias("replicates"))
+    mine = point.filter(c("arm") == ours).select(c("recall").alias("recall_ours"))
+    out = point.filter(c("arm") != ours).select("arm", c("recall").alias("recall_other")).crossJoin(F.broadcast(mine)).join(spans, "arm")
+    out = out.select("arm", "recall_ours", "recall_other", (c("recall_ours") - c("recall_other")).alias("delta"), c("q")[0].alias("lo"), c("q")[1].alias("hi"), "replicates")
     return out.withColumn("reported_as", no_effect(c("delta"), c("lo"), c("hi")))
 
 
@@ -289,6 +322,13 @@ def channel_metrics(df: DataFrame, channels: Sequence[str], target_fpr: float =
     return out.withColumn("lift", c("average_precision") / F.nullif(rate, F.lit(0.0)))
 
 
+def head_to_head(df: DataFrame, channels: Sequence[str], seen: Column, target_fpr: float = 0.001, y: str = "y", least: int = 50) -> DataFrame:
+    """Channel metrics on the rows no arm was fitted on and, for comparison, on all; ``reported`` needs ``least`` positives."""
+    parts = [channel_metrics(df.filter(~seen), channels, target_fpr, y).withColumn("rows_used", F.lit("clean")),
+             channel_metrics(df, channels, target_fpr, y).withColumn("rows_used", F.lit("contaminated"))]
+    return parts[0].unionByName(parts[1]).withColumn("reported", (c("n_pos") >= least) & (c("rows_used") == "clean"))
+
+
 def union_truth(*flags: Column) -> Column:
     """1 where any source of truth says so."""
     out = flags[0]

@@ -189,52 +189,7 @@ def abstention_price(rows: DataFrame, abstained: str = "abstained", attack: str
         F.count(F.lit(1)).alias("n"), F.avg("a").alias("abstention_rate"))
 
 
-# --- models --------------------------------------------------------------------------------------------
-
-
-def fit_trees(rows: DataFrame, features: Sequence[str], label: str = "y_fit", weight: str = "w", max_depth: int = 5, rounds: int = 20, seed: int = 7):
-    """Boosted trees on the feature columns; returns a fitted ``PipelineModel`` with a ``probability`` column."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    trees = GBTClassifier(labelCol=label, featuresCol="features", weightCol=weight, maxDepth=max_depth, maxIter=rounds, seed=seed,
-                          subsamplingRate=0.8, featureSubsetStrategy="sqrt")
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[assemble, trees]).fit(rows)
-
-
-def predict(model, rows: DataFrame, out: str = "g1", beta: float | None = None) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    p = F.get(vector_to_array("probability"), F.lit(1))
-    scored = model.transform(rows).withColumn(out, p if beta is None else prior_corrected(p, beta))
-    return scored.drop("features", "rawPrediction", "probability", "prediction")
-
-
-def feature_importance(model, spark) -> DataFrame:
-    """Gain ranking of the fitted trees."""
-    names, trees = model.stages[0].getInputCols(), model.stages[-1]
-    rows = [(n, float(g)) for n, g in zip(names, trees.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")
-
-
-def top_attributions(model, actioned: DataFrame, features: Sequence[str], baseline: Mapping[str, float], k: int = 3, key: str = "event_id") -> DataFrame:
-    """(key, attributions): the k features whose replacement by the baseline lowers the score most.
-
-    Meant for actioned rows only: each is copied once per feature, scored as a batch and compared.
-    """
-    names = list(features)
-    copies = actioned.select(key, *names).withColumn("__drop", F.explode(F.array(F.lit(-1), *[F.lit(i) for i in range(len(names))])))
-    swapped = copies.select(key, "__drop", *[
-        F.when(c("__drop") == i, F.lit(float(baseline[n]))).otherwise(c(n)).alias(n) for i, n in enumerate(names)])
-    p = predict(model, swapped, "__p").select(key, "__drop", "__p")
-    full = F.max(F.when(c("__drop") == -1, c("__p")))
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), c("__drop") + 1)
-    parts = p.groupBy(key).agg(full.alias("__full"), F.collect_list(F.when(c("__drop") >= 0, F.struct(c("__p").alias("p"), label.alias("f")))).alias("__a"))
-    deltas = F.transform("__a", lambda a: F.struct((a["p"] - c("__full")).alias("neg"), a["f"].alias("f")))
-    top = F.slice(F.array_sort(deltas), 1, k)
-    return parts.select(key, F.map_from_entries(F.transform(top, lambda a: F.struct(a["f"], -a["neg"]))).alias("attributions"))
+# --- models: the trees themselves are in ``gbdt`` -----------------------------------------------------
 
 
 def train_baseline(rows: DataFrame, key: str = "event_id", y: str = "y") -> DataFrame:

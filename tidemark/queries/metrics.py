@@ -132,15 +132,53 @@ def _rail(spark, sf):
     return rounded(M.per_group(scored(spark, sf), "rail", 0.01), 9)
 
 
-@query("paired_bootstrap")
+def _uniform_sql(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 12))::BIGINT / 281474976710656e0)"
+
+
+def resampled_sql(n: str, text: str) -> str:
+    """``metrics.resampled`` for DuckDB."""
+    parts = []
+    for k, unit in enumerate((1, 16, 256)):
+        edges = ", ".join(f"{v!r}e0" if "e" not in repr(v) else repr(v) for v in M._poisson_cdf(unit))
+        draw = f"len(list_filter([{edges}], lambda e: e <= {_uniform_sql(f'{text} || {chr(39)}|{k}|{chr(39)} || i')}))"
+        parts.append(f"coalesce(list_sum(list_transform(range(1, (({n}) // {unit}) % 16 + 1), lambda i: {draw})), 0)")
+    z = " + ".join(_uniform_sql(f"{text} || '|z|{i}'") for i in range(M._HALVES))
+    rest = f"(({n}) // 4096 * 4096)"
+    return f"({' + '.join(parts)} + CASE WHEN {rest} > 0 THEN greatest(round({rest} + sqrt({rest}) * ({z} - {M._HALVES / 2})), 0) ELSE 0 END)::BIGINT"
+
+
+_ARMS = ("score", "s_inc", "s_base")
+_KEYS = ", ".join(f"floor({a} * 16)::BIGINT AS k{i}" for i, a in enumerate(_ARMS))
+_RATES = """cu AS (SELECT *, sum(pos) OVER o - pos AS ap, sum(neg) OVER o - neg AS an, sum(pos) OVER p AS tp, sum(neg) OVER p AS tn FROM cv
+      WINDOW o AS (PARTITION BY rep, arm ORDER BY s DESC), p AS (PARTITION BY rep, arm)),
+    rc AS (SELECT rep, arm, max(tp) AS n_pos, max(floor(0.01e0 * tn)) AS k, max(ap + pos) FILTER (neg > 0 AND an + neg <= floor(0.01e0 * tn)) AS t, sum(pos) FILTER (an + neg = 0) AS clear,
+      arg_max(ap + pos, s) FILTER (neg > 0) AS first FROM cu GROUP BY rep, arm),
+    re AS (SELECT rep, arm, CAST(CASE WHEN k > 0 AND t IS NULL THEN first ELSE coalesce(t, clear, 0) END AS DOUBLE) / n_pos AS recall FROM rc)"""
+
+
+@query("paired_bootstrap", f"""WITH {KNOWN}, ce AS (SELECT y, {_KEYS}, count(*) AS n FROM kn GROUP BY ALL),
+    dr AS (SELECT rep, y, k0, k1, k2, {resampled_sql("n", "(y || '|' || k0 || '|' || k1 || '|' || k2 || '|' || rep || '|11')")} AS w FROM ce, (SELECT unnest(range(1, 301)) AS rep)),
+    lo AS (SELECT 0 AS rep, y, 1 AS w, unnest(['score', 's_inc', 's_base']) AS arm, unnest([score, s_inc, s_base]) AS s FROM kn
+      UNION ALL SELECT rep, y, w, unnest(['score', 's_inc', 's_base']), unnest([k0, k1, k2])::DOUBLE FROM dr WHERE w > 0),
+    cv AS (SELECT rep, arm, s, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS neg FROM lo GROUP BY ALL), {_RATES},
+    de AS (SELECT o.rep, o.arm, o.recall AS other, m.recall AS ours, m.recall - o.recall AS d FROM re o JOIN re m ON m.rep = o.rep AND m.arm = 'score' WHERE o.arm <> 'score'),
+    su AS (SELECT arm, max(ours) FILTER (rep = 0) AS recall_ours, max(other) FILTER (rep = 0) AS recall_other, max(d) FILTER (rep = 0) AS delta,
+      quantile_cont(d, 0.025) FILTER (rep > 0) AS lo, quantile_cont(d, 0.975) FILTER (rep > 0) AS hi, count(*) FILTER (rep > 0) AS replicates FROM de GROUP BY arm)
+    SELECT arm, round(recall_ours, 9) AS recall_ours, round(recall_other, 9) AS recall_other, round(delta, 9) AS delta, round(lo, 9) AS lo, round(hi, 9) AS hi, replicates,
+      CASE WHEN lo <= 0 AND hi >= 0 THEN 'no measured effect' ELSE 'effect' END AS reported_as FROM su""")
 def _paired(spark, sf):
-    return M.paired_comparison(scored(spark, sf), "score", "s_base", 0.01, replicates=300)
+    """Three arms on the same rows: ours against the incumbent and against the baseline."""
+    return rounded(M.controlled_comparison(scored(spark, sf), "score", ["s_inc", "s_base"], 0.01, replicates=300, cells=16), 9)
 
 
-@query("bootstrap_interval")
+@query("bootstrap_interval", f"""WITH {KNOWN}, ce AS (SELECT CASE WHEN score >= 0.6 THEN 1 ELSE 0 END AS value, count(*) AS n FROM kn WHERE y = 1 GROUP BY 1),
+    dr AS (SELECT rep, value, {resampled_sql("n", "((value * 1000000) || '|' || rep || '|7')")} AS w FROM ce, (SELECT unnest(range(1, 401)) AS rep)),
+    v AS (SELECT rep, CAST(sum(w * value) AS DOUBLE) / sum(w) AS v FROM dr GROUP BY rep)
+    SELECT count(*) AS replicates, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.5), 9) AS mid, round(quantile_cont(v, 0.975), 9) AS hi FROM v""")
 def _bootstrap(spark, sf):
-    rows = M.known(scored(spark, sf)).filter("y = 1").withColumn("hit", F.when(F.col("score") >= 0.6, 1.0).otherwise(0.0))
-    return M.bootstrap_interval(rows, F.sum(F.col("hit") * F.col("w")) / F.sum("w"), replicates=400)
+    rows = M.known(scored(spark, sf)).filter("y = 1")
+    return rounded(M.bootstrap_interval(rows, F.when(F.col("score") >= 0.6, 1.0).otherwise(0.0), replicates=400), 9)
 
 
 @query("approval_delta_equal_bps", f"""WITH {KNOWN}, r AS (SELECT quantile_cont(s_inc, 0.9) AS ti, sum(amount) AS total, count(*) AS n FROM kn),
