@@ -191,10 +191,10 @@ def variants(df: DataFrame, slots: Sequence[str] = SLOT_ORDER) -> DataFrame:
     return out.withColumn("was", was).withColumns({s: F.when(c("slot") == s, c("value")).otherwise(c(s)) for s in SLOT_ORDER})
 
 
-def legal_values(df: DataFrame, key: str, slot: str) -> DataFrame:
-    """Values of one slot that keep each composition legal, the other five fixed."""
-    ok = filter_legal(variants(df, [slot]))
-    return ok.groupBy(key).agg(F.array_sort(F.collect_set("value")).alias("legal_values"))  # at most 12 values
+def legal_values(df: DataFrame, key: str, slots: Sequence[str] = SLOT_ORDER) -> DataFrame:
+    """(key, slot, legal_values): the values of each slot that keep the composition legal, the other five fixed."""
+    ok = filter_legal(variants(df, list(slots)))
+    return ok.groupBy(key, "slot").agg(F.array_sort(F.collect_set("value")).alias("legal_values"))  # a slot has few values
 
 
 def min_depth() -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.plans.cut import written
 from tidemark.plans.values import exact_quantiles, score_curve, sums_at_or_above
 
 c = F.col
@@ -245,8 +246,9 @@ def controlled_comparison(df: DataFrame, ours: str, others: Sequence[str], targe
     counted = rows.select("y", *[F.floor(c(a) * cells).cast("long").alias(k) for a, k in zip(arms, keys, strict=True)]).groupBy("y", *keys).agg(F.count(F.lit(1)).alias("n"))
     drawn = replicate_counts(counted, ["y", *keys], "n", replicates, seed).filter("rep > 0 and w > 0")
     long = drawn.select("rep", "y", "w", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), c(k).cast("double").alias("s")) for a, k in zip(arms, keys, strict=True)])).alias("e"))
-    per_cell = long.select("rep", "y", "w", "e.arm", "e.s")
-    curve_ = score_curve(per_cell, c("s"), ["rep", "arm"], pos=F.when(c("y") == 1, c("w")).otherwise(0), neg=F.when(c("y") == 0, c("w")).otherwise(0))
+    side = lambda label: F.sum(F.when(c("y") == label, c("w")).otherwise(0))
+    per_cell = written(long.select("rep", "y", "w", "e.arm", "e.s").groupBy("rep", "arm", "s").agg(side(1).alias("pos"), side(0).alias("neg")))  # drawn once
+    curve_ = score_curve(per_cell, c("s"), ["rep", "arm"], pos=c("pos"), neg=c("neg"))
     recall = recall_at_fpr_from(curve_, target_fpr, ["rep", "arm"]).select("rep", "arm", "recall")
     own = recall.filter(c("arm") == ours).select("rep", c("recall").alias("ours"))
     deltas = recall.filter(c("arm") != ours).join(own, "rep").withColumn("d", c("ours") - c("recall"))

@@ -84,9 +84,9 @@ VARIANTS = f"""{COMP}, opt AS (SELECT unnest({[s for s in X.SLOT_ORDER for _ in
     vl AS (SELECT *, {_TEXT} AS txt, {_depth} AS min_depth, {_class} || '|' || {_locus} || '|' || EVASION AS after FROM va WHERE len(list_filter({_LIST}, lambda x: x IS NOT NULL)) = 0)""".replace(" WHERE id % 10 < 10", "")
 
 
-@query("legal_values", f"WITH {VARIANTS} SELECT id, string_agg(value, ',' ORDER BY value) AS legal_values FROM vl WHERE slot = 'RAIL' GROUP BY id")
+@query("legal_values", f"WITH {VARIANTS} SELECT id, slot, string_agg(value, ',' ORDER BY value) AS legal_values FROM vl GROUP BY id, slot")
 def _values(spark, sf):
-    return X.legal_values(comps(spark, sf), "id", "RAIL").withColumn("legal_values", F.concat_ws(",", "legal_values"))
+    return X.legal_values(comps(spark, sf), "id").withColumn("legal_values", F.concat_ws(",", "legal_values"))
 
 
 @query("siblings", f"""WITH {VARIANTS}, p AS (SELECT id, arg_min(struct_pack(slot := slot, value := value, sibling := txt, x := after <> before), (CASE WHEN slot = 'EVASION' THEN 0 ELSE 1 END, pos)) AS b

@@ -66,10 +66,10 @@ def _fuse_max(spark, sf):
     return rounded(ranks(spark, sf).select("event_id", P.fused(P.COMPONENTS, max_rule=True).alias("fused")), 9)
 
 
-@query("component_contributions", f"WITH {RANKS} SELECT event_id, round(CAST(0.62 * r_g1 AS DOUBLE), 9) AS g1, round(CAST(0.12 * r_gate_b AS DOUBLE), 9) AS gate_b FROM rk")
+@query("component_contributions", f"WITH {RANKS} SELECT event_id, {', '.join(f'round(CAST({w!r}e0 * r_{n} AS DOUBLE), 9) AS {n}' for n, w in P.WEIGHTS.items())} FROM rk")
 def _contributions(spark, sf):
     m = P.contributions(P.COMPONENTS)
-    return rounded(ranks(spark, sf).select("event_id", m["g1"].alias("g1"), m["gate_b"].alias("gate_b")), 9)
+    return rounded(ranks(spark, sf).select("event_id", *[m[n].alias(n) for n in P.COMPONENTS]), 9)
 
 
 @query("saturation_report", f"WITH {RANKS}, u AS (" + " UNION ALL ".join(f"SELECT '{n}' AS component, CAST(r_{n} AS DOUBLE) AS r FROM rk" for n in P.COMPONENTS) + """)

@@ -117,6 +117,16 @@ def _text(spark, sf):
     return R.scan_text(table(spark, sf, "documents"), "doc_id", ["text"]).select("doc_id", "rule_id", "matched_text")
 
 
+_TURNS = "(SELECT conv_id || ':' || turn AS turn_id, text FROM conversations)"
+
+
+@query("text_rule_scan_conversations", _text_sql(_TURNS, "turn_id", R.TEXT_RULES))
+def _text_turns(spark, sf):
+    """The same rules over every turn of every conversation."""
+    turns = table(spark, sf, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn_id"), "text")
+    return R.scan_text(turns, "turn_id", ["text"]).select("turn_id", "rule_id", "matched_text")
+
+
 @query("text_rule_summary", f"SELECT rule_id, count(*) AS n_hits FROM ({_text_sql('documents', 'doc_id', R.TEXT_RULES)}) GROUP BY rule_id")
 def _text_summary(spark, sf):
     return R.text_rule_summary(R.scan_text(table(spark, sf, "documents"), "doc_id", ["text"]))

@@ -137,12 +137,22 @@ def _cohort_score(spark, sf):
     return SC.cohort_score(batches, SC.fit_cohort_edges(batches)).select("event_id", "cohort_score")
 
 
-@query("beneficiary_component", f"""WITH {payments_sql("beneficiary_dwell_seconds", "beneficiary_account_age_days")} SELECT event_id, round(
-    (CASE WHEN beneficiary_dwell_seconds > -1 THEN least(greatest(1 - beneficiary_dwell_seconds / 3600, 0), 1) ELSE 0 END
-    + CASE WHEN beneficiary_account_age_days > -1 THEN least(greatest(1 - beneficiary_account_age_days / 30, 0), 1) ELSE 0 END) / 2, 9) + 0e0 AS component FROM pay""")
+_SHAPES = {
+    "in_out_skew": "1 - v / 0.15", "pass_through_dwell_seconds": "1 - v / 3600", "beneficiary_account_age_days": "1 - v / 30", "beneficiary_distinct_payers_24h": "v / 40",
+    "first_credit_source_concentration": "v",
+}
+_FIVE = """SELECT event_id, beneficiary_account_age_days::DOUBLE AS beneficiary_account_age_days, beneficiary_distinct_payers_24h::DOUBLE AS beneficiary_distinct_payers_24h,
+    beneficiary_dwell_seconds::DOUBLE AS pass_through_dwell_seconds, CAST((e * 17) % 50 AS DOUBLE) / 200 - 0.05e0 AS in_out_skew, CAST(e % 10 AS DOUBLE) / 8 - 1e0 AS first_credit_source_concentration FROM pay"""
+
+
+@query("beneficiary_component", f"""WITH {payments_sql("beneficiary_dwell_seconds", "beneficiary_account_age_days", "beneficiary_distinct_payers_24h")}, f AS ({_FIVE})
+    SELECT event_id, round(({" + ".join(f"CASE WHEN {n} > -1 THEN least(greatest({x.replace('v', n, 1) if x == 'v' else x.replace('v ', n + ' ')}, 0), 1) ELSE 0 END" for n, x in _SHAPES.items())}) / 5, 9) + 0e0 AS component FROM f""")
 def _component(spark, sf):
-    rows = payments(spark, sf).withColumnRenamed("beneficiary_dwell_seconds", "pass_through_dwell_seconds")
-    return rounded(rows.select("event_id", SC.beneficiary_component(["pass_through_dwell_seconds", "beneficiary_account_age_days"]).alias("component")), 9)
+    """All five terms: skew, dwell, account age, payers and source concentration."""
+    e = F.substring("event_id", 2, 20).cast("long")
+    rows = payments(spark, sf).withColumnRenamed("beneficiary_dwell_seconds", "pass_through_dwell_seconds").withColumns({
+        "in_out_skew": ((e * 17) % 50).cast("double") / 200 - 0.05, "first_credit_source_concentration": (e % 10).cast("double") / 8 - 1.0})
+    return rounded(rows.select("event_id", SC.beneficiary_component(list(_SHAPES)).alias("component")), 9)
 
 
 @query("incumbent_as_detector", f"""WITH {SCORED_SQL}, x AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN -1 ELSE s_inc END AS s FROM sc), m AS (SELECT min(s) AS lo, max(s) AS hi FROM x WHERE s > -1)
