@@ -291,3 +291,35 @@ def test_a_group_of_near_copies_costs_rows_in_proportion(spark):
                 a, b = sorted((label[i], label[j]))
                 label = [a if x == b else x for x in label]
     assert 50 < len(set(label)) < 450 and kept == set(label)
+
+
+WORDS = "the quiet harbour lay under a low grey sky while boats moved slowly past the long stone wall and people walked home".split()
+
+
+def sentence(n, seed):
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice(WORDS) for _ in range(n)) + "."
+
+
+@pytest.mark.parametrize("n", [4, 15, 40, 160])
+@pytest.mark.parametrize("box", ['<div class="comments"><p>{}</p></div>', '<div class="ad">{}</div>', '<section id="comments-list"><article class="comment"><p>{}</p></article></section>',
+                                 '<form><p>{}</p></form>', '<footer><p>{}</p></footer>', '<aside><p>{}</p></aside>', '<div class="newsletter-box"><p>{}</p></div>', '<nav><ul><li>{}</li></ul></nav>'])
+@pytest.mark.parametrize("page", ['<main class="content"><article>{}</article></main>', '<article class="post">{}</article>', '<div class="entry content">{}</div>', '<article>{}</article>'])
+def test_boilerplate_inside_the_article_goes(page, box, n):
+    story = [sentence(30, 1), sentence(25, 2), sentence(40, 3)]
+    for at in (1, 3):
+        parts = [f"<p>{t}</p>" for t in story]
+        parts.insert(at, box.format(sentence(n, 9)))
+        assert html.main_text(f"<html><body><header><nav><a href=/>Home</a></nav></header>{page.format(''.join(parts))}</body></html>") == "\n".join(story)
+
+
+def test_names_that_mislead():
+    story = [sentence(30, 1), sentence(3, 2), sentence(25, 3)]
+    body = "".join(f"<p>{t}</p>" for t in story)
+    for page in ('<article class="research search">{}</article>', '<div class="has-sidebar layout"><article>{}</article></div>', '<div class="page with-sidebar"><div class="content">{}</div></div>'):
+        assert html.main_text(f"<body>{page.format(body)}</body>") == "\n".join(story), page
+    related = '<div class="related"><article><p>' + sentence(40, 5) + "</p></article></div>"
+    assert html.main_text(f"<body><article>{body}</article>{related}</body>") == "\n".join(story)
+    assert "x + y" in html.main_text(f"<article>{body}<p>where <math><mi>x</mi> + <mi>y</mi></math> is the whole sum of both.</p></article>").replace("  ", " ")
+    rows = "".join(f"<tr><td>{sentence(4, k)}</td><td>{sentence(5, 50 + k)}</td></tr>" for k in range(3))
+    assert html.main_text(f"<article>{body}<table>{rows}</table></article>").count("\n") == 8

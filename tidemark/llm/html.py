@@ -8,7 +8,10 @@ is the labelling with the least sum of overruled scores and cut ties; it is foun
 score is at least the sum of its ties keeps its sign in some minimum cut, so such blocks are
 settled first, again and again, and only what is left goes through augmenting paths.
 
-Edge cases: null and empty pages and pages without content blocks give an empty text; pages cut off in a
+A block carries the evidence of its innermost telling ancestor: comments, adverts, forms and footers inside an article are
+boilerplate at any length.
+
+Edge cases: null and empty pages, an empty table and pages without content blocks give an empty text or no rows; columns of the names used inside are ignored; pages cut off in a
 tag, a comment or a script lose only that; character references are decoded as browsers do; repeated rows are extracted
 one by one; deep or very long pages are read without recursion, whole.
 """
@@ -32,12 +35,13 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _NAME = re.compile(r"[a-z]+")
+_PLAIN = re.compile(r"(?<![\w-])[a-z]+(?=[-_](?:\d+|box|section|area|list|block|wrapper|container|slot)\b)")
 
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SKIP = RAW | frozenset("head noscript template svg math object canvas select button datalist audio video".split())
+SKIP = RAW | frozenset("head noscript template svg object canvas select button datalist audio video".split())
 ENDS_ITEM = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)),
              "td": ("td th", ("table", "tr")), "th": ("td th", ("table", "tr")), "option": ("option", ("select",))}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -48,7 +52,10 @@ consent contentinfo cookie cookies copyright disclaimer disqus disclosure footer
 navigation newsletter notice notification overlay pager pagination popup promo promoted promotion recommended reply replies related search share sharing
 sidebar signup sitemap skip social sponsor sponsored subscribe subscription tags toolbar topbar widget""".split())
 CONTENT_NAMES = frozenset("article articlebody body content entry main maincontent post postbody story text".split())
-IN_PART, IN_NAMED, IN_ARTICLE, IN_CONTENT, HEADING, LINK, SKIPPED = 1, 2, 4, 8, 16, 32, 64
+# Names that mark a box as boilerplate whatever it is written on, where they are a whole class or id.
+STRONG_NAMES = frozenset("""ad ads advert advertisement comment comments commentlist recommended related replies reply promo promoted sidebar sponsored
+newsletter disqus""".split())
+IN_PART, IN_NAMED, IN_ARTICLE, IN_CONTENT, HEADING, LINK, SKIPPED, IN_STRONG = 1, 2, 4, 8, 16, 32, 64, 128
 W_PART, W_NAMED, W_ARTICLE, W_CONTENT, W_LINKS, W_HEADING, W_WORD, W_SENTENCE, BIAS = -8.0, -8.0, 4.0, 2.0, -4.0, 0.3, 0.9, 0.8, -1.0
 TIE, SIBLING = 0.8, 0.4
 
@@ -69,19 +76,25 @@ def _own_flags(tag: str, attrs: str, above: int) -> int:
         flags |= SKIPPED
     if tag in HEADINGS:
         flags |= HEADING
-    if tag in PAGE_PARTS or tag == "header" and not above & (IN_ARTICLE | IN_CONTENT):
-        flags |= IN_PART
-    if tag in ("article", "main"):
-        flags |= IN_ARTICLE
+    good = IN_ARTICLE if tag in ("article", "main") else 0
+    bad = IN_PART if tag in PAGE_PARTS or tag == "header" and not above & (IN_ARTICLE | IN_CONTENT) else 0
     if attrs and tag not in ("html", "body", "a"):
         for m in _ATTR.finditer(attrs):
-            names = set(_NAME.findall((m[1] or m[2] or m[3] or "").lower()))
-            if names & BOILERPLATE_NAMES:
-                flags |= IN_NAMED
+            said = (m[1] or m[2] or m[3] or "").lower()
+            names = set(_NAME.findall(said))
+            strong = STRONG_NAMES & {*said.split(), *_PLAIN.findall(said)}
+            if strong or names & BOILERPLATE_NAMES and not good:
+                bad |= IN_NAMED | (IN_STRONG if strong else 0)
             elif names & CONTENT_NAMES:
-                flags |= IN_CONTENT
+                good |= IN_CONTENT
         if _HIDDEN.search(attrs):
             flags |= SKIPPED
+    # The innermost evidence counts: a boilerplate box inside the article is none of it; an article inside a box that
+    # only its name speaks against is one, but not inside a page part or among comments or adverts.
+    if bad:
+        return flags & ~(IN_ARTICLE | IN_CONTENT) | bad
+    if good and not flags & (IN_PART | IN_STRONG):
+        return flags & ~IN_NAMED | good
     return flags
 
 
