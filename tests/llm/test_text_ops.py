@@ -488,3 +488,39 @@ def test_suffix_tree_keeps_a_context_of_any_share(spark):
     tree = suffix_lm.learn(docs(spark, rows))
     assert int(tree.classes[ord("q")]) in tree.contexts[1].tolist()
     assert np.allclose((10 ** tree.log_p.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_language_posterior_by_hand(spark):
+    """Cells, probabilities, tempering and prior worked out n-gram by n-gram in Python's integers."""
+    rows = [(1, "ab ba", "x"), (2, "abc abc", "x"), (3, "zz top", "y"), (5, "Top z", "y"), (6, "été", "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+
+    def cells(text):
+        c = [ord(x) if x.isalpha() else 32 for x in " " + text.lower() + " "]
+        keys = []
+        for i in range(1, len(c)):
+            here, before, after = c[i], c[i - 1], c[i + 1] if i + 1 < len(c) else 32
+            if here != 32:
+                keys += [here * 31, before * 2246822519 + here * 3266489917 + after * 668265263 + 13]
+            if here != 32 or before != 32:
+                keys.append(before * 65599 + here * 257 + 7)
+        return [(((k % 2 ** 32) ^ ((k % 2 ** 32) >> 15)) * 2654435761 % 2 ** 32) >> 17 for k in keys]
+
+    counts = {"x": {}, "y": {}}
+    for _, text, lang in rows:
+        for cell in cells(text):
+            counts[lang][cell] = counts[lang].get(cell, 0) + 1
+    size = {k: sum(v.values()) for k, v in counts.items()}
+    for text in ("ab", "top", "zab", "été abc " * 200):
+        own = cells(text)
+        post = {}
+        for lang, prior in (("x", 2 / 5), ("y", 3 / 5)):
+            logs = [math.log((counts[lang].get(k, 0) + langid.SMOOTH) / (size[lang] + langid.SMOOTH * langid.BUCKETS)) for k in own]
+            post[lang] = sum(logs) / len(logs) * min(len(logs), langid.EVIDENCE) + math.log(prior)
+        top = max(post.values())
+        want = {k: math.exp(v - top) / sum(math.exp(w - top) for w in post.values()) for k, v in post.items()}
+        lang, p = model.predict([text])
+        assert lang[0] == max(want, key=want.get) and abs(p[0] - want[lang[0]]) < 1e-9
+    tie = langid.Model(["a", "b"], np.zeros((2, langid.BUCKETS)), np.zeros(2))
+    assert tie.predict(["word"]) == (["a"], [0.5])

@@ -7,7 +7,12 @@ matrix of log probabilities (languages x BUCKETS) is broadcast and batches are s
 
 Edge cases: a null text or one without a letter is ``und`` with score 0, and so is every text when no
 language could be learned; a null language is not learned from; repeated rows and very long texts
-are scored as they are, whole.  More than ``MAX_LANGS`` languages is an error, which bounds the matrix.
+are scored as they are, whole; of equally likely languages the first by name is predicted; an empty table gives no rows; columns
+of the names used here are ignored.  More than ``MAX_LANGS`` languages is an error, which bounds the matrix.
+
+The evidence of a text is tempered: its mean log probability per n-gram counts as that of at most ``EVIDENCE`` n-grams, as those of one
+text are far from independent.  Which language comes first changes only through the prior's weight; the score of a long
+text stays below what independence would give.
 """
 
 from __future__ import annotations
