@@ -167,5 +167,11 @@ def realised_mde(base_rate: float, n: Column, power_z: float = 0.841621233572914
 
 
 def hash_unit(col: Column, salt: str = "") -> Column:
-    """A stable number in [0, 1) per value."""
-    return F.pmod(F.xxhash64(F.lit(salt), col), F.lit(1_000_000)) / 1_000_000.0
+    """A stable number in [0, 1) per value: 52 bits of the MD5 of ``salt|value``; a null counts as empty text."""
+    return hash_bits(col, salt, 13) / float(1 << 52)
+
+
+def hash_bits(col: Column, salt: str, digits: int) -> Column:
+    """The first hex digits (15 at most) of the MD5 of ``salt|value`` as a number."""
+    text = F.concat(F.lit(f"{salt}|"), F.coalesce(col.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")

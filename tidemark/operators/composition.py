@@ -168,6 +168,17 @@ def violations(df: DataFrame) -> DataFrame:
     return df.withColumn("violated", F.array_sort(ids))
 
 
+def explain_violations(df: DataFrame, key: str) -> DataFrame:
+    """(key, constraint_id, reason): one row per broken constraint, with what it asks and what was found."""
+    def reason(con) -> Column:
+        _, kind, ws, wv, ts, tv = con
+        return F.concat(F.lit(f"{ws}={wv} {kind} {ts} in {'|'.join(tv)}, found "), c(ts))
+
+    found = F.array_compact(F.array(*[
+        F.when(_holds(con), F.struct(F.lit(con[0]).alias("constraint_id"), reason(con).alias("reason"))) for con in CONSTRAINTS]))
+    return df.select(key, F.inline(found))
+
+
 def filter_legal(df: DataFrame) -> DataFrame:
     return violations(df).filter(F.size("violated") == 0).drop("violated")
 
@@ -290,6 +301,40 @@ def sealed_members(df: DataFrame) -> DataFrame:
     return rows.filter(c("family").isNotNull() | c("withheld_value"))
 
 
+def sealed_audit(df: DataFrame, seeds: DataFrame) -> DataFrame:
+    """One row per holdout arm, the sealed families and the withheld value: what it holds and what is wrong with it.
+
+    ``df`` are the compositions that can occur, ``seeds`` the ones written by hand.  A family without a legal member,
+    or a withheld value that no seed uses, is a holdout in name only.
+    """
+    arm = f"EVASION={WITHHELD_EVASION}"
+    depth = S.mapped(c("family"), {f: d for f, (_, _, _, d) in SEALED.items()}, 0)
+
+    def members(rows: DataFrame) -> DataFrame:
+        """(arm, composition, cell), each once; cells at the depth of the family."""
+        held = with_axes(sealed_members(rows)).withColumn("depth", depth)
+        both = F.array_compact(F.array(
+            F.when(c("family").isNotNull(), F.struct(c("family").alias("arm"), cell_id().alias("cell"))),
+            F.when(c("withheld_value"), F.struct(F.lit(arm).alias("arm"), F.lit(None).cast("string").alias("cell")))))
+        return held.select(to_text().alias("composition"), F.inline(both)).distinct()
+
+    found = members(df).groupBy("arm").agg(F.count(F.lit(1)).alias("n_members"), F.array_join(F.array_sort(F.collect_set("cell")), ",").alias("cells"))
+    used = members(seeds).groupBy("arm").agg(F.count(F.lit(1)).alias("n_seeds"))
+    arms = df.sparkSession.createDataFrame([(f,) for f in (*SEALED, arm)], "arm string")
+    out = arms.join(F.broadcast(found), "arm", "left").join(F.broadcast(used), "arm", "left").fillna({"n_members": 0, "n_seeds": 0, "cells": ""})
+    problem = F.when(c("n_members") == 0, "no legal member").when((c("arm") == arm) & (c("n_seeds") == 0), "no seed uses the withheld value").otherwise("")
+    return out.withColumn("problem", problem)
+
+
+def sealed_share(df: DataFrame) -> DataFrame:
+    """Distinct legal compositions, those withheld by family, by value and by either, and the share withheld."""
+    rows = filter_legal(df).withColumns({"composition": to_text(), "f": sealed_family().isNotNull(), "v": c("EVASION") == WITHHELD_EVASION})
+    out = rows.select("composition", "f", "v").distinct().agg(
+        F.count(F.lit(1)).alias("n_legal"), F.sum(c("f").cast("long")).alias("n_by_family"), F.sum(c("v").cast("long")).alias("n_by_value"),
+        F.sum((c("f") | c("v")).cast("long")).alias("n_withheld"))
+    return out.withColumn("share_withheld", F.coalesce(c("n_withheld") / F.nullif(c("n_legal"), F.lit(0)), F.lit(0.0)))
+
+
 def withhold_mask(rows: DataFrame, composition: str, withheld: DataFrame) -> DataFrame:
     """Flag rows of a withheld composition, by identity of the string."""
     w = withheld.select(c("composition").alias(composition)).distinct().withColumn("withheld", F.lit(True))

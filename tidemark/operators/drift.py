@@ -58,7 +58,7 @@ def conformal_shift(reference: DataFrame, current: DataFrame, p: str = "p", alph
 
 def freeze_canaries(rows: DataFrame, key: str, n: int = 200) -> DataFrame:
     """The n rows with the smallest id hash: the same probes whenever they are drawn."""
-    return rows.orderBy(F.xxhash64(F.lit("canary"), c(key)), key).limit(n)
+    return rows.orderBy(S.hash_bits(c(key), "canary", 15), key).limit(n)
 
 
 def canary_history(scored: DataFrame, version: str, score: str) -> DataFrame:
@@ -192,7 +192,7 @@ def shuffled_marginals(df: DataFrame, columns: Sequence[str], key: str) -> DataF
     from tidemark.plans.ordered import Running, ordered
 
     def placed(salt: str, *keep: str) -> DataFrame:
-        h = df.select(key, *keep).withColumns({"__all": F.lit(0), "__h": F.xxhash64(F.lit(salt), c(key))})
+        h = df.select(key, *keep).withColumns({"__all": F.lit(0), "__h": S.hash_bits(c(key), salt, 15)})
         return ordered(h, ["__all"], ["__h", key], {"__pos": Running("count", F.lit(1))})
     out = placed("base").select(key, "__pos")
     for n in columns:

@@ -63,6 +63,17 @@ def _check(spark, sf):
     return X.violations(comps(spark, sf)).select("id", F.concat_ws(",", "violated").alias("violated"))
 
 
+def _reason(con) -> str:
+    cid, kind, ws, wv, ts, tv = con
+    return f"{_broken(con)[:-len(repr(cid)) - 4]}struct_pack(i := '{cid}', r := '{ws}={wv} {kind} {ts} in {'|'.join(tv)}, found ' || {ts}) END"
+
+
+@query("type_check_reasons", f"""WITH {COMP}, u AS (SELECT id, unnest(list_filter([{', '.join(_reason(x) for x in X.CONSTRAINTS)}], lambda x: x IS NOT NULL)) AS b FROM ch)
+    SELECT id, b.i AS constraint_id, b.r AS reason FROM u""")
+def _reasons(spark, sf):
+    return X.explain_violations(comps(spark, sf), "id")
+
+
 @query("legal_space", f"WITH {COMP} SELECT count(*) AS n_legal, count(DISTINCT txt) AS n_distinct FROM ok")
 def _legal(spark, sf):
     return X.filter_legal(comps(spark, sf)).agg(F.count(F.lit(1)).alias("n_legal"), F.countDistinct(X.to_text()).alias("n_distinct"))
@@ -139,6 +150,29 @@ def _sealed(spark, sf):
     return X.sealed_members(comps(spark, sf)).select("id", "family", "withheld_value")
 
 
+SEALED_FAMILY = _fam
+_ARM = f"EVASION={X.WITHHELD_EVASION}"
+_SEALED_DEPTH = "CASE family " + " ".join(f"WHEN '{f}' THEN {d}" for f, (_, _, _, d) in X.SEALED.items()) + " END"
+
+
+@query("sealed_audit", f"""WITH {COMP}, x AS (SELECT *, {_fam} AS family FROM ok),
+    m AS (SELECT family AS arm, txt, rail_class || '|' || locus || '|' || EVASION || '|d' || {_SEALED_DEPTH} AS cell, id % 9 = 0 AS seed FROM x WHERE family IS NOT NULL
+      UNION ALL SELECT '{_ARM}', txt, NULL, id % 9 = 0 FROM x WHERE EVASION = '{X.WITHHELD_EVASION}'),
+    a AS (SELECT unnest({[*X.SEALED, _ARM]!r}) AS arm),
+    g AS (SELECT arm, count(DISTINCT txt) AS n_members, coalesce(string_agg(DISTINCT cell, ',' ORDER BY cell), '') AS cells, count(DISTINCT CASE WHEN seed THEN txt END) AS n_seeds FROM a LEFT JOIN m USING (arm) GROUP BY arm)
+    SELECT *, CASE WHEN n_members = 0 THEN 'no legal member' WHEN arm = '{_ARM}' AND n_seeds = 0 THEN 'no seed uses the withheld value' ELSE '' END AS problem FROM g""")
+def _sealed_audit(spark, sf):
+    """Every ninth order counts as a seed."""
+    rows = comps(spark, sf)
+    return X.sealed_audit(rows, rows.filter("id % 9 = 0"))
+
+
+@query("sealed_share", f"""WITH {COMP}, x AS (SELECT DISTINCT txt, {_fam} IS NOT NULL AS f, EVASION = '{X.WITHHELD_EVASION}' AS v FROM ok)
+    SELECT count(*) AS n_legal, count(*) FILTER (f) AS n_by_family, count(*) FILTER (v) AS n_by_value, count(*) FILTER (f OR v) AS n_withheld, round(count(*) FILTER (f OR v) / count(*), 9) AS share_withheld FROM x""")
+def _sealed_share(spark, sf):
+    return rounded(X.sealed_share(comps(spark, sf)), 9)
+
+
 @query("withhold_mask", f"WITH {COMP}, w AS (SELECT DISTINCT txt FROM ok WHERE id % 50 = 0) SELECT id, txt IN (SELECT txt FROM w) AS withheld FROM ch")
 def _withhold(spark, sf):
     rows = comps(spark, sf).withColumn("txt", X.to_text())

@@ -8,7 +8,7 @@ from tidemark.operators import drift as D
 from tidemark.operators.features import FeatureConfig
 from tidemark.operators.timeline import Timeline
 from tidemark.queries.registry import query, rounded
-from tidemark.queries.scored import scored
+from tidemark.queries.scored import SCORED_SQL, scored
 from tidemark.queries.scores import CONF_SQL, conformal
 from tidemark.queries.standin import payments, payments_sql
 
@@ -59,17 +59,33 @@ def probes(spark, sf):
     return canary.withColumn("version", versions).withColumn("probe", c("score") - 0.02 * c("version"))
 
 
-@query("canary_degradation")
+def hash_sql(salt: str, value: str, digits: int = 15) -> str:
+    return f"CAST('0x' || substr(md5('{salt}|' || {value}), 1, {digits}) AS BIGINT)"
+
+
+_PROBES = f"""pb AS (SELECT event_id, version, score - 0.02e0 * version AS probe FROM (SELECT * FROM sc ORDER BY {hash_sql('canary', 'event_id')}, event_id LIMIT 200), (SELECT unnest([1, 2, 3, 4]) AS version)),
+    hi AS (SELECT version, count(*) AS n, avg(probe) AS mean_score, quantile_cont(probe, 0.9) AS p90_score FROM pb GROUP BY version),
+    st AS (SELECT *, lag(mean_score) OVER (ORDER BY version) AS before FROM hi),
+    hc AS (SELECT count(*) AS n_versions, NOT bool_or(coalesce(mean_score > before + 1e-12, FALSE)) AS monotone_decline, arg_min(mean_score, version) - arg_max(mean_score, version) AS total_drop FROM st),
+    cd AS (SELECT *, monotone_decline AND total_drop > 0.02 AND n_versions >= 3 AS detected FROM hc)"""
+
+
+@query("canary_degradation", f"WITH {SCORED_SQL}, {_PROBES} SELECT n_versions, monotone_decline, round(total_drop, 6) + 0e0 AS total_drop, detected FROM cd")
 def _canary(spark, sf):
     return rounded(D.canary_degradation(D.canary_history(probes(spark, sf), "version", "probe"), "version"))
 
 
-@query("canary_history")
+@query("canary_history", f"WITH {SCORED_SQL}, {_PROBES} SELECT version, n, round(mean_score, 6) + 0e0 AS mean_score, round(p90_score, 6) + 0e0 AS p90_score FROM hi")
 def _history(spark, sf):
     return rounded(D.canary_history(probes(spark, sf), "version", "probe"))
 
 
-@query("drift_conjunction")
+@query("drift_conjunction", f"""WITH {_PAY}, {CONF_SQL}, {_PROBES},
+    d1 AS ({psi_all('1.25e0')}), d0 AS ({psi_all('1e0')}),
+    df AS (SELECT count(*) AS n_features, CAST(count(*) FILTER (d1.v >= {D.PSI_LIMIT} AND CASE WHEN d1.v > 1e-9 THEN coalesce(d0.v, 0) / d1.v ELSE 1 END < {D.NULL_EXPLAINED}) AS BIGINT) AS n_unexplained FROM d1 LEFT JOIN d0 USING (feature)),
+    ms AS (SELECT avg(CASE WHEN p <= 0.05 THEN 1 ELSE 0 END) FILTER (event_id % 4 = 3) - avg(CASE WHEN p <= 0.05 THEN 1 ELSE 0 END) FILTER (event_id % 4 = 1) AS shift FROM pv),
+    fl AS (SELECT n_features, n_unexplained, shift, n_unexplained > 0 AS a, shift >= {D.SHIFT_LIMIT} AS b, detected AS d FROM df, ms, cd)
+    SELECT n_features, n_unexplained, round(shift, 6) + 0e0 AS shift, a AS drift_fired, b AS conformal_fired, d AS canary_fired, CAST(a AS INTEGER) + CAST(b AS INTEGER) + CAST(d AS INTEGER) AS n_signals, a AND b AND d AS fired FROM fl""")
 def _conjunction(spark, sf):
     ref, cur, null = windows(spark, sf)
     p = conformal(spark, sf)
@@ -165,9 +181,19 @@ def _summary(spark, sf):
     return rounded(D.summarise_checks(checks(spark, sf)), 9)
 
 
+_SHUFFLED = ("amount_inr", "device_age_days", "response_latency_ms", "merchant_age_days", "account_age_days", "auth_to_presentment_ratio")
+_PLACED = lambda salt, *keep: f"SELECT {', '.join(['event_id', *keep])}, row_number() OVER (ORDER BY {hash_sql(salt, 'event_id')}, event_id) AS pos FROM pay"
+
+
+@query("shuffled_marginals", f"""WITH {payments_sql(*_SHUFFLED)}, base AS ({_PLACED("base")}), {', '.join(f"x_{n} AS ({_PLACED(n, n)})" for n in _SHUFFLED)}
+    SELECT base.event_id, {', '.join(f"round(x_{n}.{n}, 6) + 0e0 AS {n}" for n in _SHUFFLED)} FROM base {' '.join(f"JOIN x_{n} ON x_{n}.pos = base.pos" for n in _SHUFFLED)}""")
+def _shuffled(spark, sf):
+    """Six columns of the payments, each in an order of its own."""
+    return rounded(D.shuffled_marginals(payments(spark, sf), list(_SHUFFLED), "event_id"))
+
+
 @query("shuffled_control")
 def _control(spark, sf):
-    """Rows against their column-wise shuffle: the two-sample trees must tell them apart."""
-    rows = scored(spark, sf).select("event_id", "score", (c("score") + c("sketch")).alias("s2"), c("sketch"))
-    names = ["score", "s2", "sketch"]
+    """Payments against their column-wise shuffle: the two-sample trees must tell them apart."""
+    rows, names = payments(spark, sf).select("event_id", *_SHUFFLED), list(_SHUFFLED)
     return D.discriminator_auc(rows, D.shuffled_marginals(rows, names, "event_id"), names, "event_id")

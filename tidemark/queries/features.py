@@ -83,7 +83,13 @@ def stats_for(prep):
     return FE.fit_reference_stats(prep, y, F.col("day_index") < 20)
 
 
+FAMILY_SQL: dict[str, tuple[list[str], str]] = {}
+
+
 def family(name: str, names: list[str], sql: str | None, needs_stats: bool = False):
+    if sql is not None:
+        FAMILY_SQL[name] = (list(names), sql)
+
     def run(spark, sf):
         prep = prepared(spark, sf)
         return rounded(FE.build_features(prep, stats_for(prep) if needs_stats else None, names), 7)
@@ -338,19 +344,22 @@ family("beneficiary_flow", C.family("beneficiary_side"), family_sql({
 
 # --- onboarding batches ------------------------------------------------------------------------------
 _ob = "onboarding_batch_id"
-family("onboarding_cohort", C.family("onboarding_cohort"), family_sql({
-    "onboarding_batch_size": "coalesce(n, -1)", "onboarding_batch_timing_cluster": "coalesce(timing, -1)",
-    "device_os_entropy_collapse": "coalesce(1 - ent, -1)", "device_model_entropy": "coalesce(ent, -1)", "asn_reuse_rate": "coalesce(asn, -1)",
-    "name_ngram_unlikelihood": "coalesce(ngram, -1)", "address_geocode_density": "coalesce(dens, -1)",
-    "onboarding_to_first_credit_minutes": where(f"pay.{_ob} <> '' AND onboarding_ts > 0", "(ts - onboarding_ts) / 60"),
-    "first_credit_source_concentration_batch": "coalesce(hhi, -1)", "batch_kyc_tier_uniformity": "coalesce(tier_share, -1)",
-}, [f"rows AS (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY {_ob} ORDER BY ts_us, event_id)) / 1e6 AS d FROM pay WHERE {_ob} <> '')",
+BATCH_CTES = [
+    f"rows AS (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY {_ob} ORDER BY ts_us, event_id)) / 1e6 AS d FROM pay WHERE {_ob} <> '')",
     f"g AS (SELECT {_ob}, count(*) AS n, CASE WHEN count(*) >= 3 THEN 1 - least(CASE WHEN abs(avg(d)) > 1e-9 THEN stddev_pop(d) / avg(d) ELSE 0 END, 1) ELSE -1 END AS timing, "
     f"1 - count(DISTINCT ip_asn) / count(*) AS asn, avg(name_ngram_unlikelihood) AS ngram, avg(address_geocode_density) AS dens FROM rows GROUP BY 1)",
     f"e AS (SELECT {_ob}, CASE WHEN count(*) > 1 THEN -sum(k / t * ln(k / t)) / ln(count(*)) ELSE 0 END AS ent FROM (SELECT {_ob}, device_model, count(*) AS k, "
     f"sum(count(*)) OVER (PARTITION BY {_ob}) AS t FROM rows GROUP BY 1, 2) GROUP BY 1)",
     f"f AS (SELECT {_ob}, sum(k * k) / (sum(k) * sum(k)) AS hhi FROM (SELECT {_ob}, beneficiary_first_credit_source, count(*) AS k FROM rows GROUP BY 1, 2) GROUP BY 1)",
     f"k AS (SELECT {_ob}, max(k) / sum(k) AS tier_share FROM (SELECT {_ob}, kyc_tier, count(*) AS k FROM rows GROUP BY 1, 2) GROUP BY 1)",
+]
+family("onboarding_cohort", C.family("onboarding_cohort"), family_sql({
+    "onboarding_batch_size": "coalesce(n, -1)", "onboarding_batch_timing_cluster": "coalesce(timing, -1)",
+    "device_os_entropy_collapse": "coalesce(1 - ent, -1)", "device_model_entropy": "coalesce(ent, -1)", "asn_reuse_rate": "coalesce(asn, -1)",
+    "name_ngram_unlikelihood": "coalesce(ngram, -1)", "address_geocode_density": "coalesce(dens, -1)",
+    "onboarding_to_first_credit_minutes": where(f"pay.{_ob} <> '' AND onboarding_ts > 0", "(ts - onboarding_ts) / 60"),
+    "first_credit_source_concentration_batch": "coalesce(hhi, -1)", "batch_kyc_tier_uniformity": "coalesce(tier_share, -1)",
+}, [*BATCH_CTES,
     f"x AS (SELECT event_id, g.*, ent, hhi, tier_share FROM rows JOIN g USING ({_ob}) JOIN e USING ({_ob}) JOIN f USING ({_ob}) JOIN k USING ({_ob}))"], ["x"]))
 
 # --- entity age --------------------------------------------------------------------------------------
@@ -520,6 +529,30 @@ def _exchange_feature(spark, sf):
     return FE.build_features(prep, None, ["beneficiary_prior_from_exchange", "is_cross_border"], exchange=exchange)
 
 
+def _view_query(view: str) -> None:
+    """The whole view in one build, next to the joined SQL of the families; cohort ranks of amount sums have no SQL."""
+    names = [n for n in C.features_for_view(view) if not n.endswith("amount_sum_pct")]
+    left, parts = set(names), {}
+    for fam, (given, sql) in FAMILY_SQL.items():
+        if fam != "velocity_two_keys" and (mine := [n for n in given if n in left]):
+            parts[fam] = (mine, sql)
+            left -= set(mine)
+    if left:
+        raise ValueError(f"no family gives {sorted(left)}")
+    ctes = ", ".join(f"f_{fam} AS ({sql})" for fam, (_, sql) in parts.items())
+    cols = ", ".join(f"f_{fam}.{n}" for fam, (mine, _) in parts.items() for n in mine)
+    first, *rest = [f"f_{fam}" for fam in parts]
+
+    @query(f"view_{view}", f"WITH {ctes} SELECT {first}.event_id, {cols} FROM {first} " + " ".join(f"JOIN {x} ON {x}.event_id = {first}.event_id" for x in rest))
+    def whole(spark, sf):
+        prep = prepared(spark, sf)
+        return rounded(FE.build_features(prep, stats_for(prep), names), 7)
+
+
+for _v in ("issuer", "payee_psp"):
+    _view_query(_v)
+
+
 @query("feature_matrix")
 def _matrix(spark, sf):
     """Every model feature the payee PSP can construct."""

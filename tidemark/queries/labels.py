@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import composition as X
 from tidemark.operators import labels as L
+from tidemark.queries.composition import COMP, SEALED_FAMILY, comps
 from tidemark.queries.features import PAY, prepared, stats_for
 from tidemark.queries.registry import epoch_us, query, rounded, table
 from tidemark.queries.standin import COLUMNS, payments, payments_sql
@@ -129,19 +131,45 @@ def _folds(spark, sf):
     return out.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").cast("double").alias("id_sum"))
 
 
-@query("entity_pool")
+@query("entity_pool", f"""SELECT CASE WHEN CAST('0x' || substr(md5('pool|' || c_custkey), 1, 13) AS BIGINT) / {float(1 << 52)!r} < {L.SEALED_SHARE} THEN 'sealed' ELSE 'train' END AS pool,
+    count(*) AS n_entities FROM customer GROUP BY 1""")
 def _pool(spark, sf):
-    """Share of customers whose hash falls into the sealed pool."""
+    """Customers whose hash falls into the sealed pool, and the others."""
     pool = table(spark, sf, "customer").withColumn("pool", L.entity_pool(F.col("c_custkey").cast("string")))
     return pool.groupBy("pool").agg(F.count(F.lit(1)).alias("n_entities"))
 
 
-@query("sealed_flag", f"""WITH {payments_sql("entity_pool", "attack_grammar_str")}
-    SELECT event_id, entity_pool = 'sealed' OR attack_grammar_str = 'ACCESS=stolen-credential' AS holdout FROM pay""")
+@query("split_gaps", f"WITH {EV_SQL}, b AS (SELECT quantile_cont(ts, {_EDGES}) AS q FROM ev) SELECT round((q[2] - q[1]) / 86400, 9) AS purge_days, round((q[4] - q[3]) / 86400, 9) AS embargo_days FROM b")
+def _gaps(spark, sf):
+    return rounded(L.split_gaps(L.split_bounds(events(spark, sf))), 9)
+
+
+HELD_SQL = f"""{payments_sql("entity_pool")}, {COMP}, sm AS (SELECT DISTINCT txt FROM ok WHERE {SEALED_FAMILY} IS NOT NULL),
+    hd AS (SELECT event_id, entity_pool = 'sealed' AS pooled, coalesce(ch.txt IN (SELECT txt FROM sm), FALSE) AS member, coalesce(EVASION = '{X.WITHHELD_EVASION}', FALSE) AS withheld FROM pay LEFT JOIN ch ON pay.e = ch.id)"""
+
+
+def flagged(spark, sf):
+    """Payments that carry the composition of the order of their number, flagged against the sealed families among all orders."""
+    found = comps(spark, sf)
+    told = found.select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("event_id"), X.to_text().alias("attack_grammar_str"))
+    rows = payments(spark, sf).select("event_id", "entity_pool").join(told, "event_id", "left").fillna("", ["attack_grammar_str"])
+    manifest = X.sealed_members(found).filter("family IS NOT NULL").select(X.to_text().alias("composition"))
+    return L.flag_holdout(rows, manifest, {"EVASION": X.WITHHELD_EVASION})
+
+
+@query("sealed_flag", f"WITH {HELD_SQL} SELECT event_id, pooled OR member OR withheld AS holdout FROM hd")
 def _sealed(spark, sf):
-    rows = payments(spark, sf)
-    manifest = rows.filter(F.col("attack_grammar_str") != "").select(F.col("attack_grammar_str").alias("composition")).distinct()
-    return L.flag_holdout(rows, manifest, {"EVASION": "low-visibility-rail"}).select("event_id", "holdout")
+    return flagged(spark, sf).select("event_id", "holdout")
+
+
+@query("training_partition", f"""WITH {HELD_SQL} SELECT CASE WHEN pooled OR member OR withheld THEN 'withheld' ELSE 'trainable' END AS part, count(*) AS n_rows,
+    count(*) FILTER (NOT pooled AND (member OR withheld)) AS n_by_composition FROM hd GROUP BY 1""")
+def _partition(spark, sf):
+    """What training may see and what it may not; rows withheld for their composition alone."""
+    trainable, withheld = L.partition_training(flagged(spark, sf))
+    both = trainable.withColumn("part", F.lit("trainable")).unionByName(withheld.withColumn("part", F.lit("withheld")))
+    composed = (F.col("entity_pool") != "sealed") & F.col("holdout")
+    return both.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(composed.cast("long")).alias("n_by_composition"))
 
 
 @query("label_time_audit", f"""WITH {WON_SQL}, x AS (SELECT *, ts > 8e8 AND a > 9.5e8 + 1e-6 AS late FROM res)

@@ -8,7 +8,7 @@ from tidemark.operators import loop as L
 from tidemark.queries.metrics import wilson_sql
 from tidemark.queries.registry import query, rounded, split_columns, table
 from tidemark.queries.scored import SCORED_SQL, scored
-from tidemark.queries.standin import payments
+from tidemark.queries.standin import payments, payments_sql
 
 c = F.col
 
@@ -83,12 +83,46 @@ def _escapes(spark, sf):
     return L.escapes_by_cell(rows)
 
 
-@query("escape_region")
+_REGION = ("device_age_days", "amount_log", "sms_silence_window_minutes", "merchant_age_days")
+
+
+def _region_sql() -> str:
+    """One round after the other: all cuts of all features not used yet, the best of them, the rows on its side."""
+    least = L.MIN_ESCAPES
+    out = [payments_sql("oracle_is_attack", "device_age_days", "amount_inr", "sms_silence_window_minutes", "merchant_age_days"),
+           f"""g0 AS (SELECT ln(1 + amount_inr) AS amount_log, device_age_days, sms_silence_window_minutes, merchant_age_days, '' AS used,
+      (device_age_days < 8 AND amount_inr < 5000) OR sms_silence_window_minutes > 90 AS escaped FROM pay WHERE oracle_is_attack)"""]
+    for k in range(1, L.MAX_CONJUNCTS + 1):
+        g = f"g{k - 1}"
+        long = " UNION ALL ".join(f"SELECT '{f}' AS feature, {i} AS r, {f} AS v, escaped FROM {g} WHERE NOT contains(used, '{f}')" for i, f in enumerate(_REGION))
+        pick = " ".join(f"WHEN '{f}' THEN {f}" for f in _REGION)
+        out += [
+            f"n{k} AS (SELECT count(*) AS n, count(*) FILTER (escaped) AS e FROM {g})",
+            f"l{k} AS ({long})",
+            f"t{k} AS (SELECT DISTINCT feature, r, unnest(q) AS t FROM (SELECT feature, r, quantile_cont(v, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM l{k} WHERE v > -1 GROUP BY feature, r HAVING count(*) >= {least}))",
+            f"c{k} AS (SELECT feature, r, t, count(*) FILTER (v <= t) AS nl, count(*) FILTER (v <= t AND escaped) AS el FROM t{k} JOIN l{k} USING (feature, r) GROUP BY ALL)",
+            f"""s{k} AS (SELECT feature, r, t, nl, el, n - nl AS nr, e - el AS er, n, e, 2 * (e / n) * (1 - e / n) AS whole FROM c{k}, n{k}
+      WHERE nl >= {least} AND n - nl >= {least} AND e >= {least} AND n >= {2 * least})""",
+            f"""b{k} AS (SELECT feature, t, el / nl >= er / nr AS low, CASE WHEN el / nl >= er / nr THEN el ELSE er END AS inside,
+      round(whole - (nl / n * 2 * (el / nl) * (1 - el / nl) + nr / n * 2 * (er / nr) * (1 - er / nr)), 12) AS gain FROM s{k} ORDER BY gain DESC, r, t LIMIT 1)""",
+            f"w{k} AS (SELECT * FROM b{k} WHERE gain > 1e-6 AND inside >= {least})",
+            f"""g{k} AS (SELECT {g}.* REPLACE (used || coalesce(' ' || feature, '') AS used) FROM {g} LEFT JOIN w{k} ON TRUE
+      WHERE feature IS NULL OR (CASE feature {pick} END <= t) = low)"""]
+    won = " UNION ALL ".join(f"SELECT {k - 1} AS position, feature, CASE WHEN low THEN 'at_most' ELSE 'above' END AS side, t AS threshold FROM w{k}" for k in range(1, L.MAX_CONJUNCTS + 1))
+    last = f"g{L.MAX_CONJUNCTS}"
+    return f"""WITH {', '.join(out)}, won AS ({won})
+    SELECT CAST(position AS INTEGER) AS position, feature, side, round(threshold, 6) + 0e0 AS threshold, n1.n AS n_rows, n1.e AS n_escapes, (SELECT count(*) FROM {last}) AS inside,
+      (SELECT count(*) FILTER (escaped) FROM {last}) AS inside_escapes FROM won, n1"""
+
+
+@query("escape_region", _region_sql())
 def _region(spark, sf):
-    """Where attacks with a young device and a small amount get through."""
+    """Where attacks with a young device and a small amount get through: one row per bound of the region."""
     rows = payments(spark, sf).filter("oracle_is_attack").withColumns({
         "amount_log": F.log1p("amount_inr"), "escaped": (c("device_age_days") < 8) & (c("amount_inr") < 5000) | (c("sms_silence_window_minutes") > 90)})
-    return L.mine_escape_region(rows, ["device_age_days", "amount_log", "sms_silence_window_minutes", "merchant_age_days"])
+    found = L.mine_escape_region(rows, list(_REGION))
+    flat = found.select(F.posexplode("bounds").alias("position", "b"), "n_rows", "n_escapes", "inside", "inside_escapes")
+    return rounded(flat.select("position", "b.feature", "b.side", "b.threshold", "n_rows", "n_escapes", "inside", "inside_escapes"))
 
 
 _u12, _unb = wilson_sql("a12", "n12")[1], wilson_sql("afz", "nb")[1]

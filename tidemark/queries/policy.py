@@ -298,6 +298,31 @@ def _kill_switch(spark, sf):
     return out.select("event_id", c("score").cast("double").alias("score"), "band", F.concat_ws(",", "reason_codes").alias("codes"))
 
 
+# What a reviewer reads next to a code.
+_TEXTS = {
+    "GB_IN_OUT_SKEW": "Nearly all that comes in goes out again.", "GB_SHORT_DWELL": "Money leaves within minutes.",
+    "GB_PAYER_FANIN": "Many payers on a new account.", "GB_YOUNG_BENEFICIARY": "The account is less than two days old.",
+    "GB_FIRST_CREDIT_CONCENTRATION": "First credits come from one source.", "GB_EXCHANGE_PRIOR": "Reported by another member.",
+}
+
+
+@query("explained_codes", f"""WITH {_BASE}, a AS (SELECT event_id, list_concat(own, CASE WHEN exchange_prior > 0 THEN ['GB_EXCHANGE_PRIOR'] ELSE [] END) AS codes FROM b3 WHERE action <> 'approve'),
+    u AS (SELECT event_id, codes, unnest(range(len(codes))) AS position FROM a), x AS (SELECT event_id, CAST(position AS INTEGER) AS position, codes[position + 1] AS code FROM u)
+    SELECT event_id, position, code, CASE code {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _TEXTS.items())} END AS text FROM x""")
+def _explained(spark, sf):
+    """Each code of a decision with its text; a code without one keeps a null."""
+    texts = spark.createDataFrame(list(_TEXTS.items()), "code string, text string")
+    return P.explain_codes(decided(spark, sf), "reason_codes", texts).select("event_id", "position", "code", "text")
+
+
+@query("exchange_saturation", f"""WITH {payments_sql("beneficiary_id", "oracle_is_attack")}, n AS (SELECT count(DISTINCT beneficiary_id) AS n_ids FROM pay WHERE oracle_is_attack AND beneficiary_id <> '')
+    SELECT n_ids, round(CASE WHEN n_ids > 0 THEN pow(1 - exp(-{B.HASHES} * n_ids / {B.BITS}.0), {B.HASHES}) ELSE 0 END, 15) + 0e0 AS expected_false_positive_rate FROM n""")
+def _saturation(spark, sf):
+    """Ids in the exchange and the share of strangers it is expected to take for one of them."""
+    ids = payments(spark, sf).filter("oracle_is_attack AND beneficiary_id <> ''").agg(F.countDistinct("beneficiary_id").alias("n_ids"))
+    return rounded(ids.withColumn("expected_false_positive_rate", B.expected_false_positive_rate(c("n_ids"))), 15)
+
+
 @query("reason_vocabulary", f"WITH {_BASE}, u AS (SELECT unnest(own) AS code FROM b3 WHERE action <> 'approve') SELECT code, count(*) AS n FROM u WHERE code IN ('GB_NAME_MISMATCH', 'GB_SHORT_DWELL') GROUP BY code")
 def _vocabulary(spark, sf):
     """Codes outside a vocabulary that lacks two of them on purpose."""

@@ -9,8 +9,9 @@ from tidemark.operators import features as FE
 from tidemark.operators import gbdt as G
 from tidemark.operators import metrics as M
 from tidemark.operators import scores as SC
+from tidemark.operators.labels import maturity_weight
 from tidemark.plans.cut import cut
-from tidemark.queries.features import prepared, stats_for
+from tidemark.queries.features import BATCH_CTES, PAY, prepared, stats_for
 from tidemark.queries.registry import query, rounded, table
 from tidemark.queries.scored import SCORED_SQL, scored
 from tidemark.queries.standin import payments, payments_sql
@@ -130,11 +131,33 @@ def _price(spark, sf):
 _BATCH = FE.onboarding_batches
 
 
-@query("cohort_batch_score")
+_BATCH_VALUES = {"onboarding_batch_timing_cluster": "timing", "device_os_entropy_collapse": "1 - ent", "asn_reuse_rate": "asn", "name_ngram_unlikelihood": "ngram",
+                 "address_geocode_density": "dens", "first_credit_source_concentration_batch": "hhi", "batch_kyc_tier_uniformity": "tier_share"}
+_EDGE = ", ".join(f"CASE WHEN count(*) FILTER ({n} > -1) >= 20 THEN quantile_cont({n}, {[i / 100 for i in range(101)]}) FILTER ({n} > -1) END AS q_{n}" for n in SC.COHORT_WEIGHTS)
+_PART = " + ".join(f"CASE WHEN {n} > -1 AND q_{n} IS NOT NULL THEN {w} * least(len(list_filter(q_{n}, lambda e: e < {n})) / 100, 1) ELSE 0 END" for n, w in SC.COHORT_WEIGHTS.items())
+
+
+@query("cohort_batch_score", f"""WITH {PAY}, {', '.join(BATCH_CTES)}, bt AS (SELECT g.onboarding_batch_id, {', '.join(f"round({x}, 9) AS {n}" for n, x in _BATCH_VALUES.items())}
+      FROM g JOIN e USING (onboarding_batch_id) JOIN f USING (onboarding_batch_id) JOIN k USING (onboarding_batch_id)), ed AS (SELECT {_EDGE} FROM bt)
+    SELECT onboarding_batch_id AS event_id, round(({_PART}) / {sum(SC.COHORT_WEIGHTS.values())}, 6) + 0e0 AS cohort_score FROM bt, ed""")
 def _cohort_score(spark, sf):
     """Cohort risk of each onboarding batch against edges fitted on every batch."""
-    batches = _BATCH(prepared(spark, sf)).withColumnRenamed("onboarding_batch_id", "event_id")
-    return SC.cohort_score(batches, SC.fit_cohort_edges(batches)).select("event_id", "cohort_score")
+    batches = rounded(_BATCH(prepared(spark, sf)).withColumnRenamed("onboarding_batch_id", "event_id"), 9)
+    return rounded(SC.cohort_score(batches, SC.fit_cohort_edges(batches)).select("event_id", "cohort_score"))
+
+
+_WEIGHT_T = 1_712_000_000.0
+
+
+@query("combined_weights", f"""WITH {payments_sql("incumbent_accept_probability", "incumbent_decision", "dispute_filed_ts")}, w AS (SELECT event_id,
+      least(greatest(CASE WHEN incumbent_decision <> 'decline' AND incumbent_accept_probability > 0 AND incumbent_accept_probability <= 1 THEN 1 / incumbent_accept_probability ELSE 1 END, 0.05), 20) AS ipw,
+      CASE WHEN dispute_filed_ts > 0 THEN 0.25 + 0.75 * greatest(least(({_WEIGHT_T} - ts) / 86400 / 120, 1), 0) ELSE 0 END AS maturity FROM pay)
+    SELECT event_id, round(ipw * CASE WHEN maturity > 0 THEN maturity ELSE 1 END, 6) + 0e0 AS weight FROM w""")
+def _combined(spark, sf):
+    """Sample weights: inverse accept probability times how settled the label is; events without a label keep the first."""
+    ipw = SC.ipw_weight(c("incumbent_accept_probability"), c("incumbent_decision") == "decline")
+    settled = maturity_weight(c("ts"), c("dispute_filed_ts"), _WEIGHT_T)
+    return rounded(payments(spark, sf).select("event_id", SC.combined_weight(ipw, settled).alias("weight")))
 
 
 _SHAPES = {

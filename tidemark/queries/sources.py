@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.queries.labels import LABELS_SQL, labels
 from tidemark.queries.registry import query
 from tidemark.queries.standin import payments, payments_sql
 from tidemark.schema import EVENT_SCHEMA, nullify, strip_oracle
@@ -48,3 +49,11 @@ def _nullify(spark, sf):
 def _strip(spark, sf):
     df = strip_oracle(payments(spark, sf))
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+
+
+@query("label_table_round_trip", f"WITH {LABELS_SQL} SELECT 'e' || event_id AS event_id, channel, as_of_ts, CAST(label AS BIGINT) AS label, poisoned FROM lab WHERE channel = 'chargeback'")
+def _label_round_trip(spark, sf):
+    """Write the label table with its schema asserted, read it back with a filter that reaches the scan."""
+    path = scratch(spark)
+    T.write_labels(labels(spark, sf).withColumn("event_id", F.concat(F.lit("e"), F.col("event_id").cast("string"))), path)
+    return T.read_labels(spark, path).filter("channel = 'chargeback'")
