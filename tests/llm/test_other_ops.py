@@ -323,3 +323,32 @@ def test_names_that_mislead():
     assert "x + y" in html.main_text(f"<article>{body}<p>where <math><mi>x</mi> + <mi>y</mi></math> is the whole sum of both.</p></article>").replace("  ", " ")
     rows = "".join(f"<tr><td>{sentence(4, k)}</td><td>{sentence(5, 50 + k)}</td></tr>" for k in range(3))
     assert html.main_text(f"<article>{body}<table>{rows}</table></article>").count("\n") == 8
+
+
+@pytest.mark.parametrize("target", [None, "4"])
+def test_dealt_buckets_bring_every_pair_together_once(spark, target):
+    """Whatever the parts: each pair of a bucket is to be compared in exactly one item, and buckets of one row have none."""
+    from itertools import combinations
+
+    from tidemark.llm.simhash import chunked
+
+    members = [(b, 10 * b + k) for b, n in ((1, 1), (2, 2), (3, 3), (4, 9), (50, 40)) for k in range(n)]
+    if target:
+        spark.conf.set("spark.tidemark.blocks.targetRows", target)
+    try:
+        rows = spark.createDataFrame(members, "bucket long, fp long")
+        got = chunked(rows, "bucket", "fp", 3).collect()
+        assert chunked(rows.limit(0), "bucket", "fp", 3).count() == 0
+    finally:
+        spark.conf.unset("spark.tidemark.blocks.targetRows")
+    items = {}
+    for r in got:
+        items.setdefault((r["bucket"], r["item"]), []).append(r)
+    pairs = []
+    for (bucket, _), here in items.items():
+        assert len({r["across"] for r in here}) == 1
+        pairs += [(bucket, *sorted((x["fp"], y["fp"]))) for x, y in combinations(here, 2) if not x["across"] or x["part"] != y["part"]]
+    by = {}
+    for b, m in members:
+        by.setdefault(b, []).append(m)
+    assert sorted(pairs) == sorted((b, x, y) for b, ms in by.items() for x, y in combinations(ms, 2))

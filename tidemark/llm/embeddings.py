@@ -58,16 +58,17 @@ def hash_cells(units: np.ndarray, size: np.ndarray, tables: int, projections: in
     return out
 
 
-def linked_pairs(units: np.ndarray, group: np.ndarray, part: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of a group with cosine >= least; where a group has two parts, only pairs across them."""
+def linked_pairs(units: np.ndarray, group: np.ndarray, part: np.ndarray, across: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j of a group with cosine >= least; in a group of two parts (``across``) only pairs across them."""
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.append(first, len(group)))
-    mixed = np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
+    mixed = across[first]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for k in np.flatnonzero(size > _SMALL):
         lo, hi = first[k], first[k] + size[k]
         if mixed[k]:
-            a, b = (lo + np.flatnonzero(part[lo:hi] == p) for p in np.unique(part[lo:hi]))
+            one = part[lo:hi] == part[lo]
+            a, b = lo + np.flatnonzero(one), lo + np.flatnonzero(~one)  # a part can be empty
             i, j = np.nonzero(units[a] @ units[b].T >= least)
             found.append((np.minimum(a[i], b[j]), np.maximum(a[i], b[j])))
         else:
@@ -115,7 +116,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, ["bucket", "item"], 1 << 14):
-            i, j = linked_pairs(unit_rows(part.column("embedding")), group_numbers(part, ["bucket", "item"]), part.column("part").to_numpy(), cosine)
+            i, j = linked_pairs(unit_rows(part.column("embedding")), group_numbers(part, ["bucket", "item"]), part.column("part").to_numpy(),
+                                part.column("across").to_numpy(zero_copy_only=False), cosine)
             cells = part.column("cells").combine_chunks().flatten().to_numpy().reshape(-1, tables)
             earlier = np.arange(tables)[None, :] < part.column("table").to_numpy()[i][:, None]
             new = ~((cells[i] == cells[j]) & earlier).any(axis=1)
@@ -127,7 +129,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(value[at]), pa.array(n[at].astype(np.int64)), pa.array(value[root[at]])], names=["class", "links", "root"])
 
-    links = written(work.select("class", "table", "bucket", "item", "part", "embedding", "size", "cells").mapInArrow(check, "class long, links long, root long"))
+    links = written(work.select("class", "table", "bucket", "item", "part", "across", "embedding", "size", "cells").mapInArrow(check, "class long, links long, root long"))
     count = links.groupBy("class").agg(F.sum("links").alias("links"))
     group = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
     named = classes.select("class", "least", "size", "embedding").join(count, "class", "left").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn(

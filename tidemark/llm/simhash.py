@@ -9,8 +9,8 @@ differ by more than the radius cannot link; such pairs are discarded coordinate
 survivors are verified bit by bit.  Each task returns a spanning forest of what it verified instead of
 its pairs, so a group of copies costs rows in proportion to its size.
 
-Exact copies meet as one row per fingerprint.  A bucket above ``chunk`` rows is cut, in fingerprint
-order, into chunks; every pair of chunks is a work item of its own, so no task holds a whole bucket.
+Exact copies meet as one row per fingerprint.  A bucket above ``chunk`` rows is dealt by hash to parts;
+every pair of parts is a work item of its own, so no task holds a whole bucket.
 
 Edge cases: null and empty texts and texts of spaces have fingerprint zero and link like any other;
 repeated rows come back as often as they were given; null doc_ids never become a component's name
@@ -24,10 +24,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, slices, written
+from tidemark.plans.blocks import target_rows
 from tidemark.plans.components import components
 
 SHINGLE, RADIUS, BLOCKS, PIVOTS, CHUNK = 4, 4, 7, 16, 2048
@@ -154,21 +155,27 @@ def group_numbers(table: pa.Table, by: list[str]) -> np.ndarray:
     return np.cumsum(np.logical_or.reduce([np.r_[True, k[1:] != k[:-1]] for k in keys])) - 1
 
 
-def chunked(rows: DataFrame, bucket: str, order: str, chunk: int) -> DataFrame:
+def chunked(rows: DataFrame, bucket: str, member: str, chunk: int) -> DataFrame:
     """Rows of buckets of two or more, once per work item (``bucket``, ``item``) they take part in.
 
-    A bucket of up to ``chunk`` rows is one item.  A larger one is cut in order into c chunks and has an
-    item per pair of chunks, so each of its rows is in c items; ``part`` is the row's chunk.
+    A bucket of up to ``chunk`` rows is one item.  The rows of a larger one are dealt by a hash of ``member`` to c parts
+    of about ``chunk`` rows and there is an item per pair of parts, so each row is in c items; ``part`` is the row's
+    part, and ``across`` says that the item is of two parts, whose rows are only to be compared with the other's.
+
+    Sizes come from a count that starts in the tasks and go back to the rows in a join that is salted for buckets of
+    more rows than one task should get; no task ever holds or sorts a bucket.
     """
-    w = Window.partitionBy(bucket)
-    numbered = rows.withColumn("n", F.count(F.lit(1)).over(w)).filter("n > 1").withColumn(
-        "at", F.row_number().over(w.orderBy(order)))
-    per = F.expr(f"cast(ceil(n / {chunk}) as int)")
-    part = F.expr(f"cast(floor((at - 1) / {chunk}) as int)")
-    cut = numbered.withColumn("per", per).withColumn("part", part)
-    items = F.when(F.col("per") == 1, F.array(F.lit(0))).otherwise(
-        F.expr("transform(sequence(0, per - 1), o -> least(o, part) * per + greatest(o, part))"))
-    return cut.withColumn("item", F.explode(items)).drop("n", "at", "per")
+    target = target_rows(rows.sparkSession)
+    sizes = written(rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")).withColumn("salts", F.ceil(F.col("n") / target))
+    hot = sizes.filter("salts > 1").select(bucket, F.col("salts").alias("of"))  # fewer than rows / target
+    salted = rows.join(F.broadcast(hot), bucket, "left").withColumn(
+        "salt", F.pmod(F.xxhash64(member, F.lit(1)), F.coalesce("of", F.lit(1))))
+    spread = sizes.select(bucket, "n", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
+    cut = salted.join(spread, [bucket, "salt"]).withColumn("per", F.expr(f"cast(ceil(n / {chunk}) as int)")).withColumn(
+        "part", F.pmod(F.xxhash64(member, F.lit(2)), F.col("per")).cast("int"))
+    items = F.transform(F.sequence(F.lit(0), F.col("per") - 1), lambda o: F.struct(
+        (F.least(o, F.col("part")) * F.col("per") + F.greatest(o, F.col("part"))).alias("item"), (o != F.col("part")).alias("across")))
+    return cut.select(*rows.columns, "part", F.inline(items))
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
