@@ -73,3 +73,23 @@ def test_no_forbidden_calls():
     for f in root.rglob("*.py"):
         text = f.read_text()
         assert not re.search(r"localCheckpoint|toPandas|\.rdd\b(?!\.getNumPartitions)", text), f
+
+
+def test_holdouts_in_name_only_are_told(spark):
+    space = X.raw_space(spark).filter("ACCESS = 'stolen-credential' AND RAIL IN ('aeps-microatm', 'card-cnp-3ds')")
+    arm = f"EVASION={X.WITHHELD_EVASION}"
+    full = {r["arm"]: r for r in X.sealed_audit(space, space.limit(0)).collect()}
+    assert set(full) == {*X.SEALED, arm}
+    assert full["SEALED-01"]["n_members"] > 0 and full["SEALED-01"]["problem"] == ""
+    assert full["SEALED-05"]["n_members"] == 0 and full["SEALED-05"]["problem"] == "no legal member"
+    assert full[arm]["problem"] == "no seed uses the withheld value"
+    none = X.sealed_audit(space.limit(0), space.limit(0)).collect()
+    assert {r["problem"] for r in none} == {"no legal member"} and len(none) == 13
+
+
+def test_reasons_name_every_broken_constraint(spark):
+    rows = X.raw_space(spark).limit(500).withColumn("id", F.to_json(F.struct(*X.SLOT_ORDER)))
+    told = X.explain_violations(rows, "id").collect()
+    broken = {(r["id"], i) for r in X.violations(rows).collect() for i in r["violated"]}
+    assert {(r["id"], r["constraint_id"]) for r in told} == broken and len(told) == len(broken)
+    assert all(", found " in r["reason"] for r in told)
