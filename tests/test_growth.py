@@ -6,7 +6,10 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import features as FE
+from tidemark.operators import kernels as K
 from tidemark.operators import metrics as M
+from tidemark.schema import complete
 
 
 def test_bootstrap_hashes_once_per_draw_and_draws_once(spark, monkeypatch):
@@ -28,3 +31,16 @@ def test_bootstrap_hashes_once_per_draw_and_draws_once(spark, monkeypatch):
         turns = [(k, unit, n // unit % 16) for k, unit in enumerate((1, 16, 256))]
         want = sum(draw(unit, f"t|{k}|{i}") for k, unit, d in turns for i in range(1, d + 1))
         assert spark.range(1).select(M.resampled(F.lit(n), F.lit("t"))).first()[0] == want
+
+
+def test_many_frames_meet_in_written_tables(spark, monkeypatch):
+    names = ["device_churn_30d", "lite_debits_since_topup_24h", "sketch_device_shared_entity_count", "is_first_event_for_entity", "merchant_volume_delta_in_cell"]
+    rows = complete(spark.range(60).selectExpr("concat('e', id) AS event_id", "cast(id div 3 as double) * 3600 AS ts", "0L AS day_index", "0D AS hour_ist", "0L AS dow",
+                                               "'upi-lite-offline' AS rail", "'lite_debit' AS message_kind", "'A' AS tier", "10D AS amount_inr", "concat('c', id % 4) AS cardholder_id",
+                                               "concat('d', id % 7) AS device_fingerprint_id", "concat('g', id % 3) AS geo_cell"))
+    one = FE.build_features(K.keyed(rows), None, names)
+    monkeypatch.setattr(FE, "MEET", 2)
+    met = FE.build_features(K.keyed(rows), None, names)
+    assert sorted(met.collect()) == sorted(one.collect())
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
+    assert joins(met) <= 2 < joins(one)  # the frames of a whole view do not share one stage
