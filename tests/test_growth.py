@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from tidemark.operators import features as FE
 from tidemark.operators import kernels as K
 from tidemark.operators import metrics as M
+from tidemark.queries import streams as QS
 from tidemark.schema import complete
+from tidemark.sources.replay import ReplayReader, prepare, replay
+from tidemark.streaming import keyed as KS
 
 
 def test_bootstrap_hashes_once_per_draw_and_draws_once(spark, monkeypatch):
@@ -44,3 +47,32 @@ def test_many_frames_meet_in_written_tables(spark, monkeypatch):
     assert sorted(met.collect()) == sorted(one.collect())
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
     assert joins(met) <= 2 < joins(one)  # the frames of a whole view do not share one stage
+
+
+def test_streams_commit_a_state_store_per_core(spark, tmp_path):
+    folder = prepare(spark.range(40).selectExpr("id AS event_id", "cast(id as double) AS ts"), f"{tmp_path}/ordered", files=2)
+    stream = replay(spark, folder, spark.read.parquet(f"{folder}/rows").schema, 20)
+    counted = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 second").groupBy(F.window("at", "10 seconds")).count()
+    spark.conf.set(KS.PARTITIONS_CONF, "64")
+    try:
+        KS.run_batches(counted.select("count"), f"{tmp_path}/out")
+        assert spark.conf.get(KS.PARTITIONS_CONF) == "64"
+    finally:
+        spark.conf.set(KS.PARTITIONS_CONF, "8")
+    stores = [p for p in (tmp_path / "out" / "progress" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(stores) <= max(KS.LEAST_PARTITIONS, spark.sparkContext.defaultParallelism)
+
+
+def test_micro_batches_are_bounded_in_number_and_read_by_all_cores(spark, tmp_path, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(QS, "ROWS_PER_BATCH", 100)
+    seen = {}
+    monkeypatch.setattr(QS, "replay", lambda s, folder, schema, n, order: seen.setdefault(folder, n))
+    few, many = (spark.range(n).selectExpr("id AS event_id", "cast(id as double) AS ts") for n in (1200 * cores, 3600 * cores))
+    QS.replayed_together(spark, (many, ["ts", "event_id"]), (few, ["ts", "event_id"]))
+    assert sorted(seen.values()) == [1200 * cores // 36, 100 * cores]  # as many batches each, of at most 100 rows a core
+    folder = prepare(spark.range(100_000).selectExpr("id AS event_id", "cast(id as double) AS ts"), f"{tmp_path}/ordered", files=1)
+    reader = ReplayReader({"path": folder, "rowsperbatch": "64000", "order": "ts,event_id", "progress": f"{tmp_path}/p", "slices": "4"}, ["event_id", "ts"])
+    parts = reader.partitions({"rows": 1000}, {"rows": 65_000})
+    assert len(parts) == 4 and [p.last - p.first for p in parts] == [16_000] * 4
+    assert [x for p in parts for b in reader.read(p) for x in b.column("event_id").to_pylist()] == list(range(1000, 65_000))

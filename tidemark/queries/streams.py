@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.queries.registry import epoch_us, query, rounded, table
 from tidemark.queries.standin import COLUMNS, payments, payments_sql
 from tidemark.schema import complete
-from tidemark.sources.replay import ROWS_PER_BATCH, prepare, replay
+from tidemark.sources.replay import ROWS_PER_BATCH, prepare, prepared_rows, replay
 from tidemark.queries.labels import _RANK, LABELS_SQL, labels
 from tidemark.streaming import keyed as K
 from tidemark.streaming import label_store as S
@@ -20,10 +20,17 @@ END_ID, END_US = 9_000_000_000_000_000, 4_102_444_800_000_000
 BATCHES = 11
 
 
+def replayed_together(spark, *tables):
+    """Tables (rows, order) as ordered streams of as many micro-batches, eleven or more, none of over ``ROWS_PER_BATCH`` rows a core."""
+    folders = [prepare(rows, W.scratch(spark), order) for rows, order in tables]
+    counts = [prepared_rows(spark, f) for f in folders]
+    batches = max(BATCHES, -(-max(counts) // (ROWS_PER_BATCH * spark.sparkContext.defaultParallelism)))
+    return [replay(spark, f, rows.schema, max(1, n // batches), order) for f, n, (rows, order) in zip(folders, counts, tables, strict=True)]
+
+
 def replayed(spark, rows, order):
     """The rows as an ordered stream of eleven or more micro-batches; more where a batch would be too large."""
-    folder = prepare(rows, W.scratch(spark), order)
-    return replay(spark, folder, rows.schema, max(1, min(ROWS_PER_BATCH, rows.count() // BATCHES)), order)
+    return replayed_together(spark, (rows, order))[0]
 
 
 def with_end(rows, end):
@@ -155,7 +162,8 @@ def _late(spark, sf):
     events = with_end(orders.select(c("o_orderkey").alias("event_id"), ts.alias("ts")), end(0, "ts"))
     labels = with_end(orders.filter("o_orderkey % 3 = 0").select(
         c("o_orderkey").alias("event_id"), (ts + 21_600).alias("as_of_ts"), F.lit("analyst").alias("channel"), (c("o_orderkey") % 2).alias("label")), end(1, "as_of_ts"))
-    out = K.run_batches(W.late_labels(replayed(spark, events, ["ts", "event_id"]), replayed(spark, labels, ["as_of_ts", "event_id"])), W.scratch(spark))
+    streams = replayed_together(spark, (events, ["ts", "event_id"]), (labels, ["as_of_ts", "event_id"]))  # the watermark is the slower one's
+    out = K.run_batches(W.late_labels(*streams), W.scratch(spark))
     return out.filter(c("event_id") < END_ID).select("event_id", "channel")
 
 
@@ -165,7 +173,9 @@ def _snapshot(spark, sf):
     """Labels replayed in order of arrival, merged micro-batch by micro-batch; the last batch is delivered twice."""
     folder, work = W.scratch(spark), W.scratch(spark)
     rows = labels(spark, sf).select("event_id", "channel", "as_of_ts", "label")
-    query_ = S.keep_labels(replayed(spark, rows, ["as_of_ts", "event_id", "channel"]), folder, work)
+    stream = replayed(spark, rows, ["as_of_ts", "event_id", "channel"])
+    with K.stream_settings(spark):
+        query_ = S.keep_labels(stream, folder, work)
     query_.processAllAvailable()
     query_.stop()
     S.upsert(rows.limit(0), folder, 0)  # a number that is taken changes nothing

@@ -2,8 +2,8 @@
 
 ``prepare`` sorts the table into range-partitioned Parquet files and writes an index: one row per file with its bounds and
 rows.  The stream reader's offset is the last (ts, event_id) handed out and how many rows that is; a micro-batch is the
-next ``rows_per_batch`` rows, read as row ranges of files by the executors.  The driver reads the index and, for an offset,
-the two key columns of one row group.
+next ``rows_per_batch`` rows, read as row ranges of files by the executors, ``slices`` ranges or few more; row groups are small, so a
+range decodes little besides its own rows.  The driver reads the index and, for an offset, the two key columns of one row group.
 
 The folder must be a place that both Spark and Arrow's file systems can open.  Where an application restarts, the reader goes on
 after the last offset it handed out, kept under ``progress``; had that offset not reached the query's own
@@ -26,13 +26,14 @@ from tidemark.plans.workers import package_on_path
 
 FORMAT = "ordered_replay"
 ROWS_PER_BATCH = 100_000
+GROUP_BYTES, LEAST_SLICE = 4 << 20, 4096  # of a row group; rows of a range worth a task
 
 
 def prepare(events: DataFrame, folder: str, order: Sequence[str] = ("ts", "event_id"), files: int | None = None) -> str:
     """Write the table in order, with its index, under the folder; ``order`` is the time and a unique id, neither null."""
     spark = events.sparkSession
     ranged = events.repartitionByRange(files, *order) if files else events.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*order).write.parquet(f"{folder}/rows")
+    ranged.sortWithinPartitions(*order).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{folder}/rows")
     rows = spark.read.schema(events.schema).parquet(f"{folder}/rows")
     key = F.struct(*order)
     index = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
@@ -45,9 +46,15 @@ def replay(spark: SparkSession, folder: str, schema: StructType, rows_per_batch:
     package_on_path(spark)
     spark.dataSource.register(OrderedReplay)
     reader = spark.readStream.format(FORMAT).schema(schema).option("path", folder).option("rowsPerBatch", rows_per_batch).option("order", ",".join(order))
+    reader = reader.option("slices", spark.sparkContext.defaultParallelism)
     return reader.option("progress", progress or f"{folder}/progress-{uuid.uuid4().hex}").load()
 
 
+def prepared_rows(spark: SparkSession, folder: str) -> int:
+    """The rows of a prepared table, from its index."""
+    return spark.read.parquet(f"{folder}/index").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 @dataclass
 class Rows(InputPartition):
     """A range of rows of one file."""
@@ -81,7 +88,7 @@ class ReplayReader(DataSourceStreamReader):
         self.names, self.per_batch = names, int(options["rowsperbatch"])
         if self.per_batch < 1:
             raise ValueError("rowsPerBatch must be positive")
-        self.order, self.progress = options["order"].split(","), options["progress"]
+        self.order, self.progress, self.slices = options["order"].split(","), options["progress"], int(options.get("slices", 1))
         system, path = _place(options["path"])
         held = pq.read_table(f"{path}/index", filesystem=system).to_pylist()
         held.sort(key=lambda r: tuple(r["low"].values()))
@@ -111,11 +118,11 @@ class ReplayReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         first, last = int(start["rows"]), int(end["rows"])
         self.at = max(self.at or 0, last)
-        out = []
+        out, step = [], max(LEAST_SLICE, -(-(last - first) // self.slices))
         for k, file in enumerate(self.files):
             low, high = self.start[k], self.start[k + 1] if k + 1 < len(self.files) else self.total
-            if low < last and high > first:
-                out.append(Rows(file, max(first, low) - low, min(last, high) - low))
+            begin, end = max(first, low), min(last, high)
+            out += [Rows(file, at - low, min(at + step, end) - low) for at in range(begin, end, step)]
         return out
 
     def _offset(self, rows: int) -> dict:
