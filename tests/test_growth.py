@@ -13,6 +13,7 @@ from tidemark.queries import streams as QS
 from tidemark.schema import complete
 from tidemark.sources.replay import ReplayReader, prepare, replay
 from tidemark.streaming import keyed as KS
+from tidemark.streaming import label_store as LS
 
 
 def test_bootstrap_hashes_once_per_draw_and_draws_once(spark, monkeypatch):
@@ -76,3 +77,15 @@ def test_micro_batches_are_bounded_in_number_and_read_by_all_cores(spark, tmp_pa
     parts = reader.partitions({"rows": 1000}, {"rows": 65_000})
     assert len(parts) == 4 and [p.last - p.first for p in parts] == [16_000] * 4
     assert [x for p in parts for b in reader.read(p) for x in b.column("event_id").to_pylist()] == list(range(1000, 65_000))
+
+
+def test_a_label_is_rewritten_a_few_times_whatever_the_batches(spark, tmp_path):
+    folder, batches = f"{tmp_path}/snap", 16
+    for k in range(batches):
+        batch = spark.range(k * 10, k * 10 + 20).selectExpr("concat('e', id) AS event_id", "'analyst' AS channel", f"{k}D AS as_of_ts", f"{k % 2}L AS label")
+        assert LS.upsert(batch.coalesce(1), folder, k, parts=1)
+    put = sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "snap").iterdir() if p.name.startswith("batch-"))
+    assert put <= 800  # 1,520 where every batch writes the whole part
+    held = {r["event_id"]: (r["as_of"], r["label"], r["disagree"]) for r in LS.resolved(LS.snapshot(spark, folder)).collect()}
+    assert len(held) == 170 and held["e0"] == (0.0, 0, False) and held["e169"] == (15.0, 1, False) and held["e35"] == (3.0, 1, True)
+    assert LS.snapshot(spark, folder, 4).count() == 50
