@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import composition as X
 from tidemark.operators import features as FE
 from tidemark.operators import kernels as K
 from tidemark.operators import metrics as M
@@ -89,3 +90,32 @@ def test_a_label_is_rewritten_a_few_times_whatever_the_batches(spark, tmp_path):
     held = {r["event_id"]: (r["as_of"], r["label"], r["disagree"]) for r in LS.resolved(LS.snapshot(spark, folder)).collect()}
     assert len(held) == 170 and held["e0"] == (0.0, 0, False) and held["e169"] == (15.0, 1, False) and held["e35"] == (3.0, 1, True)
     assert LS.snapshot(spark, folder, 4).count() == 50
+
+
+def test_one_slot_changes_are_judged_in_the_row(spark):
+    i = F.col("id")
+    slots = [F.when(i % 31 == k, None).otherwise(F.element_at(F.array(*[F.lit(v) for v in X.SLOTS[s]]), (i * (2 * k + 3) % len(X.SLOTS[s]) + 1).cast("int"))).alias(s) for k, s in enumerate(X.SLOT_ORDER)]
+    rows = spark.range(600).select((i % 590).alias("id"), *slots, (i % 4 + 1).alias("n_stages"))  # ten ids come twice, some slots are missing
+    changed = X.violations(X.variants(rows)).filter("size(violated) = 0")
+    want = changed.groupBy("id", "slot").agg(F.array_sort(F.collect_set("value")).alias("legal_values"))
+    got = X.legal_values(rows, "id")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and plan.count("Generate") == 1  # rows meet before they become one a slot
+    as_rows = lambda df: sorted(map(str, df.collect()))
+    assert as_rows(got.select("id", "slot", "legal_values")) == as_rows(want)
+
+    moved = changed.filter("value != was")
+    before = X.with_axes(rows).select("id", F.concat_ws("|", "rail_class", "locus", "evasion").alias("before"))
+    crossing = F.concat_ws("|", "rail_class", "locus", "evasion") != F.col("before")
+    counts = X.with_axes(moved).join(before, "id").groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum(crossing.cast("long")).alias("n_crossing"))
+    effects = X.mutation_effects(rows, "id")
+    assert as_rows(effects.select("slot", "n", "n_crossing")) == as_rows(counts)
+    assert "explode" not in effects._jdf.queryExecution().optimizedPlan().toString()
+
+    order = {(s, v): k for k, (s, v) in enumerate((s, v) for s in ["EVASION", *[s for s in X.SLOT_ORDER if s != "EVASION"]] for v in X.SLOTS[s])}
+    best = {}
+    for r in moved.filter(F.col("n_stages") >= X.min_depth()).select("id", "slot", "value").collect():
+        best[r["id"]] = min(best.get(r["id"], 99), order[r["slot"], r["value"]])
+    found = X.siblings(rows, "id").collect()
+    assert {(r["id"], order[r["slot"], r["value"]]) for r in found} == set(best.items())
+    assert "explode" not in X.siblings(rows, "id")._jdf.queryExecution().optimizedPlan().toString()

@@ -179,8 +179,33 @@ def explain_violations(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.inline(found))
 
 
+def _none(broken: Sequence[Column]) -> Column:
+    """No condition is true; a condition over a missing value is not."""
+    return reduce(lambda a, b: a & b, [~F.coalesce(x, F.lit(False)) for x in broken], F.lit(True))
+
+
 def filter_legal(df: DataFrame) -> DataFrame:
-    return violations(df).filter(F.size("violated") == 0).drop("violated")
+    return df.filter(_none([_holds(con) for con in CONSTRAINTS]))
+
+
+def legal_changes(df: DataFrame, slots: Sequence[str] = SLOT_ORDER) -> tuple[DataFrame, dict[tuple[str, str], Column]]:
+    """The frame with a column per slot, and per (slot, value): is the composition legal with that slot changed to the value?
+
+    The constraints that do not name the slot are the same for all its values, so they are looked at once, in the added column;
+    of the others only those that the value can break are left.
+    """
+    out = {}
+    for s in slots:
+        for v in SLOTS[s]:
+            broken = []
+            for _, kind, ws, wv, ts, tv in CONSTRAINTS:
+                if s == ws and v == wv:
+                    inside = c(ts).isin(*tv)
+                    broken.append(~inside if kind == "requires" else inside)
+                elif s == ts and (v in tv) == (kind == "forbids"):
+                    broken.append(c(ws) == wv)
+            out[s, v] = c(f"__rest_{s}") & _none(broken)
+    return df.withColumns({f"__rest_{s}": _none([_holds(con) for con in CONSTRAINTS if s not in (con[2], con[4])]) for s in slots}), out
 
 
 def constraint_binds(df: DataFrame) -> DataFrame:
@@ -204,13 +229,21 @@ def variants(df: DataFrame, slots: Sequence[str] = SLOT_ORDER) -> DataFrame:
 
 def legal_values(df: DataFrame, key: str, slots: Sequence[str] = SLOT_ORDER) -> DataFrame:
     """(key, slot, legal_values): the values of each slot that keep the composition legal, the other five fixed."""
-    ok = filter_legal(variants(df, list(slots)))
-    return ok.groupBy(key, "slot").agg(F.array_sort(F.collect_set("value")).alias("legal_values"))  # a slot has few values
-
-
-def min_depth() -> Column:
-    floor = S.mapped(c("MONETISATION"), MONETISATION_DEPTH, 1)
-    two = c("RAIL").isin(*TWO_STAGE_RAILS) | c("ACCESS").isin(*TWO_STAGE_ACCESS) | (c("EVASION") == "graph-camouflage")
+    rows, legal = legal_changes(df, slots)
+    # One bit a value, in sorted order; rows that share a key join their values.
+    ordered = {s: sorted(SLOTS[s]) for s in slots}
+    bits = {s: reduce(lambda a, b: a.bitwiseOR(b), [F.when(legal[s, v], 1 << i).otherwise(0) for i, v in enumerate(ordered[s])]) for s in slots}
+    held = rows.select(key, *[bits[s].alias(f"__{s}") for s in slots]).groupBy(key).agg(*[F.bit_or(f"__{s}").alias(f"__{s}") for s in slots])
+    values = {s: F.array_compact(F.array(*[F.when(c(f"__{s}").bitwiseAND(F.lit(1 << i)) != 0, v) for i, v in enumerate(ordered[s])])) for s in slots}
+    told = F.array(*[F.struct(F.lit(s).alias("slot"), values[s].alias("legal_values")) for s in slots])
+    return held.select(key, F.inline(told)).filter(F.size("legal_values") > 0)
+
+
+def min_depth(at: Mapping[str, Column] | None = None) -> Column:
+    """The fewest stages of a composition; ``at`` stands for some of its slots."""
+    rail, access, evasion, money = ((at or {}).get(s, c(s)) for s in ("RAIL", "ACCESS", "EVASION", "MONETISATION"))
+    floor = S.mapped(money, MONETISATION_DEPTH, 1)
+    two = rail.isin(*TWO_STAGE_RAILS) | access.isin(*TWO_STAGE_ACCESS) | (evasion == "graph-camouflage")
     return F.greatest(floor, F.when(two, 2).otherwise(1))
 
 
@@ -271,13 +304,16 @@ def siblings(df: DataFrame, key: str, stages: str = "n_stages", prefer: str = "E
 
     A candidate must admit the plan's depth.
     """
-    order = [prefer, *[s for s in SLOT_ORDER if s != prefer]]
-    rank = S.mapped(c("slot"), {s: i for i, s in enumerate(order)})
-    value_rank = S.mapped(F.concat_ws("=", "slot", "value"), {f"{s}={v}": i for s in SLOTS for i, v in enumerate(SLOTS[s])})
-    moved = filter_legal(variants(df).filter(c("value") != c("was"))).filter(c(stages) >= min_depth())
+    options = [(s, v) for s in [prefer, *[s for s in SLOT_ORDER if s != prefer]] for v in SLOTS[s]]  # in order of preference
+    rows, legal = legal_changes(df)
+    tried = [F.when(legal[s, v] & (c(s) != v) & (c(stages) >= min_depth({s: F.lit(v)})), F.lit(i)) for i, (s, v) in enumerate(options)]
+    best = rows.select(key, *SLOT_ORDER, F.coalesce(*tried, F.lit(len(options))).alias("r"))  # one change a row, before rows meet
+    table = F.array(*[F.struct(F.lit(s).alias("slot"), F.lit(v).alias("value")) for s, v in [*options, ("", "")]])
+    moved = best.withColumn("__o", table[c("r")]).select("*", "__o.slot", "__o.value").drop("__o")
+    moved = moved.withColumns({s: F.when(c("slot") == s, c("value")).otherwise(c(s)) for s in SLOT_ORDER})
     axes_before = with_axes(df.select(key, *SLOT_ORDER)).select(key, F.concat_ws("|", "rail_class", "locus", "evasion").alias("before"))
-    picked = with_axes(moved).groupBy(key).agg(F.min(F.struct(rank.alias("r"), value_rank.alias("v"), c("slot"), c("value"), to_text().alias("sibling"),
-                                                           F.concat_ws("|", "rail_class", "locus", "evasion").alias("after"))).alias("b"))
+    picked = with_axes(moved).groupBy(key).agg(F.min(F.struct(c("r"), c("slot"), c("value"), to_text().alias("sibling"),
+                                                           F.concat_ws("|", "rail_class", "locus", "evasion").alias("after"))).alias("b")).filter(c("b.r") < len(options))
     return picked.join(axes_before, key).select(key, "b.slot", "b.value", "b.sibling", (c("b.after") != c("before")).alias("cell_crossing"))
 
 
@@ -285,6 +321,23 @@ def mutation_category(slot: Column) -> Column:
     return S.first_match([(slot.isin(*CELL_PRESERVING), "always-preserving"), (slot.isin(*CELL_CROSSING), "always-crossing")], F.lit("conditional"))
 
 
+def mutation_effects(df: DataFrame, key: str) -> DataFrame:
+    """(slot, n, n_crossing, category): legal one-slot changes and those that leave the cell; rows that share a key meet."""
+    axes = lambda at: F.concat_ws("|", S.mapped(at.get("RAIL", c("RAIL")), RAIL_CLASS), S.mapped(at.get("ACCESS", c("ACCESS")), LOCUS), at.get("EVASION", c("EVASION")))
+    before = df.select(key, axes({}).alias("before"))
+    rows, legal = legal_changes(df.join(before, key).withColumn("__own", axes({})))
+    # Counted in the row: no change is ever a row of its own.
+    n = {s: sum((F.coalesce(legal[s, v] & (c(s) != v), F.lit(False)).cast("int") for v in SLOTS[s]), F.lit(0)) for s in SLOT_ORDER}
+    crossing = {}
+    for s in SLOT_ORDER:
+        after = {v: axes({s: F.lit(v)}) if s in ("RAIL", "ACCESS", "EVASION") else c("__own") for v in SLOTS[s]}
+        crossing[s] = sum((F.coalesce(legal[s, v] & (c(s) != v) & (after[v] != c("before")), F.lit(False)).cast("int") for v in SLOTS[s]), F.lit(0))
+    sums = rows.select(*[n[s].alias(f"n_{s}") for s in SLOT_ORDER], *[crossing[s].alias(f"x_{s}") for s in SLOT_ORDER])
+    one = sums.agg(*[F.sum(x).alias(x) for x in sums.columns])
+    told = F.array(*[F.struct(F.lit(s).alias("slot"), c(f"n_{s}").alias("n"), c(f"x_{s}").alias("n_crossing")) for s in SLOT_ORDER])
+    return one.select(F.inline(told)).filter("n > 0").withColumn("category", mutation_category(c("slot")))
+
+
 def hamming(a: Mapping[str, Column], b: Mapping[str, Column]) -> Column:
     return sum(((a[s] != b[s]).cast("int") for s in SLOT_ORDER[1:]), (a[SLOT_ORDER[0]] != b[SLOT_ORDER[0]]).cast("int"))
 

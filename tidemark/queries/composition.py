@@ -109,11 +109,7 @@ def _siblings(spark, sf):
 @query("mutation_effects", f"""WITH {VARIANTS} SELECT slot, CASE WHEN slot IN ('TRUST', 'MONETISATION', 'LABEL') THEN 'always-preserving' WHEN slot = 'EVASION' THEN 'always-crossing' ELSE 'conditional' END AS category,
     count(*) AS n, count(*) FILTER (after <> before) AS n_crossing FROM vl WHERE value <> was GROUP BY slot""")
 def _mutations(spark, sf):
-    base = comps(spark, sf)
-    before = X.with_axes(base).select("id", F.concat_ws("|", "rail_class", "locus", "evasion").alias("before"))
-    moved = X.with_axes(X.filter_legal(X.variants(base).filter(c("value") != c("was")))).join(before, "id")
-    crossing = F.concat_ws("|", "rail_class", "locus", "evasion") != c("before")
-    return moved.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum(crossing.cast("long")).alias("n_crossing")).withColumn("category", X.mutation_category(c("slot")))
+    return X.mutation_effects(comps(spark, sf), "id")
 
 
 @query("cell_projection", f"WITH {COMP} SELECT id, cell_id FROM run")
