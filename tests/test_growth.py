@@ -10,6 +10,7 @@ from tidemark.operators import composition as X
 from tidemark.operators import features as FE
 from tidemark.operators import kernels as K
 from tidemark.operators import metrics as M
+from tidemark.operators import rules as R
 from tidemark.queries import streams as QS
 from tidemark.schema import complete
 from tidemark.sources.replay import ReplayReader, prepare, replay
@@ -119,3 +120,14 @@ def test_one_slot_changes_are_judged_in_the_row(spark):
     found = X.siblings(rows, "id").collect()
     assert {(r["id"], order[r["slot"], r["value"]]) for r in found} == set(best.items())
     assert "explode" not in X.siblings(rows, "id")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_are_compiled_and_looked_at_once(spark):
+    rows = complete(spark.range(20).selectExpr("concat('e', id) AS event_id", "cast(id as double) AS ts", "0L AS day_index", "12D AS hour_ist", "0L AS dow", "'upi-pay' AS rail",
+                                               "'authorisation' AS message_kind", "'A' AS tier", "if(id = 3, -5D, 10D) AS amount_inr")).repartition(8)
+    found = R.check_event_rules(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    some = R.event_rules()[0].id
+    assert plan.count(f"THEN {some} END") == 1 and "lambda" not in plan  # a lambda leaves all its input to the interpreter
+    want = {(r.id, e["event_id"]) for r in R.event_rules() for e in rows.filter(r.broken()).select("event_id").collect()}
+    assert {(r["invariant_id"], r["event_id"]) for r in found.collect()} == want and want
