@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import composition as X
 from tidemark.operators import labels as L
+from tidemark.plans.cut import written
 from tidemark.queries.composition import COMP, SEALED_FAMILY, comps
 from tidemark.queries.features import PAY, prepared, stats_for
 from tidemark.queries.registry import epoch_us, query, rounded, table
@@ -166,7 +167,7 @@ def _sealed(spark, sf):
     count(*) FILTER (NOT pooled AND (member OR withheld)) AS n_by_composition FROM hd GROUP BY 1""")
 def _partition(spark, sf):
     """What training may see and what it may not; rows withheld for their composition alone."""
-    trainable, withheld = L.partition_training(flagged(spark, sf))
+    trainable, withheld = L.partition_training(written(flagged(spark, sf).select("event_id", "entity_pool", "holdout")))  # both halves read what was flagged once
     both = trainable.withColumn("part", F.lit("trainable")).unionByName(withheld.withColumn("part", F.lit("withheld")))
     composed = (F.col("entity_pool") != "sealed") & F.col("holdout")
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(composed.cast("long")).alias("n_by_composition"))
