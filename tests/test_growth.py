@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import composition as X
+from tidemark.operators import drift as D
 from tidemark.operators import features as FE
 from tidemark.operators import kernels as K
+from tidemark.operators import labels as L
 from tidemark.operators import metrics as M
 from tidemark.operators import rules as R
+from tidemark.plans import values as V
+from tidemark.plans.blocks import planning
 from tidemark.queries import streams as QS
 from tidemark.schema import complete
 from tidemark.sources.replay import ReplayReader, prepare, replay
@@ -131,3 +136,74 @@ def test_rules_are_compiled_and_looked_at_once(spark):
     assert plan.count(f"THEN {some} END") == 1 and "lambda" not in plan  # a lambda leaves all its input to the interpreter
     want = {(r.id, e["event_id"]) for r in R.event_rules() for e in rows.filter(r.broken()).select("event_id").collect()}
     assert {(r["invariant_id"], r["event_id"]) for r in found.collect()} == want and want
+
+
+def _watched(spark, df):
+    """The frame, and how many of its rows have been made since."""
+    made = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(tell, df.schema), made
+
+
+@pytest.fixture
+def many(spark):
+    """120 rows that count as too many for one task."""
+    spark.conf.set("spark.tidemark.blocks.targetRows", "12")
+    rows = spark.range(120).selectExpr("concat('e', id) AS event_id", "id * 3600000000L AS ts_us", "concat('k', id % 3) AS k1", "concat('c', id % 5) AS cp", "concat('h', id % 2) AS _cohort",
+                                       "cast(id % 50 as double) AS amount_inr", "id % 4 = 0 AS bad")
+    yield _watched(spark, rows)
+    spark.conf.unset("spark.tidemark.blocks.targetRows")
+
+
+def test_counting_groups_does_not_run_the_lineage_again(many):
+    df, made = many
+    with planning(df):
+        V.score_curve(df, F.col("amount_inr"), by=["_cohort"], pos=F.col("bad").cast("long")).collect()
+        assert made.value <= 2 * 120  # the source is counted, the value table made
+        made.value = 0
+        V.pct_rank(df, F.col("amount_inr"), "r", by=["_cohort"]).collect()
+        assert made.value <= 2 * 120  # the value table, and the rows that look it up
+        made.value = 0
+        V.exact_quantiles(df, F.col("amount_inr"), [0.1, 0.5], by=["_cohort"]).collect()
+        assert made.value <= 120
+
+
+def test_ranks_of_cut_groups_are_those_of_whole_ones(spark, many):
+    df = many[0]
+    found = lambda: sorted((r.event_id, r.n_less, r.n_equal, r.n_ref, r.ref_prev, r.ref_next) for r in V.rank_against(
+        df, df.filter("bad"), F.col("amount_inr"), F.col("amount_inr"), by=["_cohort"], neighbours=True).collect())
+    cut = found()
+    spark.conf.unset("spark.tidemark.blocks.targetRows")
+    assert cut == found()
+
+
+def test_single_feature_audit_reads_the_rows_once(many):
+    df, made = many
+    with planning(df):
+        out = {r["feature"]: r for r in L.artefact_audit(df, ["amount_inr", "ts_us"], "bad", target_fpr=0.1).collect()}
+    assert made.value <= 2 * 120
+    assert out["amount_inr"]["support_benign"] == 1.0 and out["amount_inr"]["support_attack"] == 1.0
+
+
+def test_trailing_sums_of_a_panel_are_worked_out_once(many):
+    df, made = many
+    with planning(df):
+        ratios, ranks = K.velocity_panel(df, {"k1": "cp"}, windows=("24h",), distinct=False)
+        ratios.join(ranks, "event_id").collect()
+    assert made.value <= 10 * 120  # the source and the key counted, the key cut, then one run of the cut timeline
+
+
+def test_shuffled_columns_and_their_control_derive_the_rows_once(many):
+    df, made = many
+    with planning(df):
+        other = D.shuffled_marginals(df, ["amount_inr", "ts_us"], "event_id")
+        assert sorted(r.amount_inr for r in other.collect()) == sorted(float(i % 50) for i in range(120))
+        assert made.value <= 2 * 120
+        made.value = 0
+        D.discriminator_auc(df, other, ["amount_inr", "ts_us"], "event_id", rounds=1).collect()
+        assert made.value <= 120
