@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.plans.cut import written
 from tidemark.plans.ordered import Running, ordered
 from tidemark.plans.values import exact_quantiles, lookup
 
@@ -227,10 +228,11 @@ def artefact_audit(df: DataFrame, names: Sequence[str], attack: str, target_fpr:
     from tidemark.operators.metrics import curve_metrics
     from tidemark.plans.values import score_curve
 
-    long = unpivot_features(df, names, attack)
-    pos, neg = F.col(attack).cast("long"), (~F.col(attack)).cast("long")
-    curve = score_curve(long.withColumn("__s", F.when(F.col("value") > -1.0, F.col("value"))).filter(F.col("__s").isNotNull()),
-                        F.col("__s"), by=["feature"], pos=pos, neg=neg)
+    # One pass over rows x features: what follows reads the counts per value.
+    sides = [F.sum(v.cast("long")).alias(n) for n, v in (("pos", F.col(attack)), ("neg", ~F.col(attack)))]
+    long = written(unpivot_features(df, names, attack).groupBy("feature", "value").agg(*sides))
+    pos, neg = F.col("pos"), F.col("neg")
+    curve = score_curve(long.filter(F.col("value") > -1.0), F.col("value"), by=["feature"], pos=pos, neg=neg)
     on_support = curve_metrics(curve, by=["feature"]).select("feature", F.col("roc_auc").alias("auc_on_support"), F.col("average_precision").alias("ap_on_support"))
     sizes = long.groupBy("feature").agg(F.sum(pos).alias("P"), F.sum(neg).alias("N"),
                                         F.sum(F.when(F.col("value") > -1.0, pos).otherwise(0)).alias("p_support"),
