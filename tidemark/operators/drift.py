@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators.labels import unpivot_features
-from tidemark.plans.values import exact_quantiles
+from tidemark.plans.cut import written
+from tidemark.plans.values import exact_quantiles, settled
 
 c = F.col
 
@@ -191,6 +192,8 @@ def shuffled_marginals(df: DataFrame, columns: Sequence[str], key: str) -> DataF
     """
     from tidemark.plans.ordered import Running, ordered
 
+    df = settled(df.select(key, *columns))  # each column's order counts and reads it anew
+
     def placed(salt: str, *keep: str) -> DataFrame:
         h = df.select(key, *keep).withColumns({"__all": F.lit(0), "__h": S.hash_bits(c(key), salt, 15)})
         return ordered(h, ["__all"], ["__h", key], {"__pos": Running("count", F.lit(1))})
@@ -206,6 +209,6 @@ def discriminator_auc(real: DataFrame, other: DataFrame, features: Sequence[str]
     from tidemark.operators import metrics as M
 
     rows = real.select(key, *features).withColumn("y", F.lit(1)).unionByName(other.select(key, *features).withColumn("y", F.lit(0)))
-    marked = rows.withColumns({"w": F.lit(1.0), "y_fit": c("y"), "fit": S.hash_unit(F.concat_ws(":", c("y").cast("string"), c(key).cast("string")), "two") < 0.7})
+    marked = written(rows.withColumns({"w": F.lit(1.0), "y_fit": c("y"), "fit": S.hash_unit(F.concat_ws(":", c("y").cast("string"), c(key).cast("string")), "two") < 0.7}))
     model = G.fit(marked.filter("fit"), features, config=G.TreeConfig(rounds=rounds, depth=max_depth, rate=0.3, directions={}), key=key)
     return M.roc_auc(G.predict(model, marked.filter("not fit")), "g1")
