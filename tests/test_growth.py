@@ -16,6 +16,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import rules as R
 from tidemark.plans import values as V
 from tidemark.plans.blocks import planning
+from tidemark.queries import drift as QD
 from tidemark.queries import streams as QS
 from tidemark.schema import complete
 from tidemark.sources.replay import ReplayReader, prepare, replay
@@ -207,3 +208,11 @@ def test_shuffled_columns_and_their_control_derive_the_rows_once(many):
         made.value = 0
         D.discriminator_auc(df, other, ["amount_inr", "ts_us"], "event_id", rounds=1).collect()
         assert made.value <= 120
+
+
+def test_checks_do_not_hold_the_derivation_of_the_events(spark, tmp_path):
+    spark.range(40).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int)) AS ts", "id % 5 AS user_id", "'view' AS event_type",
+                               "cast(id as double) AS value", "concat('{\"k\": ', id % 7, '}') AS props").write.parquet(f"{tmp_path}/events.parquet")
+    with planning():
+        plan = QD.checks(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 0  # some twenty reads of the events, each derived anew
