@@ -17,7 +17,11 @@ def filter_toxicity(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays.
+
+    Five-word shingles: documents meet by op1's SimHash and pivots, and by MinHash bands beyond its radius, and are linked
+    at an exact Jaccard similarity of 0.8 or more.
+    """
     return similar.keep_first(docs)
 
 

@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import embeddings, html, urls
 
@@ -293,6 +294,24 @@ def test_a_group_of_near_copies_costs_rows_in_proportion(spark):
     assert 50 < len(set(label)) < 450 and kept == set(label)
 
 
+def test_near_copies_of_the_stage_meet_by_fingerprint(spark, monkeypatch):
+    """Without any band, op1's links bring near copies together; of classes that meet, only those at 0.8 or more are linked."""
+    from tidemark.llm import similar
+
+    rnd = random.Random(5)
+    base = [[f"w{rnd.randint(0, 10 ** 6)}" for _ in range(400)] for _ in range(4)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)] + [(10 + k, " ".join([*b[:-1], f"x{k}"])) for k, b in enumerate(base)]
+    rows += [(20, ""), (21, None), (22, "one two"), (23, " ".join(base[0][:200] + base[1][:200]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = similar.sketches
+    bare = lambda rows: sketched(rows).withColumn("bands", F.expr("cast(array() as array<long>)"))
+    kept = lambda: sorted(r["doc_id"] for r in similar.keep_first(frame).collect())
+    monkeypatch.setattr(similar, "sketches", bare)
+    assert kept() == [0, 1, 2, 3, 20, 22, 23]
+    monkeypatch.setattr(similar, "sketches", lambda rows: bare(rows).withColumn("fp", F.lit(7).cast("long")))
+    assert kept() == [0, 1, 2, 3, 20, 22, 23]
+
+
 WORDS = "the quiet harbour lay under a low grey sky while boats moved slowly past the long stone wall and people walked home".split()
 
 

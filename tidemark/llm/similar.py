@@ -1,13 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash pivots and the Jaccard similarity of word shingles.
 
-Texts with equal shingle sets are one class.  Minima of ``BANDS`` x ``ROWS`` hash functions are dealt in bands: two
-classes meet if a band is equal, which at similarity 0.8 fails for 1 pair in 10,000.  Whoever meets is compared by
-the exact similarity of the two sets; only pairs of at least ``LEAST`` are linked, and groups are the components of links.
+Texts with equal shingle sets are one class.  Each class has the SimHash fingerprint of its set, and the operator of
+``simhash`` (bit-block buckets, pivot distance tables, survivors verified bit by bit) links fingerprints within its radius:
+classes whose fingerprints hang together meet.  Sets of similarity 0.8 differ in about 10 of 64 bits, beyond any radius
+that buckets can serve, so minima of ``BANDS`` x ``ROWS`` hash functions are dealt in bands as well: two classes also meet
+if a band is equal, which at similarity 0.8 fails for 1 pair in 10,000.  Whoever meets is compared by the exact similarity
+of the two sets; only pairs of at least ``LEAST`` are linked, and groups are the components of links.
 
 Pairs never leave a task.  A bucket's classes go to work items with their sets, each set once per item; an item holds
 at most ``ITEM`` bytes of sets, and a bucket of more is dealt by hash to parts and has an item per pair of parts.  The task
 compares what it holds and returns the edges of a spanning forest.  Two rounds keep the traffic low: the first compares, in
-``FIRST`` bands, each part with itself and with the bucket's smallest class.  The second looks only at buckets that still
+the fingerprints' groups and ``FIRST`` bands, each part with itself and with the bucket's smallest class.  The second looks only at buckets that still
 hold more than one group: a pass over the minima alone (the share of equal minima must reach ``HINT``, five standard deviations
 below 0.8) marks the classes that can have a partner in another group, and only their sets travel.
 
@@ -27,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, slices, written
-from tidemark.llm.simhash import SEED, group_numbers, shingle_hashes, whole_groups
+from tidemark.llm.simhash import SEED, group_numbers, links, majority, shingle_hashes, whole_groups
 from tidemark.plans.components import components
 from tidemark.plans.cut import passing
 
 WORDS, LEAST, BANDS, ROWS, HINT, FIRST, ITEM = 5, 0.8, 24, 5, 0.6, 3, 16 << 20
+#: Bit blocks of the fingerprints: 15 buckets each, of two blocks or 21 bits, where op1 has 35 of three.
+BLOCKS = 6
 _rng = np.random.default_rng(SEED)
 _TIMES = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64, endpoint=False) | np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64, endpoint=False)
@@ -54,25 +59,26 @@ def _same(own: np.ndarray) -> int:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(id, same, held, bands, mins): hash of the text's shingle set, the set's size, band keys, 16 bits of each minimum."""
+    """(id, same, fp, held, bands, mins): hash of the text's shingle set, its SimHash, its size, band keys, 16 bits of each minimum."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            same, n, bands, mins = [], [], [], []
+            same, fp, n, bands, mins = [], [], [], [], []
             for t in part.column("text").to_pylist():
                 own = np.unique(shingle_hashes(t, WORDS))
                 low = minima(own)
                 same.append(_same(own))
+                fp.append(majority(own))
                 n.append(len(own))
                 bands.append([xxhash.xxh64_intdigest(low[k * ROWS:(k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)] if len(own) else [])
                 mins.append((low & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(same, pa.int64()), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(mins, pa.binary())],
-                names=["id", "same", "held", "bands", "mins"])
+                [part.column("id"), pa.array(same, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(mins, pa.binary())],
+                names=["id", "same", "fp", "held", "bands", "mins"])
 
     bounded_batches(rows.sparkSession)
-    return rows.mapInArrow(run, "id long, same long, held int, bands array<long>, mins binary")
+    return rows.mapInArrow(run, "id long, same long, fp long, held int, bands array<long>, mins binary")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -176,14 +182,22 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().filter(pa.array(some)) for c in ("bucket", "item", "same", "component")], names=["bucket", "item", "same", "component"])
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows with ``component``: the smallest class that theirs is linked with."""
-    group = components(links).withColumnRenamed("node", "same")
+    group = components(edges).withColumnRenamed("node", "same")
     return rows.join(group, "same", "left").withColumn("component", F.coalesce("component", "same"))
 
 
 # ---------------------------------------------------------------- groups
 
+def alike(classes: DataFrame) -> DataFrame:
+    """(same, least, held, band, bucket): a bucket, as band -1, for the classes whose fingerprints are linked, at once or through others."""
+    some = classes.filter("held > 0").select("same", "least", "held", "fp")
+    group = components(links(some, blocks=BLOCKS)).withColumnRenamed("node", "fp")
+    bucket = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp"))
+    return some.join(group, "fp", "left").select("same", "least", "held", F.lit(-1).alias("band"), bucket.alias("bucket"))
+
+
 def keep_first(docs: DataFrame, item: int = ITEM) -> DataFrame:
     """The documents of which each group of near-duplicates keeps the one with the smallest doc_id.
 
@@ -194,8 +208,8 @@ def keep_first(docs: DataFrame, item: int = ITEM) -> DataFrame:
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), beyond).alias("id"), F.col("text").alias("own"), F.struct(*docs.columns).alias("row"))
     texts = named.select("id", F.col("own").alias("text"))
     with passing(docs.sparkSession) as lasting:
-        classes = written(sketches(texts).groupBy("same").agg(*[F.first(x).alias(x) for x in ("held", "bands", "mins")], F.min("id").alias("least")))
-        spread = classes.select("same", "least", "held", F.posexplode("bands").alias("band", "bucket"))
+        classes = written(sketches(texts).groupBy("same").agg(*[F.first(x).alias(x) for x in ("fp", "held", "bands", "mins")], F.min("id").alias("least")))
+        spread = alike(classes).union(classes.select("same", "least", "held", F.posexplode("bands").alias("band", "bucket")))
         busy = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
         met = written(spread.join(busy, "bucket"))
         ids = met.select(F.col("least").alias("id")).distinct()  # one document of each class, not all its copies
@@ -210,7 +224,7 @@ def keep_first(docs: DataFrame, item: int = ITEM) -> DataFrame:
         sorted_ = open_.repartition("bucket", "item").sortWithinPartitions("bucket", "item", "same").select("bucket", "item", "same", "held", "component", "mins")
         bounded_batches(docs.sparkSession)
         some = written(sorted_.mapInArrow(_promising, "bucket long, item int, same long, component long"))
-        links = first.union(written(forests(some, sets)))
-        grouped = _labelled(classes.select("same", "least"), links)
+        edges = first.union(written(forests(some, sets)))
+        grouped = _labelled(classes.select("same", "least"), edges)
         keep = lasting(grouped.groupBy("component").agg(F.min("least").alias("id")).select("id").distinct())
     return named.select("id", "row").join(keep, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
