@@ -58,6 +58,24 @@ def test_many_frames_meet_in_written_tables(spark, monkeypatch):
     assert joins(met) <= 2 < joins(one)  # the frames of a whole view do not share one stage
 
 
+def test_a_history_is_walked_once_a_row(spark):
+    rows = complete(spark.range(40).selectExpr("concat('e', id) AS event_id", "cast(id div 3 as double) * 86400 * 9 AS ts", "0L AS day_index", "0D AS hour_ist", "0L AS dow", "'upi-pay' AS rail",
+                                               "'authorisation' AS message_kind", "'A' AS tier", "10D + id % 7 AS amount_inr", "concat('c', id % 2) AS cardholder_id",
+                                               "id * 1.5D AS response_latency_ms"))
+    ratio, calm = "amount_ratio_to_own_baseline", "amount_uniformity_score"
+    plan = lambda name: FE.build_features(K.keyed(rows), None, [name])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(ratio).count("sort_array(") == 1  # the median
+    assert plan(calm).count("SQRT(") == 1  # the deviation
+    keyed = K.keyed(rows)
+    want = K.trailing_median(keyed, "_primary_key", F.col("amount_inr"), 30 * 86_400, "m")
+    want = {r["event_id"]: r["amount_inr"] / r["m"] if r["m"] > 0 else -1.0 for r in want.collect()}
+    got = {r["event_id"]: r[ratio] for r in FE.build_features(keyed, None, [ratio]).collect()}
+    assert got == want and 0 < sum(v == -1.0 for v in got.values()) < 10
+    some = spark.createDataFrame([([1.0, 9.0, 4.0], 2), ([1.0, 9.0, 4.0], 5), ([3.0, None], 1), ([3.0], 0), ([], 3)], "a array<double>, n int")
+    held = some.withColumn("h", F.transform("a", lambda x: F.struct(x.alias("v"))))
+    assert [r["m"] for r in held.select(K.median_of_latest("h", F.col("n")).alias("m")).collect()] == [6.5, 4.0, -1.0, -1.0, -1.0]
+
+
 def test_streams_commit_a_state_store_per_core(spark, tmp_path):
     folder = prepare(spark.range(40).selectExpr("id AS event_id", "cast(id as double) AS ts"), f"{tmp_path}/ordered", files=2)
     stream = replay(spark, folder, spark.read.parquet(f"{folder}/rows").schema, 20)
