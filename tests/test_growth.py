@@ -17,6 +17,7 @@ from tidemark.operators import rules as R
 from tidemark.plans import values as V
 from tidemark.plans.blocks import planning
 from tidemark.queries import drift as QD
+from tidemark.queries import scores as QT
 from tidemark.queries import streams as QS
 from tidemark.schema import complete
 from tidemark.sources.replay import ReplayReader, prepare, replay
@@ -234,3 +235,13 @@ def test_checks_do_not_hold_the_derivation_of_the_events(spark, tmp_path):
     with planning():
         plan = QD.checks(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("get_json_object") == 0  # some twenty reads of the events, each derived anew
+
+
+def test_trees_are_fitted_on_every_unlabelled_row(spark, monkeypatch):
+    n, seen = 420_000, []
+    rows = spark.range(n).selectExpr("concat('e', id) AS event_id", "if(id % 50 = 0, 19, 2) AS day_index", "cast(id % 60 = 0 AS int) AS truth", "if(id % 60 = 0, 1, -1) AS y")
+    monkeypatch.setattr(QT, "view_rows", lambda spark, sf: rows)
+    monkeypatch.setattr(QT.G, "fit", lambda train, *a, **k: seen.append(train))
+    QT.fitted(spark, "none")
+    early = sum(i % 50 != 0 and i % 60 != 0 for i in range(n))
+    assert early > 400_000 and seen[0].filter("not held and y = -1").count() == 2 * early
