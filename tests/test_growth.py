@@ -46,6 +46,16 @@ def test_bootstrap_hashes_once_per_draw_and_draws_once(spark, monkeypatch):
         assert spark.range(1).select(M.resampled(F.lit(n), F.lit("t"))).first()[0] == want
 
 
+def test_bootstrap_replicates_use_the_scores_themselves(spark):
+    """Scores that differ within a cell: cut to cells the arm loses its recall in every replicate, by itself it keeps it."""
+    rows = spark.range(400).selectExpr("cast(id % 4 = 0 AS int) AS y", "0.5D + if(id % 4 = 0, 0.001D, 0D) + (id % 7) / 1e5D AS a", "(id % 5) / 8D AS b")
+    out = M.controlled_comparison(rows, "a", ["b"], 0.1, replicates=20).first()
+    assert out["recall_ours"] == 1 and out["recall_other"] < 0.5
+    assert out["lo"] <= out["delta"] <= out["hi"] and out["lo"] > 0.5
+    cells = spark.createDataFrame([(i, i + 1) for i in range(3)], "k int, n long")
+    assert {(r["k"], r["rep"]) for r in M.replicate_counts(cells, ["k"], "n", 37, 3).collect()} == {(k, r) for k in range(3) for r in range(38)}
+
+
 def test_many_frames_meet_in_written_tables(spark, monkeypatch):
     names = ["device_churn_30d", "lite_debits_since_topup_24h", "sketch_device_shared_entity_count", "is_first_event_for_entity", "merchant_volume_delta_in_cell"]
     rows = complete(spark.range(60).selectExpr("concat('e', id) AS event_id", "cast(id div 3 as double) * 3600 AS ts", "0L AS day_index", "0D AS hour_ist", "0L AS dow",
