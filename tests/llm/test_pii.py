@@ -139,3 +139,27 @@ def test_selection_takes_no_overlap():
     base = [(1, 10, 20), (3, 15, 30)]
     found = [(0.9, (2, 28, 40)), (0.8, (2, 30, 40)), (0.95, (2, 39, 45)), (0.7, (0, 0, 10)), (0.2, (0, 50, 60)), (0.9, (3, 12, 14))]
     assert pii.selected(base, found, [0.5] * 4) == [(0, 0, 10), (1, 10, 20), (2, 39, 45), (3, 15, 30)]
+
+
+def test_every_candidate_is_fitted_on(spark, monkeypatch):
+    """More candidates of a kind than once were sampled; held in one process or spread over tasks, the spans are the same."""
+    rnd = random.Random(3)
+    docs = frame(spark, corpus(4, 300) + [(1000 + i, f"call +{i % 90 + 10} {5550000 + i} or {rnd.choice(['now', 'then'])} 2024-05-{i % 28 + 1:02d} 1{i:04d} {i}") for i in range(2600)])
+    found = pii.found_in(docs)
+    own = {tuple(r) for r in found.select("kind", "base").collect()}
+    assert found.filter("kind = 3 and base").count() > 2600 and (3, False) in own
+    facts = pii.facts_of(found)
+    assert facts.filter("kind = 3 and label = 1").agg({"n": "sum"}).first()[0] > 2 * 2600  # as written and in another notation
+    held = pii.learn(found)
+    monkeypatch.setattr(pii, "HELD", 0)
+    monkeypatch.setattr(pii, "ROUNDS", 9)  # beyond one rewrite of the margins
+    monkeypatch.setattr(pii.fit_spread, "__defaults__", (9, *pii.fit_spread.__defaults__[1:]))
+    monkeypatch.setattr(pii, "fit_trees", lambda *a, real=pii.fit_trees, **k: real(*a, rounds=9, **k))
+    spread = pii.learn(found)
+    assert len(spread.trees.leaf) == 9 and len(held.trees.leaf) == 80
+    for a, b in zip(spread.trees.feature, held.trees.feature):
+        assert a.tolist() == b.tolist()
+    for a, b in zip(spread.trees.leaf, held.trees.leaf):
+        assert np.allclose(a, b)
+    monkeypatch.setattr(pii, "HELD", 1 << 18)
+    assert np.allclose(pii.learn(found).cuts, spread.cuts)
