@@ -255,3 +255,13 @@ def test_trees_are_fitted_on_every_unlabelled_row(spark, monkeypatch):
     QT.fitted(spark, "none")
     early = sum(i % 50 != 0 and i % 60 != 0 for i in range(n))
     assert early > 400_000 and seen[0].filter("not held and y = -1").count() == 2 * early
+
+
+def test_correlation_of_a_constant_is_no_error(spark):
+    rows = spark.range(300).selectExpr("cast(id as double) AS a", "if(id % 3 = 0, null, sqrt(id)) AS b", "5D AS k")
+    assert D.bounded_correlation(rows, F.col("a"), F.col("k")).filter("isnan(measured)").count() == 1
+    checked = D.band_check(D.bounded_correlation(rows, F.col("k"), F.col("b")), "x", "g", 0.0, 0.5).first()
+    assert checked["status"] == "FAIL"  # as in the SQL
+    want = rows.agg(F.abs(F.corr("a", "b"))).first()[0]
+    assert D.bounded_correlation(rows, F.col("a"), F.col("b")).first()[0] == pytest.approx(want, abs=1e-12)
+    assert D.bounded_correlation(rows.limit(50), F.col("a"), F.col("b")).first()[0] is None

@@ -174,7 +174,11 @@ def conditional_share(df: DataFrame, scope: Column, cond: Column, minimum: int)
 
 
 def bounded_correlation(df: DataFrame, a: Column, b: Column, minimum: int = 100) -> DataFrame:
-    return df.agg(F.when(F.count(F.lit(1)) > minimum, F.abs(F.corr(a, b))).alias("measured"))
+    """Absolute correlation; null below the minimum row count, not a number (no division by zero) where a side is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    share = F.when(spread == 0, F.lit(float("nan"))).otherwise(F.abs(F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))))
+    return df.agg(F.when(F.count(F.lit(1)) > minimum, share).alias("measured"))
 
 
 def summarise_checks(checks: DataFrame) -> DataFrame:
